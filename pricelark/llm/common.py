@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import os
 import string
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,8 +102,12 @@ def small(keys: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
 
 
 def with_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Holds Arrow batches of the session at `rows` documents."""
+    """Readies a frame for Python: batches of at most `rows` documents, and workers that find this package."""
     spark = df.sparkSession
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     if int(setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df

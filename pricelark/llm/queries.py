@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from pricelark.llm.common import documents, table
 from pricelark.llm.exact_dedup import exact_dedup
 from pricelark.llm.sharding import shard_by_bytes
+from pricelark.llm.simhash import near_dedup
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ FROM t JOIN g USING (text_sha256)
 
 
 def queries() -> dict:
-    return {"op3_sharding": op3_sharding, "op7_exact_dedup": op7_exact_dedup}
+    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op7_exact_dedup": op7_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
