@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelark.llm.common import documents, table
+from pricelark.llm.decontaminate import digest_columns, find_hits
 from pricelark.llm.exact_dedup import exact_dedup
 from pricelark.llm.sharding import shard_by_bytes
 from pricelark.llm.simhash import near_dedup
@@ -26,6 +27,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(find_hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+
+
 SQL_OP7 = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -38,9 +43,35 @@ FROM t JOIN g USING (text_sha256)
 """
 
 
+#: Words of documents and items, windows of ten words (or a whole shorter item)
+#: met by their position among the document's windows of the same length.
+SQL_OP8 = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM iw WHERE len(w) > 0)
+), pos AS (
+  SELECT r, k, n, array_to_string(w[k : k + n - 1], ' ') AS s
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), occ AS (
+  SELECT pos.r, pos.k, pos.n, win.item_id FROM pos JOIN win ON pos.n = win.n AND pos.s = win.s
+), hit AS (
+  SELECT r, count(DISTINCT h) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS h FROM occ) GROUP BY r
+), its AS (
+  SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def queries() -> dict:
-    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op7_exact_dedup": op7_exact_dedup}
+    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": SQL_OP7}
+    return {"op7_exact_dedup": SQL_OP7, "op8_decontamination": SQL_OP8}
