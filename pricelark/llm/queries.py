@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelark.llm.bpe import bpe_encode
 from pricelark.llm.common import documents, table
 from pricelark.llm.decontaminate import digest_columns, find_hits
 from pricelark.llm.exact_dedup import exact_dedup
@@ -12,6 +14,11 @@ from pricelark.llm.sharding import shard_by_bytes
 from pricelark.llm.simhash import near_dedup
 
 
+#: Names of tokenizer files; public_tokenizers.path() gives their place.
+BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -22,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(documents(spark, sf_dir), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -70,7 +81,7 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict:
-    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
+    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op4_bpe_encode_decode": op4_bpe_encode_decode, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
