@@ -67,14 +67,14 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             _delete(spark, path)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
     It cuts lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/pricelark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -12,6 +12,7 @@ from pricelark.llm.decontaminate import digest_columns, find_hits
 from pricelark.llm.exact_dedup import exact_dedup
 from pricelark.llm.sharding import shard_by_bytes
 from pricelark.llm.simhash import near_dedup
+from pricelark.llm.token_files import read_digests, write_tokens
 
 
 #: Names of tokenizer files; public_tokenizers.path() gives their place.
@@ -33,6 +34,10 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(write_tokens(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(documents(spark, sf_dir), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -81,7 +86,7 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict:
-    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op4_bpe_encode_decode": op4_bpe_encode_decode, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
+    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op4_bpe_encode_decode": op4_bpe_encode_decode, "op5_token_files": op5_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
