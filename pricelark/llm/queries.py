@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelark.llm.bpe import bpe_encode
-from pricelark.llm.common import documents, table
+from pricelark.llm.common import documents, remainder, table
 from pricelark.llm.decontaminate import digest_columns, find_hits
 from pricelark.llm.exact_dedup import exact_dedup
+from pricelark.llm.language import identify, learn
 from pricelark.llm.sharding import shard_by_bytes
 from pricelark.llm.simhash import near_dedup
 from pricelark.llm.token_files import read_digests, write_tokens
@@ -38,6 +39,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(write_tokens(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    found = identify(docs, learn(docs, ~held_out), held_out)
+    return found.select("doc_id", F.col("marked").alias("held_out"), "lang_pred", "score")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(documents(spark, sf_dir), digest_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -86,7 +94,7 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict:
-    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op4_bpe_encode_decode": op4_bpe_encode_decode, "op5_token_files": op5_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
+    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op4_bpe_encode_decode": op4_bpe_encode_decode, "op5_token_files": op5_token_files, "op6_language_id": op6_language_id, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
