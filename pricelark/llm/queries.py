@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelark.llm import toxicity
 from pricelark.llm.bpe import bpe_encode
 from pricelark.llm.common import documents, remainder, table
 from pricelark.llm.decontaminate import digest_columns, find_hits
@@ -21,6 +22,14 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.score(docs, model, held_out)
+    return found.select("doc_id", F.col("marked").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -94,7 +103,7 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict:
-    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op4_bpe_encode_decode": op4_bpe_encode_decode, "op5_token_files": op5_token_files, "op6_language_id": op6_language_id, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op4_bpe_encode_decode": op4_bpe_encode_decode, "op5_token_files": op5_token_files, "op6_language_id": op6_language_id, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
