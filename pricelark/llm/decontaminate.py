@@ -305,3 +305,35 @@ def clean_text(data: bytes, spans: list[tuple[int, int]]) -> bytes:
         last = ends[end - 1][1]
     return b"".join([*out, data[last:]])
 
+
+
+def _cleaner(held, cut: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            data = [None if x is None else x.encode() for x in texts]
+            _, spans, _ = held.value.scan(data)
+            if not cut:
+                yield b.filter(pa.array([not x for x in spans], pa.bool_()))
+                continue
+            made = [x if not s else clean_text(d, s).decode() for x, d, s in zip(texts, data, spans, strict=True)]
+            at = b.schema.get_field_index("text")
+            b = b.set_column(at, b.schema.field(at), pa.array(made, b.schema.field(at).type))
+            at = b.schema.get_field_index("n_chars")
+            if at >= 0:
+                chars = [n if not s else len(x) for n, s, x in zip(b.column(at).to_pylist(), spans, made, strict=True)]
+                b = b.set_column(at, b.schema.field(at), pa.array(chars, b.schema.field(at).type))
+            yield b.filter(pa.array([not s or bool(words_of(x.encode())) for s, x in zip(spans, made, strict=True)], pa.bool_()))
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: bool = False, window: int = WINDOW) -> DataFrame:
+    """docs, with all columns, without contaminated rows; with `cut`, without the hit spans instead.
+
+    A cut row whose text has no word left goes too; n_chars, if there, follows.
+    """
+    for block in _blocks(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(Benchmark(block, window))
+        docs = with_batches(docs).mapInArrow(_cleaner(held, cut), docs.schema)
+    return docs

@@ -47,6 +47,8 @@ CODES = 64
 SAMPLE = 500
 LANGUAGES = 256
 SEED = 20
+#: The prediction for texts without a letter.
+UND = "und"
 #: Documents whose counts are held at once, and characters of a piece of a text.
 GROUP = 128
 PIECE = 1 << 20
@@ -182,22 +184,25 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Profiles | N
     return Profiles(names, np.array([sums[x] for x in names])) if names else None
 
 
+def _predict(model: Profiles | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    names: list[str] = []
+    scores: list[float] = []
+    for k in range(0, len(texts), GROUP):
+        vectors, sizes = _bundler().bundle(texts[k : k + GROUP])
+        if model is None:
+            names += [UND] * len(sizes)
+            scores += [0.0] * len(sizes)
+            continue
+        best, score = model.predict(vectors)
+        names += [model.languages[i] if n else UND for i, n in zip(best, sizes, strict=True)]
+        scores += np.where(sizes > 0, score, 0.0).tolist()
+    return names, scores
+
+
 def _predictor(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            names: list[str] = []
-            scores: list[float] = []
-            for k in range(0, len(texts), GROUP):
-                vectors, sizes = _bundler().bundle(texts[k : k + GROUP])
-                if model is None:
-                    names += ["und"] * len(sizes)
-                    scores += [0.0] * len(sizes)
-                    continue
-                best, score = model.predict(vectors)
-                names += [model.languages[i] if n else "und" for i, n in zip(best, sizes, strict=True)]
-                scores += np.where(sizes > 0, score, 0.0).tolist()
+            names, scores = _predict(held.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("marked"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "text_hash", "marked", "lang_pred", "score"])
 
     return run
@@ -208,3 +213,18 @@ def identify(docs: DataFrame, model: Profiles | None, marked: Column | None = No
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), (F.lit(None).cast("boolean") if marked is None else marked).alias("marked"), "text")
     return with_batches(rows).mapInArrow(_predictor(held), "doc_id long, text_hash long, marked boolean, lang_pred string, score double")
+
+
+def _keeper(held) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, _ = _predict(held.value, b.column("text").to_pylist())
+            yield b.filter(pa.array([x != UND for x in names], pa.bool_()))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Profiles | None) -> DataFrame:
+    """docs, with all columns, without the rows that are `und`."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return with_batches(docs).mapInArrow(_keeper(held), docs.schema)

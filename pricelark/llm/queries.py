@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm import toxicity
+from pricelark.llm import licences, quality, toxicity
 from pricelark.llm.bpe import bpe_encode
 from pricelark.llm.common import documents, remainder, table
 from pricelark.llm.decontaminate import digest_columns, find_hits
@@ -64,6 +64,29 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = licences.scan(docs, licences.learn(docs))
+    best = F.array_max(F.transform("found", lambda x: F.struct((x["family"] != "unknown").alias("known"), x["probability"].alias("probability"), x["family"].alias("family"), x["similarity"].alias("similarity"))))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
+    return found.select(
+        "doc_id",
+        F.coalesce(best["family"], F.lit("none")).alias("licence"),
+        F.coalesce(best["probability"], F.lit(0.0)).alias("probability"),
+        F.coalesce(best["similarity"], F.lit(0.0)).alias("similarity"),
+        F.array_join(names, ",").alias("licences"),
+        F.size("found").cast("long").alias("n_paragraphs"),
+    )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = quality.score(docs, model, held_out)
+    return found.select("doc_id", F.col("marked").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 SQL_OP7 = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -103,7 +126,18 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_simhash_near_dedup": op2_simhash_near_dedup, "op3_sharding": op3_sharding, "op4_bpe_encode_decode": op4_bpe_encode_decode, "op5_token_files": op5_token_files, "op6_language_id": op6_language_id, "op7_exact_dedup": op7_exact_dedup, "op8_decontamination": op8_decontamination}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_sharding": op3_sharding,
+        "op4_bpe_encode_decode": op4_bpe_encode_decode,
+        "op5_token_files": op5_token_files,
+        "op6_language_id": op6_language_id,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op8_decontamination": op8_decontamination,
+        "op9_licence_scan": op9_licence_scan,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
