@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pricelark.session import workers_find_package
+
 #: Times that the queries take for now.
 HISTORY_AS_OF = "2001-11-05 06:00:00"
 EVENT_AS_OF = "2024-01-31 00:00:00"
@@ -22,6 +24,7 @@ ERRORS = ["Selector no encontrado", "Timeout 30000ms exceeded", "net::ERR_CONNEC
 class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        workers_find_package(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

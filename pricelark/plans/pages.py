@@ -1,3 +1,55 @@
-"""Registered queries over HTML pages."""
+"""Registered queries over HTML pages. What needs a tree has no SQL; tests compare it with fixtures."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pricelark.html import udfs
+from pricelark.plans.catalog import query
+from pricelark.plans.domain import Domain
+
+
+def _pages(d: Domain) -> DataFrame:
+    return d.table("pages")
+
+
+@query()
+def readability_text(d: Domain) -> DataFrame:
+    return _pages(d).select("page_id", udfs.main_text("html").alias("text"))
+
+
+@query()
+def extract_product(d: Domain) -> DataFrame:
+    return udfs.extract_once(_pages(d).select("page_id", "html")).select("page_id", "product.*")
+
+
+@query()
+def detect_grid(d: Domain) -> DataFrame:
+    return _pages(d).select("page_id", udfs.detect_grid("html").alias("g")).select("page_id", "g.*")
+
+
+@query()
+def category_products(d: Domain) -> DataFrame:
+    """Each page shows a card for each of some parts, so that cards can be read."""
+    k = F.col("p_partkey")
+    cards = d.table("part").select(F.floor(k / 6).alias("page_id"), F.concat(F.lit('<div class="product-card"><a href="/p/'), (100000 + k).cast("string"), F.lit('"><img src="/i/'), k.cast("string"), F.lit('.jpg"></a><h3>'), F.col("p_name"), F.lit('</h3><span class="price">$'), F.format_string("%.2f", "p_retailprice"), F.lit("</span></div>")).alias("card"), k.alias("k"))
+    page = F.concat(F.lit('<main id="catalog-grid">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda x: x["card"]), ""), F.lit("</main>"))
+    return udfs.category_products(d.spark, cards.groupBy("page_id").agg(page.alias("html")).withColumn("url", F.lit("https://shop.example.com/list")))
+
+
+@query()
+def next_page(d: Domain) -> DataFrame:
+    return _pages(d).select("page_id", udfs.next_page("html").alias("next_url"))
+
+
+@query()
+def selector_validation(d: Domain) -> DataFrame:
+    k = F.col("page_id")
+    selector = F.when(k % 4 == 0, F.concat(F.lit("//div[@id='"), k.cast("string"), F.lit("']"))).when(k % 4 == 1, F.lit("//div[@id=")).when(k % 4 == 2, F.lit("div > span")).otherwise("div @ x")
+    return _pages(d).select("page_id", udfs.check_selector(selector).alias("s")).select("page_id", "s.*")
+
+
+@query()
+def failure_diagnosis(d: Domain) -> DataFrame:
+    return _pages(d).select("page_id", udfs.diagnose("html").alias("s")).select("page_id", "s.*")
