@@ -35,7 +35,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -43,11 +42,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import with_batches
+from pricelark.llm.common import with_batches, worker_table
 
-#: Entries of the table of chunks (about 250 MB when full), and of those of
+#: Entries of the table of chunks (about 130 MB when full), and of those of
 #: words and arcs; a full table starts anew.
-TABLE = 1_000_000
+TABLE = 500_000
 SMALL_TABLE = 200_000
 #: Words longer than this aren't kept in the tables.
 LONG = 64
@@ -263,10 +262,9 @@ def _nothing() -> Iterator[bytes]:
         yield b""
 
 
-@lru_cache(maxsize=2)
 def compiled(path: str) -> ByteBPE:
     """The compiled tokenizer of this process; a Python worker compiles it once."""
-    return ByteBPE(path)
+    return worker_table(("bpe", path), lambda: ByteBPE(path))
 
 
 _TYPES = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}

@@ -8,16 +8,18 @@ clash with its own.
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
-import os
 import string
 import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelark.session import workers_find_package
+
 #: Rows of a key set that may be broadcast (16 to 24 bytes each in memory, so
 #: about 50 MB). Beyond it the same step runs as a shuffled join.
 BROADCAST_ROWS = 1_000_000
@@ -104,18 +106,26 @@ def small(keys: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
 def with_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """Readies a frame for Python: batches of at most `rows` documents, and workers that find this package."""
     spark = df.sparkSession
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    workers_find_package(spark)
     if int(setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 
-def text_key() -> list[Column]:
-    """Identifies a row of documents by its id and text."""
-    return [F.col("doc_id"), F.xxhash64("text")]
+_HELD: dict = {}
+
+
+def worker_table(key, make: Callable):
+    """What make() made for this key in this Python worker.
+
+    Workers serve one task after another; only the last operator's tables are
+    kept, so a session that runs many operators doesn't add them up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 
+from pricelark.llm.common import worker_table
+
 #: Entries of a worker's table of word hashes; a full table starts anew.
 TABLE = 500_000
 
@@ -25,9 +26,8 @@ class _Hashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return worker_table("hashes", _Hashes)
 
 
 def word_hashes(data: bytes | None) -> np.ndarray:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import materialise, with_batches
+from pricelark.llm.common import materialise, with_batches, worker_table
 
 #: Dimensions, letters of an n-gram, codes of letters (0 is the blank).
 D = 1024
@@ -136,9 +136,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-@lru_cache(maxsize=1)
 def _bundler() -> Bundler:
-    return Bundler()
+    return worker_table("bundler", Bundler)
 
 
 def _map_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelark.llm.bpe import _SETTLED, byte_alphabet
-from pricelark.llm.common import materialise, shuffle_partitions, with_batches
+from pricelark.llm.common import materialise, shuffle_partitions, with_batches, worker_table
 
 END_ID = 2
 #: Entries of a worker's table of chunks; a full table starts anew.
@@ -167,9 +166,8 @@ class WordBPE(dict):
         return np.frombuffer(made, dtype="<u4")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordBPE:
-    return WordBPE(path)
+    return worker_table(("word-bpe", path), lambda: WordBPE(path))
 
 
 BLOCK_SCHEMA = "part int, block int, doc_ids array<long>, counts array<int>, offsets array<int>, words binary"
