@@ -1,98 +1,44 @@
-"""The HTML functions on columns: Arrow-batched, one Python call per distinct page of a batch."""
+"""The HTML functions on columns: Arrow-batched pandas UDFs, and category pages as a table function."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import asdict
-from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
-from pricelark.html import category, product, readability, selectors
-from pricelark.html.dom import parse
+from pricelark.html import batches, category, product
 
+#: What the table function returns for each card.
+PRODUCTS = "card int, name string, price decimal(18,2), url string, image_url string, sku string, next_url string"
 
-def _each(pages: pd.Series, f: Callable) -> list:
-    """f of each value, called once for equal ones."""
-    known: dict = {}
-    out = []
-    for p in pages:
-        if p not in known:
-            known[p] = f(p)
-        out.append(known[p])
-    return out
 
+def _udf(f: Callable, schema: str) -> Callable[..., Column]:
+    def call(*columns: Column | str) -> Column:
+        return pandas_udf(f, schema)(*columns)
 
-@pandas_udf(product.SCHEMA)
-def _extract(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([asdict(x) for x in _each(pages, product.extract)], columns=[c.split()[0] for c in product.SCHEMA.split(", ")])
+    return call
 
 
-@pandas_udf("string")
-def _main_text(pages: pd.Series) -> pd.Series:
-    return pd.Series(_each(pages, readability.main_text), dtype=object)
-
-
-@pandas_udf("string")
-def _main_html(pages: pd.Series) -> pd.Series:
-    return pd.Series(_each(pages, readability.main_html), dtype=object)
-
-
-@pandas_udf(category.SELECTORS_SCHEMA)
-def _grid(pages: pd.Series) -> pd.DataFrame:
-    names = [c.split()[0] for c in category.SELECTORS_SCHEMA.split(", ")]
-    found = _each(pages, lambda p: category.detect(parse(p)))
-    return pd.DataFrame([asdict(x) if x else dict.fromkeys(names) for x in found], columns=names)
-
-
-@pandas_udf("string")
-def _next_page(pages: pd.Series) -> pd.Series:
-    return pd.Series(_each(pages, lambda p: category.next_page(parse(p))), dtype=object)
-
-
-@pandas_udf("is_xpath boolean, valid boolean")
-def _selector(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"is_xpath": _each(values, selectors.is_xpath), "valid": _each(values, selectors.is_valid_selector)})
-
-
-@pandas_udf("boolean")
-def _learned(pages: pd.Series, paths: pd.Series, prices: pd.Series) -> pd.Series:
-    return pd.Series([selectors.learned_selector_holds(parse(p), x, Decimal(v)) if x and v is not None else False for p, x, v in zip(pages, paths, prices, strict=True)])
-
-
-@pandas_udf("price string, name string, image string, stock string")
-def _diagnosis(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(_each(pages, product.diagnose), columns=["price", "name", "image", "stock"])
-
-
-@pandas_udf(product.SCHEMA)
-def _configured(pages: pd.Series, price: pd.Series, stock: pd.Series, image: pd.Series) -> pd.DataFrame:
-    found = [product.by_selectors(parse(p), a, b, c) or product.Product(method="") for p, a, b, c in zip(pages, price, stock, image, strict=True)]
-    return pd.DataFrame([asdict(x) for x in found], columns=[c.split()[0] for c in product.SCHEMA.split(", ")])
-
-
-extract_product: Callable[[Column], Column] = _extract
-main_text: Callable[[Column], Column] = _main_text
-main_html: Callable[[Column], Column] = _main_html
-detect_grid: Callable[[Column], Column] = _grid
-next_page: Callable[[Column], Column] = _next_page
-check_selector: Callable[[Column], Column] = _selector
-learned_selector_holds: Callable[[Column, Column, Column], Column] = _learned
-diagnose: Callable[[Column], Column] = _diagnosis
-by_selectors: Callable[..., Column] = _configured
+extract_product = _udf(batches.extract, product.SCHEMA)
+main_text = _udf(batches.main_text, "string")
+main_html = _udf(batches.main_html, "string")
+detect_grid = _udf(batches.grid, category.SELECTORS_SCHEMA)
+next_page = _udf(batches.next_page, "string")
+check_selector = _udf(batches.selector, "is_xpath boolean, valid boolean")
+learned_selector_holds = _udf(batches.learned, "boolean")
+diagnose = _udf(batches.diagnosis, "price string, name string, image string, stock string")
+by_selectors = _udf(batches.configured, product.SCHEMA)
 
 
 def extract_once(pages: DataFrame) -> DataFrame:
     """pages(page_id, html, ...) with a struct `product`; equal pages are extracted once in the whole table."""
     keyed = pages.withColumn("html_key", F.sha2("html", 256))
-    one = keyed.groupBy("html_key").agg(F.first("html").alias("html")).select("html_key", _extract("html").alias("product"))
+    one = keyed.groupBy("html_key").agg(F.first("html").alias("html")).select("html_key", extract_product("html").alias("product"))
     return keyed.join(one, "html_key", "left").drop("html_key")
 
 
-@udtf(returnType="card int, name string, price decimal(18,2), url string, image_url string, sku string, next_url string")
 class CategoryProducts:
     """HTM-25 as a table function: one page in, a row per product out."""
 
@@ -104,7 +50,7 @@ class CategoryProducts:
 
 def category_products(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id and the products of pages(page_id, url, html)."""
-    spark.udtf.register("pricelark_category_products", CategoryProducts)
+    spark.udtf.register("pricelark_category_products", udtf(CategoryProducts, returnType=PRODUCTS))
     pages.select("page_id", "url", "html").createOrReplaceTempView("pricelark_category_pages")
     return spark.sql("SELECT p.page_id, c.* FROM pricelark_category_pages p, LATERAL pricelark_category_products(p.html, p.url) c")
 
