@@ -159,7 +159,8 @@ def _recent(metrics: DataFrame, sites: DataFrame, as_of: str, days: int) -> Data
     return rows.join(F.broadcast(sites.select("site_id", "site_name")), "site_id")
 
 
-_SUCCESS = F.round(F.count_if(F.col("ok")) * 100.0 / F.count("*"), 6)
+def _success() -> Column:
+    return F.round(F.count_if(F.col("ok")) * 100.0 / F.count("*"), 6)
 
 
 def _zero(c: Column) -> Column:
@@ -168,19 +169,19 @@ def _zero(c: Column) -> Column:
 
 def quality_global(metrics: DataFrame, sites: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """AGG-4, JN-1."""
-    return _recent(metrics, sites, as_of, days).agg(F.count("*").alias("total"), F.coalesce(_SUCCESS, F.lit(0.0)).alias("success_pct"), _zero(F.avg("latency_ms")).alias("mean_latency"))
+    return _recent(metrics, sites, as_of, days).agg(F.count("*").alias("total"), F.coalesce(_success(), F.lit(0.0)).alias("success_pct"), _zero(F.avg("latency_ms")).alias("mean_latency"))
 
 
 def quality_by_site(metrics: DataFrame, sites: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """AGG-5. Sites of one name count as one."""
     latest = F.max_by(F.coalesce("source", F.lit(DEFAULT_SOURCE)), F.struct("recorded_at", "metric_id"))
-    return _recent(metrics, sites, as_of, days).groupBy("site_name").agg(F.count("*").alias("total"), _SUCCESS.alias("success_pct"), _zero(F.avg(F.when(F.col("ok"), F.col("confidence")))).alias("mean_confidence"), _zero(F.avg("latency_ms")).alias("mean_latency"), latest.alias("last_source"))
+    return _recent(metrics, sites, as_of, days).groupBy("site_name").agg(F.count("*").alias("total"), _success().alias("success_pct"), _zero(F.avg(F.when(F.col("ok"), F.col("confidence")))).alias("mean_confidence"), _zero(F.avg("latency_ms")).alias("mean_latency"), latest.alias("last_source"))
 
 
 def quality_by_method(metrics: DataFrame, sites: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """AGG-6."""
     rows = _recent(metrics, sites, as_of, days)
-    return rows.groupBy(F.coalesce("method", F.lit(DEFAULT_SOURCE)).alias("method"), F.coalesce("source", F.lit(DEFAULT_SOURCE)).alias("source")).agg(F.count("*").alias("total"), _SUCCESS.alias("success_pct"), _zero(F.avg(F.when(F.col("ok"), F.col("confidence")))).alias("mean_confidence"), _zero(F.avg("latency_ms")).alias("mean_latency"))
+    return rows.groupBy(F.coalesce("method", F.lit(DEFAULT_SOURCE)).alias("method"), F.coalesce("source", F.lit(DEFAULT_SOURCE)).alias("source")).agg(F.count("*").alias("total"), _success().alias("success_pct"), _zero(F.avg(F.when(F.col("ok"), F.col("confidence")))).alias("mean_confidence"), _zero(F.avg("latency_ms")).alias("mean_latency"))
 
 
 # --- failures ----------------------------------------------------------------

@@ -62,7 +62,8 @@ def discount_opportunities(d: Domain) -> DataFrame:
     return _items(d)
 
 
-@query(_DISCOUNTS + "SELECT * FROM item WHERE site_id = 2 AND lower(category) = 'economy' AND in_stock ORDER BY prev_price - price DESC, variant_id LIMIT 8 OFFSET 8")
+@query(_DISCOUNTS + """SELECT * EXCLUDE (rn, n) FROM (SELECT *, row_number() OVER (ORDER BY prev_price - price DESC, variant_id) AS rn, count(*) OVER () AS n FROM item WHERE site_id = 2 AND lower(category) = 'economy' AND in_stock)
+WHERE (rn - 1) // 8 = least(2, greatest(1, CAST(ceil(n / 8.0) AS BIGINT))) - 1""")
 def discount_filtered_page(d: Domain) -> DataFrame:
     return an.discount_page(_items(d), 2, "Economy", True, "saving", 2)
 
