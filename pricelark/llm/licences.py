@@ -124,7 +124,12 @@ class Model:
             margin[line[starts]] = np.add.reduceat(self.weights[slot], starts, axis=0)
         # Sums over a line's features are scaled by its length, as in training.
         margin = margin / np.sqrt(np.maximum(2 * sizes - 1, 1))[:, None] + self.bias
-        return _softmax(margin / self.temperature)
+        odds = _softmax(margin / self.temperature)
+        bare = np.ones(len(sizes), dtype=bool)
+        bare[line] = False
+        odds[bare] = 0.0  # nothing in the line speaks for a licence
+        odds[bare, NONE] = 1.0
+        return odds
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
