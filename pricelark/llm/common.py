@@ -103,6 +103,23 @@ def small(keys: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
     return keys.limit(bound + 1).count() <= bound
 
 
+#: A group with more than this share of all rows is hot, so at most HOT_GROUPS are.
+HOT_GROUPS, HOT_ROWS = 4096, 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, group_key: str, size: str) -> DataFrame:
+    """rows (a written table) left-joined with one row per group, whatever the groups' sizes.
+
+    Hot groups are broadcast; there are at most HOT_GROUPS of them by
+    arithmetic. Only rows of other groups are shuffled by their key.
+    """
+    most = max(HOT_ROWS, rows.count() // HOT_GROUPS)
+    hot = F.broadcast(groups.where(F.col(size) > most))
+    rest = groups.where(F.col(size) <= most)
+    same = lambda g: rows[key] == g[group_key]
+    return rows.join(hot, same(hot)).unionByName(rows.join(hot, same(hot), "left_anti").join(rest, rows[key] == rest[group_key], "left"))
+
+
 def with_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """Readies a frame for Python: batches of at most `rows` documents, and workers that find this package."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ broadcast when it has no more rows than `common.BROADCAST_ROWS`; a larger set
 isn't passed on and the gate stays open, which costs hashing but changes no
 result. Only keys are shuffled, never texts, and every grouping combines
 before its shuffle, so a group with a third of all rows costs one row per
-task. The join that hands results back is left to AQE's skew handling.
+task. Results are handed back by a join that broadcasts hot groups only.
 
 Defined cases: null text = ''; null doc_id ranks below every other and is
 returned as null; rows repeated with the same id and text are counted each in
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import drop_rows, lower_ascii, materialise, small
+from pricelark.llm.common import drop_rows, join_groups, lower_ascii, materialise, small
 
 #: Bytes of the prefix that the second step hashes.
 HEAD_CHARS = 64
@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     open_rows = rows.where("open")
     by_id = open_rows.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
     groups = by_id.groupBy(F.col("text_sha256").alias("g_sha")).agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max(F.struct(F.col("doc_id"), F.col("n")))["n"].alias("copies")).where("group_size > 1")
-    found = open_rows.join(groups, open_rows["text_sha256"] == groups["g_sha"], "left")
+    groups = materialise(groups, "exact-groups")
+    found = join_groups(open_rows, groups, "text_sha256", "g_sha", "group_size")
     found = found.withColumns({"single": F.col("g_sha").isNull(), "group_size": F.coalesce("group_size", F.lit(1)), "copies": F.coalesce("copies", F.lit(1))})
     found = found.withColumn("keep_id", F.when(F.col("single"), F.col("doc_id")).otherwise(F.col("keep_id")))
     found = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
