@@ -9,6 +9,7 @@ from decimal import Decimal
 import pandas as pd
 
 from pricelark.html import category, product, readability, selectors
+from pricelark.html.client import extract_client
 from pricelark.html.dom import parse
 
 
@@ -60,3 +61,9 @@ def diagnosis(pages: pd.Series) -> pd.DataFrame:
 def configured(pages: pd.Series, price: pd.Series, stock: pd.Series, image: pd.Series) -> pd.DataFrame:
     found = [product.by_selectors(parse(p), a, b, c) or product.Product(method="") for p, a, b, c in zip(pages, price, stock, image, strict=True)]
     return pd.DataFrame([asdict(x) for x in found], columns=[c.split()[0] for c in product.SCHEMA.split(", ")])
+
+
+def client(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
+    names = [c.split()[0] for c in product.SCHEMA.split(", ")]
+    found = [extract_client(p, u) for p, u in zip(pages, urls, strict=True)]
+    return pd.DataFrame([asdict(x) if x else dict.fromkeys(names) for x in found], columns=names)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
+from pricelark.functions.urls import make_absolute_url
 from pricelark.html import batches, category, product
 
 #: What the table function returns for each card.
@@ -30,6 +31,7 @@ check_selector = _udf(batches.selector, "is_xpath boolean, valid boolean")
 learned_selector_holds = _udf(batches.learned, "boolean")
 diagnose = _udf(batches.diagnosis, "price string, name string, image string, stock string")
 by_selectors = _udf(batches.configured, product.SCHEMA)
+extract_product_client = _udf(batches.client, product.SCHEMA)
 
 
 def extract_once(pages: DataFrame) -> DataFrame:
@@ -55,6 +57,23 @@ def category_products(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return spark.sql("SELECT p.page_id, c.* FROM pricelark_category_pages p, LATERAL pricelark_category_products(p.html, p.url) c")
 
 
+def follow_pages(starts: DataFrame, pages: DataFrame, most: int = 10) -> DataFrame:
+    """HTM-26, SET-4: the pages that follow each other from starts(url), over stored pages(url, html).
+
+    Returns start, url, page_no. A URL is visited once per start, whatever its
+    case; `most` pages are read, which is the feature's limit. The links are
+    found once per page; each step is a join on the URL.
+    """
+    links = pages.select(F.lower("url").alias("at"), "url", next_page("html").alias("n")).withColumn("next_url", make_absolute_url(F.col("n"), F.col("url"))).select("at", "next_url").dropDuplicates(["at"])
+    step = starts.select(F.col("url").alias("start"), "url", F.lit(1).alias("page_no"), F.array(F.lower("url")).alias("seen"))
+    out = step
+    for _ in range(most - 1):
+        step = step.join(links, F.lower("url") == F.col("at")).where((F.coalesce("next_url", F.lit("")) != "") & ~F.array_contains("seen", F.lower("next_url")))
+        step = step.select("start", F.col("next_url").alias("url"), F.col("page_no") + 1, F.concat("seen", F.array(F.lower("next_url")))).toDF("start", "url", "page_no", "seen")
+        out = out.unionByName(step)
+    return out.drop("seen")
+
+
 def accept(configured: Column, extracted: Column) -> Column:
     """HTM-14, HTM-29: the site's selectors, else the extraction; a SKU, a name, and a price or no stock are asked for."""
     best = F.when(configured["price"].isNotNull(), configured).otherwise(extracted)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelark.functions import pages as rules
 from pricelark.html import udfs
 from pricelark.plans.catalog import query
 from pricelark.plans.domain import Domain
@@ -53,3 +54,25 @@ def selector_validation(d: Domain) -> DataFrame:
 @query()
 def failure_diagnosis(d: Domain) -> DataFrame:
     return _pages(d).select("page_id", udfs.diagnose("html").alias("s")).select("page_id", "s.*")
+
+
+@query()
+def extract_product_client(d: Domain) -> DataFrame:
+    return _pages(d).select("page_id", udfs.extract_product_client("html", "url").alias("p")).select("page_id", "p.*")
+
+
+@query()
+def follow_pages(d: Domain) -> DataFrame:
+    return udfs.follow_pages(_pages(d).select("url"), _pages(d).select("url", "html"), 3)
+
+
+@query("""SELECT page_id, regexp_matches(lower(html), 'px-captcha|challenge-platform|cf-challenge|mantén presionado|manten presionado|verifica tu identidad|human challenge|securitas|perimeterx') AS blocked,
+  regexp_matches(lower(html), '"pdp_type":"no_stock"|"has_stock":false|este producto no está disponible|publicación pausada|producto no disponible|sin stock|agotado|out of stock|sold out') AS no_stock FROM pages""")
+def page_signatures(d: Domain) -> DataFrame:
+    return _pages(d).select("page_id", rules.is_captcha_or_block(F.col("html")).alias("blocked"), rules.says_no_stock(F.col("html")).alias("no_stock"))
+
+
+@query("""SELECT page_id, '<script src="#blocked-tracker"></script><script>blocked_gtm; console.log(''fbq blocked''); //); window.self.location = 1</script>' || html AS html FROM pages""")
+def neutralize_trackers(d: Domain) -> DataFrame:
+    trackers = """<script src="https://www.GoogleTagManager.com/x?id=1"></script><script>google_tag_manager; fbq('init'); window.top.location = 1</script>"""
+    return _pages(d).select("page_id", rules.neutralize_trackers(F.concat(F.lit(trackers), F.col("html"))).alias("html"))

@@ -116,3 +116,35 @@ def test_readability():
     text = readability.main_text('<body><div class="sidebar"><a href="#">one link</a> <a href="#">two links here</a></div><div class="x"><p>A long paragraph, with commas, and sentences. It goes on, and on; it ends.</p></div></body>')
     assert "A long paragraph" in text and "links" not in text
     assert readability.main_text("") == "" and readability.main_html(None) == ""
+
+
+def test_client():
+    from pricelark.html import client
+
+    got = client.extract_client('<h1>Whey Pro</h1><span class="price">$1,299.50</span><main><img src="a.jpg"></main>', "https://s.com/p/12345")
+    assert (got.name, got.price, got.sku, got.brand, got.image_url, got.confidence) == ("Whey Pro", Decimal("1299.50"), "12345", "Whey", "a.jpg", 0)
+    assert client.extract_client("<h1>N</h1>", "https://s.com/x") is None
+    gone = client.extract_client("<h1>N</h1><p>Agotado</p>", "https://s.com/x")
+    assert gone.sku == client.stable_hash("https://s.com/x") and not gone.in_stock
+    meli = client.extract_client('<h1 class="ui-pdp-title">T</h1><span class="andes-money-amount__fraction">1,249</span><span class="andes-money-amount__cents">50</span>', "https://www.mercadolibre.com.mx/x/p/MLM123456")
+    assert (meli.price, meli.sku) == (Decimal("1249.50"), "MLM123456")
+    costco = client.extract_client('<h1>Isopure</h1><b class="price">$10</b>', "https://www.costco.com.mx/x/p/777")
+    assert (costco.sku, costco.brand) == ("777", "Isopure")
+    deep = client.extract_client(LD % '{"a":{"b":[{"@type":"Product","name":"J","mpn":"m1","offers":[{"price":"5"}],"brand":{"name":"B"}}]}}', "https://s.com")
+    assert (deep.name, deep.price, deep.sku, deep.brand) == ("J", Decimal("5.00"), "m1", "B")
+    assert client.is_out_of_stock(tree('<p class="x no-stock">Publicación Pausada</p>'), "") and not client.is_out_of_stock(tree("<p>ok</p>"), "<p>ok</p>")
+
+
+def test_follow_and_answers(spark):
+    from pyspark.sql import functions as F
+
+    from pricelark.functions import pages
+    from pricelark.html import udfs
+
+    rows = [("https://s.com/l", '<a rel="next" href="/l2">x</a>'), ("https://s.com/l2", '<a rel="next" href="/L">x</a>'), ("https://s.com/l3", "")]
+    stored = spark.createDataFrame(rows, "url string, html string")
+    got = udfs.follow_pages(stored.where("url <> 'https://s.com/l2'").select("url"), stored, 5).collect()
+    assert sorted((r["start"], r["url"], r["page_no"]) for r in got) == [("https://s.com/l", "https://s.com/l", 1), ("https://s.com/l", "https://s.com/l2", 2), ("https://s.com/l3", "https://s.com/l3", 1)]
+    text = "** 🏆 La Mejor Oferta: ** Whey a $10\n** 📊 Los Números: ** uno\ndos\n* x\n** 🥈 Mención Honorífica: ** otra"
+    r = spark.createDataFrame([(text,)], "t string").select(pages.answer_sections(F.col("t")).alias("s"), pages.markdown_html(F.lit("a **b** <c>\n* d\ne")).alias("m")).first()
+    assert tuple(r["s"]) == ("Whey a $10", "uno\ndos", "", "otra") and r["m"] == "a <strong>b</strong> &lt;c&gt;<br/>• d<br/>e"
