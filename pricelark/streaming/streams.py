@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the stateful rules (STF-1, 2, 4, 6 to 10).
+"""Structured Streaming forms of the stateful rules (STF-1 to STF-10).
 
 State is keyed (variant or proxy), so it is spread by the key's hash and holds
 a few numbers per key. Rows of a key come unordered inside a micro-batch and
@@ -9,6 +9,7 @@ streams write their checkpoints to the folder they are given.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricelark.operators.merge import bulk_merge
-from pricelark.operators.stateful import ATTEMPTS_A_DAY, STRIKES
+from pricelark.operators.stateful import ATTEMPTS_A_DAY, DISTINCT_VARIANTS, STRIKES
 from pricelark.operators.store import Store
 from pricelark.session import workers_find_package
 
@@ -82,6 +83,46 @@ def proxy_health(results: DataFrame) -> DataFrame:
     return results.groupBy("proxy_id").applyInPandasWithState(health_rows, "result_id long, proxy_id long, tried_at timestamp_ntz, ok boolean, failures long, banned boolean", "n long, banned boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def promotion_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """STF-3: state is each selector's variants so far, until there are enough of them."""
+    seen: dict[str, list[int]] = json.loads(state.get[0]) if state.exists else {}
+    rows = pd.concat(list(parts)).sort_values(["validated_at", "candidate_id"], kind="stable")
+    keep = []
+    for xpath, variant, price in zip(rows["xpath"], rows["variant_id"], rows["price"], strict=True):
+        known = seen.setdefault(xpath, []) if xpath and xpath.strip() and price is not None and price > 0 else None
+        fresh = known is not None and len(known) < DISTINCT_VARIANTS and int(variant) not in known
+        if fresh:
+            known.append(int(variant))
+        keep.append(fresh and len(known) == DISTINCT_VARIANTS)
+    state.update((json.dumps(seen),))
+    yield rows[keep][["site_id", "xpath", "validated_at"]]
+
+
+def promotions(candidates: DataFrame) -> DataFrame:
+    """site_id, xpath, validated_at of each selector when its last needed variant confirms it; the newest is the site's."""
+    workers_find_package(candidates.sparkSession)
+    return candidates.groupBy("site_id").applyInPandasWithState(promotion_rows, "site_id long, xpath string, validated_at timestamp_ntz", "seen string", "append", GroupStateTimeout.NoTimeout)
+
+
+def escalation_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """STF-5: state is the site's strategy."""
+    now = state.get[0] if state.exists else ""
+    weight = {"": 0, "Cloudflare": 3, "Heavy-JS": 2}
+    rows = pd.concat(list(parts)).sort_values(["detected_at", "detection_id"], kind="stable")
+    current = []
+    for s in rows["strategy"]:
+        if weight.get(s, 1) > weight.get(now, 1):
+            now = s
+        current.append(now)
+    state.update((now,))
+    yield rows.assign(current=pd.Series(current, index=rows.index, dtype=object))[["detection_id", "site_id", "detected_at", "strategy", "current"]]
+
+
+def escalations(detections: DataFrame) -> DataFrame:
+    workers_find_package(detections.sparkSession)
+    return detections.groupBy("site_id").applyInPandasWithState(escalation_rows, "detection_id long, site_id long, detected_at timestamp_ntz, strategy string, current string", "strategy string", "append", GroupStateTimeout.NoTimeout)
+
+
 def hourly_metrics(metrics: DataFrame, late: str = "1 hour") -> DataFrame:
     """An addition: counts per hour of event time, with a watermark that bounds the state."""
     timed = metrics.withColumn("at", F.col("recorded_at").cast("timestamp")).withWatermark("at", late)

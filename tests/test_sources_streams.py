@@ -55,6 +55,11 @@ def test_stateful_streams_equal_batch(spark, tmp_path):
     names = ["attempt_id", "variant_id", "attempted_at", "ok"]
     got = run(streams.limited_attempts(stream.toDF(*names)), "limits")
     assert got == sorted(tuple(r) for r in st.attempt_limiter(batch.toDF(*names)).select("attempt_id", "variant_id", "attempted_at", "attempts_today", "allowed").collect())
+    kind = F.when(F.col("result_id") % 7 == 0, "Cloudflare").when(F.col("result_id") % 5 == 0, "Heavy-JS").otherwise("Standard")
+    seen = lambda df: df.select(F.col("result_id").alias("detection_id"), F.col("proxy_id").alias("site_id"), F.col("tried_at").alias("detected_at"), kind.alias("strategy"))
+    assert run(streams.escalations(seen(stream)), "escalations") == sorted(map(tuple, st.strategy_escalation(seen(batch)).collect()))
+    cand = lambda df: df.select(F.col("result_id").alias("candidate_id"), F.col("proxy_id").alias("site_id"), (F.col("result_id") % 9).cast("int").alias("variant_id"), F.concat(F.lit("//x"), (F.col("result_id") % 4).cast("string")).alias("xpath"), F.when(F.col("ok"), 0).otherwise(5).cast("decimal(18,2)").alias("price"), F.col("tried_at").alias("validated_at"))
+    assert run(streams.promotions(cand(stream)), "promotions") == sorted((r["site_id"], r["xpath"], r["promoted_at"]) for r in st.selector_promotion(cand(batch)).where("promoted_at IS NOT NULL").collect())
     m = spark.readStream.schema(batch.schema).parquet(src).select(F.col("tried_at").alias("recorded_at"), "ok")
     m = streams.hourly_metrics(m)
     m.writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "hours")).trigger(availableNow=True).start().awaitTermination()
