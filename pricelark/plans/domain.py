@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelark.session import workers_find_package
+from pricelark.session import checked_broadcast, workers_find_package
 
 #: Times that the queries take for now.
 HISTORY_AS_OF = "2001-11-05 06:00:00"
@@ -47,11 +47,11 @@ class Domain:
 
     @cached_property
     def history(self) -> DataFrame:
-        """One row per capture. Suppliers and nations are dimensions; AQE broadcasts them if they are small."""
+        """One row per capture. Suppliers with their regions are a dimension, broadcast if a count says that it is small."""
         where = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
         return (
             self.table("lineitem")
-            .join(where, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(checked_broadcast(where), F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
                 (F.col("l_partkey") * 5 + F.col("n_regionkey")).alias("variant_id"),
                 F.col("l_partkey").alias("product_id"),

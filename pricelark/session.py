@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a dimension that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -15,3 +19,12 @@ def workers_find_package(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
+def checked_broadcast(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A dimension with a broadcast hint if it has no more than `rows` rows, and as it is otherwise.
+
+    Estimates of a joined dimension multiply, so without the hint Spark may
+    take the fact table for the smaller side.
+    """
+    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
