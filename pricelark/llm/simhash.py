@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import drop_rows, materialise, small, with_batches
+from pricelark.llm.common import drop_rows, join_groups, materialise, small, with_batches
 from pricelark.llm.components import components
 
 SEED = 42
@@ -148,13 +148,13 @@ def near_links(fps: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp, component_id for every row."""
     rows = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprint-nodes")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "fingerprint-nodes")
     roots = components(near_links(nodes.select("fp")))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "rows", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "fingerprint-roots")
     heads = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(heads, "root").select(F.col("fp").alias("node"), "component_id")
-    return rows.join(ids, rows["fp"] == ids["node"]).select("doc_id", "text_hash", "fp", "component_id")
+    ids = named.join(heads, "root").select(F.col("fp").alias("node"), "component_id", "rows")
+    return join_groups(rows, ids, "fp", "node", "rows").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
