@@ -203,7 +203,7 @@ def _map_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame) -> Model:
     chosen = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).where(F.col("doc_id").isNotNull()).orderBy("h").limit(SAMPLE).select(F.col("doc_id").alias("c"), "h")
-    rows = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c")) & (F.xxhash64("doc_id", "text") == F.col("h"))).select(F.col("text").cast("binary").alias("data"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("c")) & (F.xxhash64("doc_id", "text") == F.col("h"))).select(F.col("text").cast("binary").alias("data"))
     lines = sorted(bytes(r["line"]) for r in with_batches(rows).mapInArrow(_map_lines, "line binary").limit(LINES).collect())
     return fit([x.split() for x in lines])
 

@@ -102,7 +102,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """h, label, data of at most `sample` labelled rows of docs; `usable` is over doc_id."""
     chosen = labels.where(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     chosen = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "label").limit(sample).withColumnRenamed("doc_id", "label_id")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("h", "label", F.col("text").cast("binary").alias("data"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("h", "label", F.col("text").cast("binary").alias("data"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", sample: int = SAMPLE) -> Model:

@@ -15,13 +15,13 @@ from tokenizers import Tokenizer
 from pricelark.llm import bpe, decontaminate, exact_dedup, language, licences, quality, queries, sharding, simhash, token_files, toxicity
 from pricelark.llm.common import remainder
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, fp string, row_no int, `start` int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, fp string, row_no int, `start` int, h int, label int, l int, n int, c int, `data` int, marked int, gone_id int, node int, part int, shard int, mask int, `key` int"
 BYTE, WORD = public_tokenizers.path(queries.BYTE_BPE), public_tokenizers.path(queries.WORD_BPE)
 
 
 def table(spark, rows):
     """rows (doc_id, text); further columns have names that operators use themselves."""
-    return spark.createDataFrame([(i, t, None, None, None, 7, "x", 1, 2) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, None, None, None, 7, "x", 1, 2, *range(13)) for i, t in rows], DOCS)
 
 
 ODD = [(1, None), (2, ""), (3, "Hola"), (3, "Hola"), (4, "hola"), (None, "HOLA"), (5, "ÁB"), (6, "áb"), (7, "x " * 40000), (8, " \n\t ")]
