@@ -27,4 +27,4 @@ def checked_broadcast(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataF
     Estimates of a joined dimension multiply, so without the hint Spark may
     take the fact table for the smaller side.
     """
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
+    return F.broadcast(dimension) if dimension.count() <= rows else dimension
