@@ -99,8 +99,8 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def small(keys: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
-    """Whether a table of keys has no more rows than may be broadcast."""
-    return keys.limit(bound + 1).count() <= bound
+    """Whether a (written) table of keys has no more rows than may be broadcast. A limit here would bring rows to one task."""
+    return keys.count() <= bound
 
 
 #: A group with more than this share of all rows is hot, so at most HOT_GROUPS are.
@@ -150,7 +150,7 @@ def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     `gone` is broadcast if it is small and joined with a shuffle otherwise.
     """
-    gone = gone.select("gone_id", "gone_hash").distinct()
+    gone = materialise(gone.select("gone_id", "gone_hash").distinct(), "gone")
     if small(gone):
         gone = F.broadcast(gone)
     same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"])

@@ -35,6 +35,7 @@ HEAD_CHARS = 64
 def _gate(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Marks rows whose key occurs more than once, or all if there are too many such keys."""
     again = rows.where("open").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in keys))
+    again = materialise(again, "exact-again")
     if not small(again):
         return rows
     on = [rows[k] == again[f"g_{k}"] for k in keys]
