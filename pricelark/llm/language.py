@@ -170,11 +170,14 @@ class Profiles:
 def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Profiles | None:
     """Profiles from text and lang of the rows where `usable` holds, lang isn't null and text has letters."""
     keyed = docs.where(usable & F.col("lang").isNotNull() & (F.col("text").rlike(r"\p{L}"))).select("lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"))
-    common = keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(F.col("lang").alias("l"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = keyed.join(F.broadcast(common), F.col("lang") == F.col("l"), "left_semi").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("h").distinct()
-    rows = docs.where(usable & F.col("lang").isNotNull()).withColumn("pricelark_h", F.xxhash64("doc_id", "text"))
-    rows = rows.join(F.broadcast(chosen), F.col("pricelark_h") == F.col("h"), "left_semi").select("lang", "text")
+    common = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select(F.col("lang").alias("l"), "n")
+    # The hash lets about 2 * sample rows of each language through, however frequent it is; the window ranks only these.
+    place = F.pmod("h", F.lit(1 << 40))
+    few = keyed.join(F.broadcast(common), F.col("lang") == F.col("l")).where(place < F.lit(2.0 * sample * (1 << 40)) / F.col("n"))
+    first = Window.partitionBy("lang").orderBy(place, "h")
+    chosen = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).select("h").distinct()
+    rows = docs.where(usable & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = rows.join(F.broadcast(chosen), F.col("key") == F.col("h"), "left_semi").select("lang", "text")
     found = materialise(with_batches(rows).mapInArrow(_map_vectors, "lang string, vector binary"), "language-vectors")
     sums: dict[str, np.ndarray] = {}
     for r in found.toLocalIterator():
@@ -217,13 +220,17 @@ def identify(docs: DataFrame, model: Profiles | None, marked: Column | None = No
 def _keeper(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, _ = _predict(held.value, b.column("text").to_pylist())
+            texts = b.column("text").to_pylist()
+            if held.value is None:  # nothing was learnt, so only letters can tell
+                names = ["" if t and len(ngrams(t)) else UND for t in texts]
+            else:
+                names, _ = _predict(held.value, texts)
             yield b.filter(pa.array([x != UND for x in names], pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame, model: Profiles | None) -> DataFrame:
-    """docs, with all columns, without the rows that are `und`."""
+    """docs, with all columns, without the rows that are `und`; without a model, without those that have no letter."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     return with_batches(docs).mapInArrow(_keeper(held), docs.schema)

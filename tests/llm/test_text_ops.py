@@ -294,6 +294,8 @@ def test_models_on_odd_tables(spark, odd, empty):
     assert sorted(r["doc_id"] for r in got if r["lang_pred"] == "und") == [1, 2, 8] and all(r["score"] == 0 for r in got if r["lang_pred"] == "und")
     assert {r["lang_pred"] for r in language.identify(odd, language.learn(odd, every)).collect()} == {"und"}
     assert language.learn(empty, every) is None and language.keep_identified(empty, None).count() == 0
+    for m in (model, None):
+        assert language.keep_identified(odd, m).count() == len(ODD) - 3
 
 
 def test_long_texts_in_pieces(monkeypatch):
