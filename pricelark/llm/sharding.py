@@ -41,12 +41,11 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     # One row per partition: bounded by the number of partitions, not by the data.
     totals = ranged.groupBy("part").agg(F.sum("size").alias("part_size"), F.count("*").alias("part_rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("size_before"), F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"))
-    whole = totals.agg(F.coalesce(F.sum("part_size"), F.lit(0)).alias("total"))
+    offsets = totals.select("part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("size_before"), F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"), F.sum("part_size").over(Window.partitionBy()).alias("total"))
 
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumns({"size_in": F.coalesce(F.sum("size").over(inside), F.lit(0)), "rows_in": F.count("*").over(inside)})
-    placed = placed.join(F.broadcast(offsets), "part").crossJoin(F.broadcast(whole))
+    placed = placed.join(F.broadcast(offsets), "part")
     placed = placed.withColumns({"start": F.col("size_before") + F.col("size_in"), "row_index": F.col("rows_before") + F.col("rows_in")})
     middle = f"least({n_shards - 1}, (2 * start + size) * {n_shards} div (2 * total))"
     placed = materialise(placed.select("doc_id", "size", "text_crc32", "start", "row_index", F.expr(middle).cast("int").alias("shard")), "shard-placed")
