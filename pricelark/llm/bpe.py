@@ -44,10 +44,10 @@ from pyspark.sql import functions as F
 
 from pricelark.llm.common import with_batches, worker_table
 
-#: Entries of the table of chunks (about 130 MB when full), and of those of
+#: Entries of the table of chunks (about 120 MB when full), and of those of
 #: words and arcs; a full table starts anew.
 TABLE = 500_000
-SMALL_TABLE = 200_000
+SMALL_TABLE = 100_000
 #: Words longer than this aren't kept in the tables.
 LONG = 64
 
@@ -92,7 +92,7 @@ class Automaton:
         self.added: dict[int, tuple[int, int]] = {}
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         self.lost.setdefault(u, {}).setdefault(v, rank)
@@ -118,7 +118,7 @@ class Automaton:
             at, until = self.copied[at]
 
     def arc(self, state: int, label: int) -> bool:
-        key = (state, label)
+        key = state << 20 | label
         known = self.arcs.get(key)
         if known is None:
             if len(self.arcs) >= SMALL_TABLE * 2:
@@ -145,7 +145,7 @@ class Automaton:
                     if state < 0:
                         ok = True
                     else:
-                        ok = arcs((state, token))
+                        ok = arcs(state << 20 | token)
                         if ok is None:
                             ok = ask(state, token)
                     if ok and not (dead and at + size in dead):
