@@ -125,10 +125,13 @@ def near_links(fps: DataFrame) -> DataFrame:
     """Links (u, v) that connect all distinct `fp` within RADIUS; connectivity is complete."""
     spark = fps.sparkSession
     found = []
-    keys = fps.select("fp", F.lit(0).cast("long").alias("mask"))
+    first = F.array(*(F.lit(_signed(m)).cast("long") for m in covering_masks()))
+    keys = fps.select("fp", F.explode(first).alias("mask"))
     for level in range(3):
-        finer = F.broadcast(_masks_of(spark, level))
-        keys = keys.join(finer, F.col("mask") == F.col("coarse")).select("fp", F.explode("finer").alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        if level:
+            finer = F.broadcast(_masks_of(spark, level))
+            keys = keys.join(finer, F.col("mask") == F.col("coarse")).select("fp", F.explode("finer").alias("mask"))
+        keys = keys.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         buckets = keys.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
         buckets = materialise(buckets, "buckets")
         found.append(buckets.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS)).select(F.col("lo").alias("u"), F.col("hi").alias("v")))
