@@ -7,6 +7,8 @@ frames; operators.store commits them together.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,19 +167,51 @@ def new_products(cards: DataFrame, variants: DataFrame) -> DataFrame:
     return one.withColumns({"price": F.when(F.col("price") > 0, F.col("price")), "brand": normalize_brand(F.col("brand"))})
 
 
+def _pieces(text: Column, lengths: Column) -> Column:
+    """The substrings of a text that have one of the lengths; none for null."""
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substr(text, at, n))
+    made = F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), of_length))
+    return F.coalesce(made, F.array().cast("array<string>"))
+
+
 def fuzzy_match(items: DataFrame, variants: DataFrame) -> DataFrame:
     """JN-10: pairs of items and variants of one site that share a clean URL, or whose SKUs and URLs hold each other.
 
-    The join is on the site; the rest is its residual condition.
+    One equi-join of the distinct SKUs and URLs of a site by keys of a kind for
+    each branch. One text holds another if one of its substrings is equal to
+    it; only substrings of lengths that the site's SKUs have (from 4 up) are
+    made, so that work grows with the texts and the matches, not with items
+    times variants.
     """
     i_sku, i_url = F.lower(normalize_sku(F.col("item_sku"))), F.lower(clean_product_url(F.col("item_url")))
     left = items.withColumns({"i_sku": i_sku, "i_url": i_url})
     v_sku, v_url = F.lower(F.coalesce("sku", F.lit(""))), F.lower(F.coalesce("url", F.lit("")))
     right = variants.withColumns({"v_sku": v_sku, "v_url": v_url, "v_clean": F.lower(clean_product_url(F.col("url")))}).withColumnRenamed("site_id", "v_site")
-    holds = lambda a, b: (F.length(b) >= 4) & F.contains(a, b)
-    a, b, x, y = F.col("v_sku"), F.col("i_sku"), F.col("v_url"), F.col("i_url")
-    same = ((x != "") & (F.col("v_clean") == y)) | ((a != "") & ((a == b) | holds(a, b) | holds(b, a))) | ((x != "") & (holds(x, b) | holds(y, a)))
-    return left.join(right, (F.col("site_id") == F.col("v_site")) & same).select("item_id", "variant_id", "updated_at")
+    i_key, v_key = ["i_sku", "i_url"], ["v_sku", "v_url", "v_clean"]
+    its, vs = left.select("site_id", *i_key).distinct(), right.select("v_site", *v_key).distinct()
+
+    def with_lengths(rows: DataFrame, site: str, others: DataFrame, other_site: str, sku: str) -> DataFrame:
+        found = others.where(F.length(sku) >= 4).groupBy(F.col(other_site).alias("s")).agg(F.collect_set(F.length(sku)).alias("lengths"))
+        return rows.join(F.broadcast(found), F.col(site) == F.col("s"), "left")  # a row per site
+
+    def keys(*kinds: tuple[str, Column, Column | bool]) -> Column:
+        """Pairs of kind and key from (kind, array of keys, whether it holds)."""
+        tagged = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+        made = [F.when(F.lit(on) if isinstance(on, bool) else on, F.transform(x, tagged(kind))) for kind, x, on in kinds]
+        return F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*made)))))
+
+    one, lengths = lambda c: F.array(F.col(c)), F.col("lengths")
+    b, a, linked = F.length("i_sku") >= 4, F.length("v_sku") >= 4, F.col("v_url") != ""
+    i_at = keys(("url", one("i_url"), True), ("sku", one("i_sku"), True), ("item", one("i_sku"), b), ("in sku", _pieces(F.col("i_sku"), lengths), True), ("in url", _pieces(F.col("i_url"), lengths), True))
+    v_at = keys(("url", one("v_clean"), linked), ("sku", one("v_sku"), F.col("v_sku") != ""), ("item", F.concat(_pieces(F.col("v_sku"), lengths), _pieces(F.col("v_url"), lengths)), True), ("in sku", one("v_sku"), a), ("in url", one("v_sku"), a & linked))
+    i = with_lengths(its, "site_id", vs, "v_site", "v_sku").select("site_id", *i_key, i_at.alias("at")).select("*", F.col("at.kind").alias("i_kind"), F.col("at.key").alias("i_at")).drop("at")
+    v = with_lengths(vs, "v_site", its, "site_id", "i_sku").select("v_site", *v_key, v_at.alias("at")).select("*", F.col("at.kind").alias("v_kind"), F.col("at.key").alias("v_at")).drop("at")
+    pairs = i.join(v, (F.col("site_id") == F.col("v_site")) & (F.col("i_kind") == F.col("v_kind")) & (F.col("i_at") == F.col("v_at"))).select("site_id", *i_key, *v_key).distinct()
+
+    renamed = pairs.select(F.col("site_id").alias("p_site"), *(F.col(c).alias(f"p_{c}") for c in (*i_key, *v_key)))
+    same = lambda cols: [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in cols]
+    found = left.join(renamed, reduce(and_, same(i_key), F.col("site_id") == F.col("p_site"))).select("item_id", "p_site", *(f"p_{c}" for c in v_key))
+    return found.join(right, reduce(and_, same(v_key), F.col("v_site") == F.col("p_site"))).select("item_id", "variant_id", "updated_at")
 
 
 def best_matches(matches: DataFrame) -> DataFrame:

@@ -410,9 +410,10 @@ _INCOMING = ", incoming AS (SELECT event_id AS item_id, CAST(event_id % 5 AS INT
 
 
 def _incoming(d: Domain) -> DataFrame:
+    """An item of each event."""
     k = F.col("event_id")
     sku = F.when(k % 3 == 0, F.concat(F.lit("sku-"), (k % 2000).cast("string"))).when(k % 3 == 1, F.concat(F.lit("ref"), (1000 + k % 900).cast("string"))).otherwise("zz")
-    return d.table("events").where("event_id < 60").select(k.alias("item_id"), (k % 5).cast("int").alias("site_id"), sku.alias("item_sku"), F.concat(F.lit("https://shop.example.com/x/SKU-"), (k % 1999).cast("string"), F.lit("?gclid=1")).alias("item_url"))
+    return d.table("events").select(k.alias("item_id"), (k % 5).cast("int").alias("site_id"), sku.alias("item_sku"), F.concat(F.lit("https://shop.example.com/x/SKU-"), (k % 1999).cast("string"), F.lit("?gclid=1")).alias("item_url"))
 
 
 @query(_INCOMING + """, prep AS (SELECT item_id, site_id, trim(regexp_replace(lower(item_sku), '^(sku|código|codigo|ref|model|modelo)\\s*', '')) AS b, lower(split_part(item_url, '?', 1)) AS y FROM incoming),
@@ -420,7 +421,13 @@ m AS (SELECT item_id, v.variant_id, v.updated_at FROM prep i JOIN (SELECT *, low
   ON i.site_id = v.site_id AND (cx = y OR a = b OR (length(b) >= 4 AND contains(a, b)) OR (length(a) >= 4 AND contains(b, a)) OR (length(b) >= 4 AND contains(x, b)) OR (length(a) >= 4 AND contains(y, a))))
 SELECT item_id, arg_max(variant_id, (updated_at, -variant_id)) AS variant_id, count(*) AS matches FROM m GROUP BY 1""")
 def fuzzy_match(d: Domain) -> DataFrame:
-    """The items are the feature's incoming batch; they are matched with all variants."""
+    """Of the first 60 items only, as in its SQL; fuzzy_match_all takes all."""
+    return mg.best_matches(mg.fuzzy_match(_incoming(d).where("item_id < 60"), d.variants))
+
+
+@query()
+def fuzzy_match_all(d: Domain) -> DataFrame:
+    """Items of all events, matched with all variants. Its SQL would compare all pairs of a site, so it has none."""
     return mg.best_matches(mg.fuzzy_match(_incoming(d), d.variants))
 
 

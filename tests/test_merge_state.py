@@ -4,10 +4,14 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from pricelark.functions.text import normalize_sku
+from pricelark.functions.urls import clean_product_url
 from pricelark.operators import analytics as an
 from pricelark.operators import merge as mg
 from pricelark.operators import stateful as st
 from pricelark.operators.store import Store
+from pricelark.plans import catalog
+from pricelark.plans.domain import Domain
 
 V = "variant_id int, site_id int, sku string, url string, price decimal(18,2), prev_price decimal(18,2), in_stock boolean, updated_at timestamp_ntz, image_url string, active boolean"
 D = datetime(2024, 1, 1)
@@ -64,6 +68,31 @@ def test_fuzzy_and_upsert(spark, state):
     assert [r["item_id"] for r in out["fresh"].collect()] == [3]
 
 
+def test_fuzzy_branches(spark):
+    """Each branch of the match against a comparison of all pairs, with repeated rows, nulls and short texts."""
+    skus, urls = ["sku abc12", "abc1", "abc12x", "abc", "", None, "zz", "Z-99999"], ["https://s/p/1?gclid=1", "https://s/q/abc12/", "https://S/P/1", "abc1", "", None]
+    items = [(k, k % 2, a, b) for k, (a, b) in enumerate((a, b) for a in skus for b in urls)]
+    variants = [(k, k % 2 if k % 9 else None, a, b, None) for k, (a, b) in enumerate((a, b) for a in ["ABC12", "abc", "xabc12x", "", None, "9999"] for b in ["https://s/p/1", "https://s/q/ABC12#x", "https://s/z-99999", "", None])]
+    left = spark.createDataFrame([*items, items[0]], "item_id int, site_id int, item_sku string, item_url string")
+    right = spark.createDataFrame([*variants, variants[1]], "variant_id int, site_id int, sku string, url string, updated_at timestamp_ntz")
+    made = left.select("item_id", F.col("site_id").alias("s"), F.lower(normalize_sku(F.col("item_sku"))).alias("b"), F.lower(clean_product_url(F.col("item_url"))).alias("y")).collect()
+    known = right.select("variant_id", F.col("site_id").alias("s"), F.lower(F.coalesce("sku", F.lit(""))).alias("a"), F.lower(F.coalesce("url", F.lit(""))).alias("x"), F.lower(clean_product_url(F.col("url"))).alias("c")).collect()
+    holds = lambda t, n: t is not None and n is not None and len(n) >= 4 and n in t
+    same = lambda i, v: i.s == v.s and ((v.x != "" and (v.c == i.y or holds(v.x, i.b) or holds(i.y, v.a))) or (v.a != "" and (v.a == i.b or holds(v.a, i.b) or holds(i.b, v.a))))
+    want = sorted((i.item_id, v.variant_id) for i in made for v in known if same(i, v))
+    found = mg.fuzzy_match(left, right)
+    assert want and sorted((r["item_id"], r["variant_id"]) for r in found.collect()) == want
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().lower().splitlines() if "hashjoin" in x or "mergejoin" in x or "nestedloop" in x or "cartesian" in x]
+    assert joins and not any("contains(" in x or "nestedloop" in x or "cartesian" in x for x in joins)
+
+
+def test_fuzzy_takes_all_events(spark, sf):
+    d = Domain(spark, sf)
+    got = catalog.queries()["fuzzy_match_all"](spark, sf)
+    assert catalog._incoming(d).count() == d.table("events").count()
+    assert got.where("item_id >= 60").count() > 60
+
+
 def test_products_and_updates(spark):
     products = spark.createDataFrame([(5, "A", "X"), (7, "A", "X")], "product_id int, product_name string, brand string")
     items = spark.createDataFrame([(1, "A", "X"), (2, "B", None), (3, "B", None)], "item_id int, item_name string, item_brand string")
