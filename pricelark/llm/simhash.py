@@ -149,27 +149,30 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, component_id for every row."""
+    """doc_id, text_hash, fp, component_id, root for every row.
+
+    The root (a fingerprint) tells components apart; ids may be null or repeated, so component_id may not.
+    """
     rows = materialise(fingerprints(docs), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "fingerprint-nodes")
     roots = components(near_links(nodes.select("fp")))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "rows", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "fingerprint-roots")
     heads = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(heads, "root").select(F.col("fp").alias("node"), "component_id", "rows")
-    return join_groups(rows, ids, "fp", "node", "rows").select("doc_id", "text_hash", "fp", "component_id")
+    ids = named.join(heads, "root").select(F.col("fp").alias("node"), "component_id", "root", "rows")
+    return join_groups(rows, ids, "fp", "node", "rows").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with its smallest doc_id."""
     found = materialise(near_dedup(docs), "near-found")
     gone = found.where("component_id IS DISTINCT FROM doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    # Only ids that are repeated have several rows here; the least text hash stays.
-    heads = found.where("component_id <=> doc_id").select("doc_id", "component_id", "text_hash")
-    several = heads.groupBy(F.col("component_id").alias("c")).agg(F.min("text_hash").alias("stays"), F.count("*").alias("n")).where("n > 1")
+    # Only components whose least id is repeated, or that have no id, have several rows here; the least text hash stays.
+    heads = found.where("component_id <=> doc_id").select("doc_id", "root", "text_hash")
+    several = heads.groupBy(F.col("root").alias("c")).agg(F.min("text_hash").alias("stays"), F.count("*").alias("n")).where("n > 1")
     several = materialise(several, "near-several")
     if several.limit(1).count():
-        others = heads.join(several, F.col("component_id").eqNullSafe(F.col("c"))).where("text_hash != stays")
+        others = heads.join(several, F.col("root") == F.col("c")).where("text_hash != stays")
         gone = gone.union(others.select("doc_id", "text_hash"))
         docs = docs.dropDuplicates(["doc_id", "text"])
     return drop_rows(docs, gone)

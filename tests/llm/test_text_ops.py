@@ -169,6 +169,14 @@ def test_near(spark, sf, odd, empty):
     assert simhash.keep_one(table(spark, [(1, "a b c"), (1, "a b c"), (2, "A b c")])).count() == 1
 
 
+def test_near_unrelated_heads(spark):
+    """Components without an id, or with the id of another one, each keep a document."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a.upper()), (None, b), (7, c), (7, d), (7, d), (9, d), (5, None)]
+    got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in simhash.keep_one(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (7, c), (7, d), (5, "")], key=str)
+
+
 @pytest.mark.parametrize("bucket", [2, 8, 2048])
 def test_large_buckets(spark, monkeypatch, bucket):
     """Finer keys find the same components as one comparison of all."""
