@@ -22,7 +22,9 @@ at most BLOCK_BYTES of text: one block is broadcast, more are passed over one
 after the other and their spans merged per document.
 
 Defined cases: a null or empty text has no words; a null item or one without
-words has no window; item ids that are null are left out of the id list;
+words has no window; items whose id is null are matched like any other, and
+all of them together stand as one null at the end of the id list, which counts
+but has no text;
 repeated rows are told apart only by their position, each gets its own result;
 no documents give no rows, no items give rows without hits.
 """
@@ -148,11 +150,11 @@ class Benchmark:
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set[int]] = {}
-        ids: list[str] = []
+        ids: list[str | None] = []
         for item_id, data in items:
             coded = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(data)]
-            if coded and item_id is not None:
-                ids.append(str(item_id))
+            if coded:
+                ids.append(None if item_id is None else str(item_id))
                 for k in range(max(1, len(coded) - window + 1)):
                     windows.setdefault(tuple(coded[k : k + window]), set()).add(len(ids) - 1)
         self.ids = ids
@@ -263,12 +265,12 @@ def merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     out.append(dict(x))
             spans.append(out)
-        items = [sorted(set(x)) for x in b.column("items").to_pylist()]
+        items = [sorted(set(x), key=lambda i: (i is None, i or "")) for x in b.column("items").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(n) for n in ("doc_id", "row_no", "text_hash", "n_words")] + [pa.array(spans, b.schema.field("spans").type), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "row_no", "text_hash", "n_words", "spans", "items"])
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, row_no, text_hash, n_words, spans (merged, in words), items (ids as text, sorted)."""
+    """doc_id, row_no, text_hash, n_words, spans (merged, in words), items (ids as text, sorted, and a null for items without one)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
     found = []

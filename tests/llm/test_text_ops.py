@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -264,6 +265,23 @@ def test_decontaminate(spark, odd, empty, monkeypatch):
     assert decontaminate.find_hits(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_decontaminate_items_without_id(spark, monkeypatch):
+    """The same rows as the query's SQL, and such passages go from the pipeline."""
+    bench = spark.createDataFrame([(None, "hola mundo"), (None, "adios mundo"), (7, "hola mundo cruel")], "item_id long, text string")
+    texts = ["x hola mundo y adios mundo", "hola mundo cruel", "limpio"]
+    docs = table(spark, list(enumerate(texts)))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    c.executemany("INSERT INTO benchmark VALUES (?, ?)", [tuple(r) for r in bench.collect()])
+    want = sorted(c.execute(queries.SQL_OP8).fetchall())
+    assert [r[2] for r in want] == [4, 3, 0]
+    for block in (1 << 20, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        assert sorted(tuple(r) for r in decontaminate.digest_columns(decontaminate.find_hits(docs, bench)).collect()) == want
+        assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [2]
+
+
 # --- models ----------------------------------------------------------------------------
 
 
