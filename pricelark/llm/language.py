@@ -61,16 +61,18 @@ def _letters() -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), (CODES, D))
 
 
+def _code(c: int) -> int:
+    x = chr(c)
+    if not x.isalpha():
+        return 0
+    low = x.lower()[0]
+    return ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (CODES - 27)
+
+
 @lru_cache(maxsize=1)
 def _codes() -> np.ndarray:
     """Code of each character of the first plane; 0 for what isn't a letter."""
-    out = np.zeros(0x10000, dtype=np.uint8)
-    for c in range(0x10000):
-        x = chr(c)
-        if x.isalpha():
-            low = x.lower()[0]
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (CODES - 27)
-    return out
+    return np.fromiter(map(_code, range(0x10000)), dtype=np.uint8, count=0x10000)
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -79,7 +81,10 @@ def ngrams(text: str) -> np.ndarray:
     for k in range(0, len(text), PIECE):  # a seam costs nothing: the last letters are repeated
         points = np.frombuffer(text[max(0, k - N + 1) : k + PIECE].encode("utf-32-le", "replace"), dtype="<u4")
         codes = _codes()[np.minimum(points, 0xFFFF)]
-        codes = np.where(points > 0xFFFF, 27 + points % (CODES - 27), codes)
+        beyond = points > 0xFFFF
+        if beyond.any():
+            which, at = np.unique(points[beyond], return_inverse=True)
+            codes[beyond] = np.array([_code(c) for c in which.tolist()], dtype=np.uint8)[at]
         if not codes.any():
             continue
         codes = np.concatenate(([0], codes, [0]))

@@ -324,6 +324,17 @@ def test_models_on_odd_tables(spark, odd, empty):
         assert language.keep_identified(odd, m).count() == len(ODD) - 3
 
 
+def test_language_beyond_the_first_plane(spark):
+    """Emoji are no letters, letters of other planes are."""
+    docs = table(spark, [(1, "\U0001f600\U0001f680 12, !"), (2, "\U00010400\U00010401"), (3, "hola"), (4, "hola \U0001f600")])
+    model = language.learn(docs.withColumn("lang", F.when(F.col("doc_id") == 2, "aa").otherwise("bb")), F.lit(True))
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    assert (got[1]["lang_pred"], got[1]["score"]) == ("und", 0) and got[2]["lang_pred"] == "aa" and got[3]["lang_pred"] == "bb"
+    for m in (model, None):
+        assert sorted(r["doc_id"] for r in language.keep_identified(docs, m).collect()) == [2, 3, 4]
+    assert language.ngrams("hola").tolist() == language.ngrams("hola \U0001f600").tolist()
+
+
 def test_long_texts_in_pieces(monkeypatch):
     text = "Das ist ein Satz, der sich wiederholt. " * 400
     whole = language.ngrams(text), quality.counts_of(text.encode())
