@@ -1,6 +1,7 @@
 """Licence scan: a trained classifier of paragraphs, confirmed by templates.
 
-A paragraph is a line. Its features are hashed single words and pairs of
+A paragraph is a line, or a notice wrapped over neighbouring lines (see
+below). Its features are hashed single words and pairs of
 neighbouring words; a sparse softmax regression (AdaGrad with truncated L1)
 gives the odds of each licence family, of `unknown` (a licence statement of no
 known family) and of `none` (ordinary text). The odds are calibrated by a
@@ -8,6 +9,17 @@ temperature fitted on examples held out of training. A predicted family is
 confirmed if the paragraph has at least CONFIRM of the word pairs of one of
 its templates; if it isn't, the paragraph counts as `unknown`.
 
+Wrapped notices: words of neighbouring lines (without an empty one, or one of
+marks only, between) are read on. Where the word pairs of a template occur in
+its order, with few words between, over several lines, and are at least
+CONFIRM of it, these words are a paragraph of that family if the odds agree
+that it is a licence; of overlapping ones the one that has most of its
+template stays, and takes the place of what its lines alone were. Its line is
+the first one.
+
+SPDX tags: each identifier of a family in a tag's expression is found as such,
+with odds and similarity 1, whatever its line alone would be.
+
 Training: families from their templates and forms made from them (words
 dropped, other openings, other text before or behind); `unknown` from the same
 openings with names that no family has; `none` from the lines of at most
@@ -24,7 +36,9 @@ lines of any length are scored whole; repeated rows are scored each.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +75,8 @@ BITS = 18
 SAMPLE, LINES = 400, 6_000
 FORMS, EPOCHS, RATE, L1 = 40, 6, 0.5, 2e-4
 THRESHOLD, CONFIRM = 0.5, 0.75
+#: Words between two word pairs of a wrapped notice that its template hasn't, at most (prefixes of lines and the like).
+BETWEEN = 8
 SEED = 9
 
 _LINE = 1
@@ -73,15 +89,23 @@ def words_of(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(_TABLE).replace(_BREAK, b" " + _BREAK + b" ").split()
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words)) & np.uint64(0xFFFFFFFF)
+
+
+def _pair_features(hashes: np.ndarray) -> np.ndarray:
+    return _mix(_mix(hashes[:-1]) + hashes[1:] * np.uint64(5)) >> np.uint64(64 - BITS)
+
+
+def features(words: list[bytes], hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of words and pairs, the line each belongs to, and the number of words in each line."""
-    hashes = np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words)) & np.uint64(0xFFFFFFFF)
+    hashes = _hashes_of(words) if hashes is None else hashes
     ends = np.fromiter((w == _BREAK for w in words), dtype=bool, count=len(words))
     line = np.cumsum(ends)
     word = ~ends
     one = _mix(hashes + np.uint64(1)) >> np.uint64(64 - BITS)
     both = word[:-1] & word[1:]
-    two = _mix(_mix(hashes[:-1]) + hashes[1:] * np.uint64(5)) >> np.uint64(64 - BITS)
+    two = _pair_features(hashes)
     made = np.concatenate((one[word], two[both])).astype(np.int64)
     lines = int(line[-1]) + 1 if len(words) else 0
     return made, np.concatenate((line[word], line[:-1][both])), np.bincount(line[word], minlength=lines)
@@ -100,6 +124,76 @@ def similarity(words: list[bytes], family: str) -> float:
     return max(len(have & t) / max(1, len(t)) for t in _TEMPLATE_PAIRS[family])
 
 
+#: Family and number of distinct pairs of each template, and the places (template, place in it) of each pair.
+_FLAT = [(f, len(p)) for f, ts in _TEMPLATE_PAIRS.items() for p in ts]
+_PLACES: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+for _t, _text in enumerate(t for ts in TEMPLATES.values() for t in ts):
+    _w = words_of(_text.encode())
+    for _j, _pair in enumerate(zip(_w, _w[1:], strict=False)):
+        _PLACES.setdefault(_pair, []).append((_t, _j))
+
+
+@lru_cache(maxsize=1)
+def _template_slots() -> np.ndarray:
+    """Whether a pair feature may be of a template."""
+    out = np.zeros(1 << BITS, dtype=bool)
+    for pair in _PLACES:
+        out[_pair_features(_hashes_of(list(pair)))] = True
+    return out
+
+
+def wrapped(words: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, str, list[bytes]]]:
+    """Notices over several lines: first and last line, family, words."""
+    ends = np.fromiter((w == _BREAK for w in words), dtype=bool, count=len(words))
+    if not ends.any():
+        return []
+    line = np.cumsum(ends)[~ends]
+    block = np.cumsum(np.concatenate(([0], np.diff(line) > 1)))
+    at = np.flatnonzero(_template_slots()[_pair_features(hashes[~ends])] & (block[1:] == block[:-1])) if len(line) > 1 else line[:0]
+    if not len(at):
+        return []
+    flat = [w for w in words if w != _BREAK]
+    runs: dict[int, list[tuple[int, int, int, frozenset]]] = {}  # template -> last word, last place, first word, pairs had
+    whole = []
+    for p in at.tolist():
+        pair = (flat[p], flat[p + 1])
+        for t, j in _PLACES.get(pair, ()):
+            live = [r for r in runs.get(t, ()) if block[r[0]] == block[p] and p - r[0] <= _FLAT[t][1] + BETWEEN]
+            fit = [r for r in live if r[0] < p and r[1] < j and p - r[0] <= j - r[1] + BETWEEN]
+            last = max(fit, key=lambda r: len(r[3]), default=None)
+            new = (p, j, last[2] if last else p, (last[3] if last else frozenset()) | {pair})
+            if last and last[1] == j - 1 and last[0] == p - 1:
+                live.remove(last)  # it goes on without a gap, so nothing else can continue it
+            runs[t] = [*live, new]
+            share = len(new[3]) / _FLAT[t][1]
+            if share >= CONFIRM and line[new[2]] < line[p + 1]:
+                whole.append((-share, -len(new[3]), new[2], p + 1, t))
+    out, taken = [], []
+    for _, _, a, b, t in sorted(whole):
+        if all(b < x or y < a for x, y in taken):
+            taken.append((a, b))
+            out.append((int(line[a]), int(line[b]), _FLAT[t][0], flat[a : b + 1]))
+    return out
+
+
+_TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_SPDX = {f.lower().encode(): f for f in FAMILIES} | {(f.lower() + x).encode(): f for f in FAMILIES if "GPL" in f for x in ("-only", "-or-later", "+")}
+
+
+def tags(data: bytes) -> list[tuple[int, str]]:
+    """Lines of SPDX tags with the families of their expressions; other identifiers are left to the classifier."""
+    out = []
+    for m in _TAG.finditer(data):
+        parts = [x.strip(b".").lower() for x in re.findall(rb"[A-Za-z0-9.+-]+", m[1])]
+        k = data.count(b"\n", 0, m.start())
+        for i in range(0, len(parts), 2):
+            if i and parts[i - 1] not in (b"and", b"or", b"with"):
+                break
+            if parts[i] in _SPDX and not (i and parts[i - 1] == b"with") and (k, _SPDX[parts[i]]) not in out:
+                out.append((k, _SPDX[parts[i]]))
+    return out
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float):
         self.at = np.flatnonzero((weights != 0).any(axis=1))
@@ -216,13 +310,12 @@ def scan_text(data: bytes | None, model: Model, slots: np.ndarray) -> list[dict]
     words = words_of(data)
     if not words:
         return []
-    made, line, sizes = features(words)
+    hashes = _hashes_of(words)
+    made, line, sizes = features(words, hashes)
     odds = model.odds(made, line, sizes, slots)
     best = odds[:, :NONE].argmax(axis=1)
     licence = np.flatnonzero((1 - odds[:, NONE] >= THRESHOLD) & (sizes > 0))
-    if not len(licence):
-        return []
-    lines = [x.split() for x in b" ".join(words).split(_BREAK)]
+    lines = [x.split() for x in b" ".join(words).split(_BREAK)] if len(licence) else []
     out = []
     for k in licence.tolist():
         family, alike = CLASSES[best[k]], 0.0
@@ -231,7 +324,15 @@ def scan_text(data: bytes | None, model: Model, slots: np.ndarray) -> list[dict]
             if alike < CONFIRM:
                 family = "unknown"
         out.append({"line": k, "family": family, "probability": float(1 - odds[k, NONE] if family == "unknown" else odds[k, best[k]]), "similarity": alike})
-    return out
+    more = []
+    for first, last, family, notice in wrapped(words, hashes):
+        p = model.odds(*features(notice), slots)[0]
+        if 1 - p[NONE] >= THRESHOLD:
+            more.append((first, last, {"line": first, "family": family, "probability": float(p[FAMILIES.index(family)]), "similarity": similarity(notice, family)}))
+    more += [(k, k, {"line": k, "family": f, "probability": 1.0, "similarity": 1.0}) for k, f in tags(data)]
+    for first, last, x in more:
+        out = [y for y in out if not (first <= y["line"] <= last and y["family"] in ("unknown", x["family"]))]
+    return sorted(out + [x for _, _, x in more], key=lambda x: (x["line"], x["family"]))
 
 
 def _scanner(held) -> Callable:

@@ -358,6 +358,27 @@ def test_licences(spark, sf, odd, empty):
     assert licences.scan(odd, licences.learn(empty)).count() == len(ODD) and licences.scan(empty, licences.learn(empty)).count() == 0
 
 
+WRAPPED = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal": ["MIT"],
+    "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": ["GPL-3.0"],
+    "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:": ["BSD-3-Clause"],
+    "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided": ["ISC"],
+    "you can use it under the terms\nof the GNU\nLesser General\nPublic License\nas published\nby the Free\nSoftware Foundation,\neither version 3\nof the License": ["LGPL-3.0"],
+    "Released under the MIT License.\nReleased under the MIT License.": ["MIT", "MIT"],
+    "GNU GENERAL PUBLIC LICENSE\n\nVersion 3 of the plan": ["unknown", "unknown"],
+    "// SPDX-License-Identifier: MIT": ["MIT"],
+    "x\n/* SPDX-License-Identifier: Apache-2.0 */": ["Apache-2.0"],
+    "SPDX-License-Identifier: (GPL-2.0-or-later WITH Bison-exception-2.2 OR BSD-3-Clause)": ["BSD-3-Clause", "GPL-2.0"],
+    "SPDX-License-Identifier: MIT-0": ["unknown"],
+}
+
+
+def test_licences_wrapped_and_tags(spark, sf):
+    docs = table(spark, list(enumerate(WRAPPED)))
+    got = {r["doc_id"]: [x["family"] for x in r["found"]] for r in licences.scan(docs, licences.learn(spark.read.parquet(f"{sf}/documents.parquet"))).collect()}
+    assert got == dict(enumerate(WRAPPED.values()))
+
+
 def test_remainders(spark):
     got = spark.createDataFrame([(5,), (None,)], "i long").select(remainder(F.col("i"), 3)).collect()
     assert [r[0] for r in got] == [zlib.crc32(b"5") % 3, zlib.crc32(b"") % 3]
