@@ -18,9 +18,9 @@ A bundle is linear, so a batch counts its n-grams once (documents by distinct
 n-grams) and multiplies the counts with the n-gram vectors.
 
 Training: at most SAMPLE documents of each language, chosen by the hash of
-their ids, of those that the caller marks; their vectors go to the driver
-(4 * D bytes each), never texts or counts of the corpus. The number of
-languages is at most LANGUAGES, the most frequent.
+their ids, of those that the caller marks; their vectors are summed by language
+in each Arrow batch, and only the sums go to the driver (8 * D bytes each),
+never texts or counts of the corpus. Every value of lang is a language.
 
 Defined cases: null text or one without a letter is `und` with score 0; null
 lang isn't learnt; without any training document every row is `und`; ties go
@@ -37,15 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import materialise, with_batches, worker_table
+from pricelark.llm.common import materialise, small, with_batches, worker_table
 
 #: Dimensions, letters of an n-gram, codes of letters (0 is the blank).
 D = 1024
 N = 3
 CODES = 64
-#: Training documents of a language, and languages, at most.
+#: Training documents of a language, at most.
 SAMPLE = 500
-LANGUAGES = 256
 SEED = 20
 #: The prediction for texts without a letter.
 UND = "und"
@@ -148,11 +147,13 @@ def _bundler() -> Bundler:
 def _map_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
+        sums: dict[str, np.ndarray] = {}
         for k in range(0, len(texts), GROUP):
             vectors, sizes = _bundler().bundle(texts[k : k + GROUP])
             unit = _unit(vectors)
-            has = np.flatnonzero(sizes > 0).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([langs[k + i] for i in has], pa.string()), pa.array([unit[i].astype("<f4").tobytes() for i in has], pa.binary())], names=["lang", "vector"])
+            for i in np.flatnonzero(sizes > 0).tolist():
+                sums[langs[k + i]] = sums.get(langs[k + i], 0) + unit[i].astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.astype("<f8").tobytes() for x in sums.values()], pa.binary())], names=["lang", "vector"])
 
 
 class Profiles:
@@ -175,18 +176,21 @@ class Profiles:
 def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Profiles | None:
     """Profiles from text and lang of the rows where `usable` holds, lang isn't null and text has letters."""
     keyed = docs.where(usable & F.col("lang").isNotNull() & (F.col("text").rlike(r"\p{L}"))).select("lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"))
-    common = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select(F.col("lang").alias("l"), "n")
+    common = materialise(keyed.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")), "languages")
+    if small(common):
+        common = F.broadcast(common)
     # The hash lets about 2 * sample rows of each language through, however frequent it is; the window ranks only these.
     place = F.pmod("h", F.lit(1 << 40))
-    few = keyed.join(F.broadcast(common), F.col("lang") == F.col("l")).where(place < F.lit(2.0 * sample * (1 << 40)) / F.col("n"))
+    few = keyed.join(common, F.col("lang") == F.col("l")).where(place < F.lit(2.0 * sample * (1 << 40)) / F.col("n"))
     first = Window.partitionBy("lang").orderBy(place, "h")
     chosen = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).select("h").distinct()
     rows = docs.where(usable & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    rows = rows.join(F.broadcast(chosen), F.col("key") == F.col("h"), "left_semi").select("lang", "text")
+    chosen = materialise(chosen, "language-sample")
+    rows = rows.join(F.broadcast(chosen) if small(chosen) else chosen, F.col("key") == F.col("h"), "left_semi").select("lang", "text")
     found = materialise(with_batches(rows).mapInArrow(_map_vectors, "lang string, vector binary"), "language-vectors")
     sums: dict[str, np.ndarray] = {}
     for r in found.toLocalIterator():
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["vector"], dtype="<f4").astype(np.float64)
+        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["vector"], dtype="<f8")
     names = sorted(sums)
     return Profiles(names, np.array([sums[x] for x in names])) if names else None
 

@@ -335,6 +335,13 @@ def test_language_beyond_the_first_plane(spark):
     assert language.ngrams("hola").tolist() == language.ngrams("hola \U0001f600").tolist()
 
 
+def test_language_of_any_number(spark):
+    """Of 300 languages, as many documents each, none is left out."""
+    docs = table(spark, [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 9) for k in range(300)]).withColumn("lang", F.format_string("l%03d", F.col("doc_id")))
+    model = language.learn(docs, F.lit(True))
+    assert model.languages == [f"l{k:03d}" for k in range(300)]
+
+
 def test_long_texts_in_pieces(monkeypatch):
     text = "Das ist ein Satz, der sich wiederholt. " * 400
     whole = language.ngrams(text), quality.counts_of(text.encode())
