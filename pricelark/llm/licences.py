@@ -22,10 +22,10 @@ with odds and similarity 1, whatever its line alone would be.
 
 Training: families from their templates and forms made from them (words
 dropped, other openings, other text before or behind); `unknown` from the same
-openings with names that no family has; `none` from the lines of at most
-SAMPLE documents, chosen by the hash of their ids. Lines that hold most of a
-template are left out of `none`. Only the features of those lines go to the
-driver.
+openings with names that no family has; `none` from at most LINES lines of at
+most SAMPLE documents, both chosen by hash: any line of a document may be, and
+is taken whole. Lines that hold `licen` or half of a template are left out of
+`none`, because they may be notices. Only those LINES lines go to the driver.
 
 Scoring is one pass without a shuffle. Words whose features have no weight are
 left out before weights of all classes are gathered.
@@ -71,7 +71,7 @@ FAMILIES = sorted(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown", "none"]
 UNKNOWN, NONE = len(FAMILIES), len(FAMILIES) + 1
 BITS = 18
-#: Documents whose lines are examples of `none`, and lines of them, at most.
+#: Documents whose lines are examples of `none`, and lines chosen of all their lines, at most.
 SAMPLE, LINES = 400, 6_000
 FORMS, EPOCHS, RATE, L1 = 40, 6, 0.5, 2e-4
 THRESHOLD, CONFIRM = 0.5, 0.75
@@ -290,7 +290,7 @@ def _map_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = []
         for x in b.column("data"):
             found = [y.split(b" ") for y in b" ".join(words_of(x.as_py())).split(_BREAK)]
-            lines += [b" ".join(w for w in y if w)[:400] for y in found[: LINES // SAMPLE]]
+            lines += [b" ".join(w for w in y if w) for y in found]
         lines = [x for x in lines if x and b"licen" not in x and max(similarity(x.split(), f) for f in FAMILIES) < 0.5]
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
 
@@ -298,7 +298,7 @@ def _map_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> Model:
     chosen = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).where(F.col("doc_id").isNotNull()).orderBy("h").limit(SAMPLE).select(F.col("doc_id").alias("c"), "h")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("c")) & (F.xxhash64("doc_id", "text") == F.col("h"))).select(F.col("text").cast("binary").alias("data"))
-    lines = sorted(bytes(r["line"]) for r in with_batches(rows).mapInArrow(_map_lines, "line binary").limit(LINES).collect())
+    lines = sorted(bytes(r["line"]) for r in with_batches(rows).mapInArrow(_map_lines, "line binary").orderBy(F.xxhash64("line"), "line").limit(LINES).collect())
     return fit([x.split() for x in lines])
 
 

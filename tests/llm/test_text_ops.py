@@ -386,6 +386,14 @@ def test_licences_wrapped_and_tags(spark, sf):
     assert got == dict(enumerate(WRAPPED.values()))
 
 
+def test_licence_background(spark, monkeypatch):
+    """Lines far down and far along a document are background too."""
+    seen = []
+    monkeypatch.setattr(licences, "fit", seen.extend)
+    licences.learn(table(spark, [(1, "\n".join(f"zeile {k} " + "wort " * 100 + f"ende {k}" for k in range(40)))]))
+    assert sorted(int(x[-1]) for x in seen) == list(range(40)) and {len(x) for x in seen} == {104}
+
+
 def test_remainders(spark):
     got = spark.createDataFrame([(5,), (None,)], "i long").select(remainder(F.col("i"), 3)).collect()
     assert [r[0] for r in got] == [zlib.crc32(b"5") % 3, zlib.crc32(b"") % 3]
