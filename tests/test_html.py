@@ -148,3 +148,56 @@ def test_follow_and_answers(spark):
     text = "** 🏆 La Mejor Oferta: ** Whey a $10\n** 📊 Los Números: ** uno\ndos\n* x\n** 🥈 Mención Honorífica: ** otra"
     r = spark.createDataFrame([(text,)], "t string").select(pages.answer_sections(F.col("t")).alias("s"), pages.markdown_html(F.lit("a **b** <c>\n* d\ne")).alias("m")).first()
     assert tuple(r["s"]) == ("Whey a $10", "uno\ndos", "", "otra") and r["m"] == "a <strong>b</strong> &lt;c&gt;<br/>• d<br/>e"
+
+
+def test_noise_and_layout_rules():
+    cards = "".join(map(card, (1, 2, 3)))
+    by = lambda page, way: category.detect(tree(page), way)
+    for area in ('class="main-menu"', 'id="TopNav"', 'class="x-Header"'):
+        page = f"<div {area}><div><div>{cards}</div></div></div>"
+        assert all(by(page, w) is None for w in ("structural", "density", "semantic")) and by(page, "repetitive")
+    for tag in ("header", "footer", "nav", "aside"):
+        assert by(f"<{tag}><div>{cards}</div></{tag}>", "density") is None
+    page = f'<form><section id="list">{cards}</section></form>'
+    assert by(page, "structural").container.startswith("//*[@id='list']/div[") and by(page, "density").container.startswith("//*[@id='list']/div[") and "product-card" in by(page, "semantic").container
+    for c in ("mdc-x", "mat-x", "ng-x", "divide-x", "ring-1", "outline-none", "select-none", "resize-y", "pointer-events-none", "my-bootstrap-x", "md:flex", "p-4", "row"):
+        assert category.utility_class(c)
+    for c in ("card", "rowdy", "p-x", "md"):
+        assert not category.utility_class(c)
+    only = lambda c: category.telling_classes(tree(f'<i class="{c} z b"></i>').children[0])
+    assert only("divide-x") == only("Ring-1") == only("col-12") == only("item20241") == only("BOOTSTRAP") == only("hover:x") == ["b", "z"] and only("my-bootstrap-x") == ["b", "my-bootstrap-x", "z"]
+
+
+def test_structural_rules():
+    tile = '<li><div class="in"><a href="/p/{0}"><img src="{0}.jpg"></a><a href="/p/{0}">Café {0}</a><span class="money">{0}</span></div></li>'
+    page = "<main><ul>" + "".join(tile.format(k) for k in range(4)) + "</ul></main>"
+    assert category.detect(tree(page), "structural").container == "//main/ul/li/div" + category.CARD  # the inner card, as none has a title; up to the top
+    titled = page.replace("<li>", "<li><h3>T</h3>")
+    assert category.detect(tree(titled), "structural").container == "//main/ul/li" + category.CARD  # the outer one has the title
+    deep = "<body><i><b><u><s><q>" + tile.format(1) + tile.format(2) + tile.format(3) + "</q></s></u></b></i></body>"
+    assert category.detect(tree(deep), "structural").container == "//body/i/b/u/s/q/li/div" + category.CARD
+    assert category.detect(tree("<body>" + tile.format(1) + tile.format(2) + "</body>"), "structural") is None
+
+
+def test_single_product_selectors():
+    found = category.detect(tree('<div class="ui-pdp"><h1>Uno</h1><b property="price">$ 12</b></div>'))
+    assert (found.strategy, found.pager) == ("single", "")
+    for part in ("ui-pdp", "@id, 'product'", "//main"):
+        assert part in found.container
+    for part in ("andes-money-amount__fraction", "a-price-whole", "@property, 'price'"):
+        assert part in found.price
+    got = category.read_category('<div class="product ui-pdp"><h1>Uno</h1><a href="/p/1">x</a><b property="price">$ 12</b></div>', "https://s.com")
+    assert [(p["name"], p["price"], p["url"]) for p in got.products] == [("Uno", Decimal("12.00"), "https://s.com/p/1")]
+
+
+def test_wrapped_and_custom_tags():
+    columns = "".join(f'<div class="col-md-4"><div class="card"><a class="link" href="/p/{k}"><img src="{k}.jpg"><h2>Artículo {k}</h2><div class="amount">$ {k}00.00</div></a></div></div>' for k in (1, 2, 3))
+    found = category.detect(tree(f'<div class="row" id="catalog-row">{columns}</div>'))
+    assert "catalog-row" in found.container and "/div[" in found.container
+    items = "".join(f'<x-item class="col-md-4"><a class="thumb" href="/p/123{k}"><img class="product-image" src="{k}.jpg"></a><div class="lister-name"><a href="/p/123{k}"><span>Avena {k} kg</span></a></div><div class="product-price-amount"><span>$1,{k}49.00</span></div></x-item>' for k in (1, 2, 3))
+    page = f'<x-layout class="ListPage"><x-list><div class="container"><div class="row">{items}</div></div></x-list></x-layout>'
+    assert "x-item" in category.detect(tree(page)).container
+    got = category.read_category(page, "https://www.costco.com.mx")
+    assert [(p["name"], p["price"], p["sku"]) for p in got.products] == [(f"Avena {k} kg", Decimal(f"1{k}49.00"), f"123{k}") for k in (1, 2, 3)]
+    blocked = category.read_category(page + "<i>Verifica tu identidad</i>", "https://www.costco.com.mx")
+    assert (blocked.products, blocked.strategy) == ([], "Cloudflare")
