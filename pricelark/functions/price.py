@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ CURRENCY = r"(?i)(?<![A-Za-z])(?:MXN|USD|EUR|GBP)(?![A-Za-z])|[$€£]"
 BEFORE, AROUND = 6, 12
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often use() refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_separators(amount: Column) -> Column:
     """FN-2: of two kinds of separators the last is the decimal one; a single kind before three digits groups thousands."""
     dot, comma = F.instr(F.reverse(amount), "."), F.instr(F.reverse(amount), ",")
@@ -26,27 +33,33 @@ def normalize_separators(amount: Column) -> Column:
 
 def currency_of(text: Column) -> Column:
     """FN-4: the first currency of the whole text; a dollar sign alone names none."""
-    found = F.upper(F.regexp_extract(text, f"({CURRENCY})", 1))
-    return F.when(found == "€", F.lit("EUR")).when(found == "£", F.lit("GBP")).when(found.isin("", "$"), F.lit(None)).otherwise(found)
+    name = lambda found: F.when(found == "€", F.lit("EUR")).when(found == "£", F.lit("GBP")).when(found.isin("", "$"), F.lit(None)).otherwise(found)
+    return _bound(F.upper(F.regexp_extract(text, f"({CURRENCY})", 1)), name)
 
 
-def _amounts(text: Column) -> Column:
-    """Amounts with their places (from 0), found by cutting the text before each.
+def _chosen(text: Column, found: Column, gaps: Column) -> Column:
+    """The first amount with a currency near it, else the first; null without one.
 
     The pieces between amounts are the split of the text by the amount pattern,
     so an amount's place is the length of all pieces and amounts before it.
     """
-    found = F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1))
-    gaps = F.split(text, AMOUNT, -1)
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,amount:string>>").alias("out")),
-        lambda acc, k: F.struct(
-            (acc["at"] + F.length(F.element_at(gaps, k)) + F.length(F.element_at(found, k))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.element_at(gaps, k))).alias("at"), F.element_at(found, k).alias("amount")))).alias("out"),
-        ),
-    )["out"]
-    return F.when(F.size(found) > 0, step)
+
+    def step(acc: Column, k: Column) -> Column:
+        amount, start = F.element_at(found, k), acc["at"] + F.length(F.element_at(gaps, k))
+        window = F.substring(text, F.greatest(F.lit(0), start - BEFORE) + 1, F.length(amount) + AROUND)
+        return F.struct((start + F.length(amount)).alias("at"), F.when(acc["near"].isNotNull(), acc["near"]).when(window.rlike(CURRENCY), amount).alias("near"))
+
+    near = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("near")), step, lambda acc: acc["near"])
+    return F.when(F.size(found) > 0, F.coalesce(near, F.element_at(found, 1)))
+
+
+def _parsed(text: Column) -> Column:
+    def priced(raw: Column) -> Column:
+        price = normalize_separators(raw).try_cast("decimal(28,2)")
+        return F.when(price > 0, F.struct(price.cast("decimal(18,2)").alias("price"), currency_of(text).alias("currency"), raw.alias("raw")))
+
+    pieces = F.struct(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1)).alias("found"), F.split(text, AMOUNT, -1).alias("gaps"))
+    return _bound(pieces, lambda x: _bound(_chosen(text, x["found"], x["gaps"]), priced))
 
 
 def parse_price(text: Column) -> Column:
@@ -56,11 +69,8 @@ def parse_price(text: Column) -> Column:
     begins BEFORE characters before the amount (or at the text's beginning) and
     is AROUND characters longer than the amount (FN-3).
     """
-    amounts = _amounts(text)
-    near = F.filter(amounts, lambda a: F.substring(text, F.greatest(F.lit(0), a["at"] - BEFORE) + 1, F.length(a["amount"]) + AROUND).rlike(CURRENCY))
-    raw = F.when(F.size(near) > 0, F.element_at(near, 1)["amount"]).otherwise(F.element_at(amounts, 1)["amount"])
-    price = normalize_separators(raw).try_cast("decimal(28,2)")
-    return F.when(price > 0, F.struct(price.cast("decimal(18,2)").alias("price"), currency_of(text).alias("currency"), raw.alias("raw")))
+
+    return _bound(text, _parsed)
 
 
 def parse_price_client(text: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 
 from pricelark.html import category, product, readability, selectors
 from pricelark.html.client import extract_client
@@ -63,6 +64,33 @@ def configured(pages: pd.Series, price: pd.Series, stock: pd.Series, image: pd.S
     return pd.DataFrame([asdict(x) for x in found], columns=[c.split()[0] for c in product.SCHEMA.split(", ")])
 
 
+def _phases(page: str | None, price: str | None, stock: str | None, image: str | None) -> dict:
+    """Whether the selectors are well formed, whether they found a price, and what counts: they or the extraction."""
+    if selectors.first_invalid(price, None, stock, None) is not None:
+        return {"valid": False, "configured": False, "in_stock": False, "confidence": 0}
+    found = product.by_selectors(parse(page), price, stock, image) if (price or "").strip() else None
+    out, learned = found or product.extract(page), None
+    if found is None and out.price and out.xpath and selectors.learned_selector_holds(parse(page), out.xpath, out.price):
+        learned = out.xpath
+    return {"valid": True, "configured": found is not None, "price": out.price, "in_stock": out.in_stock, "method": out.method, "source": out.source, "confidence": out.confidence, "image_url": out.image_url, "learned": learned}
+
+
+def phases(pages: pd.Series, price: pd.Series, stock: pd.Series, image: pd.Series) -> pd.DataFrame:
+    names = ["valid", "configured", "price", "in_stock", "method", "source", "confidence", "image_url", "learned"]
+    return pd.DataFrame([_phases(*x) for x in zip(pages, price, stock, image, strict=True)], columns=names, dtype=object)
+
+
+def category_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products of each page of batches of (page_id, url, html), a batch out for each in."""
+    for b in parts:
+        made: list[tuple] = []
+        for key, url, page in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            found = category.read_category(page, url)
+            made += [(key, k, p["name"], p["price"], p["url"], p["image_url"], p["sku"], found.next_url) for k, p in enumerate(found.products, 1)]
+        schema = pa.schema([b.schema.field("page_id"), ("card", pa.int32()), ("name", pa.string()), ("price", pa.decimal128(18, 2)), ("url", pa.string()), ("image_url", pa.string()), ("sku", pa.string()), ("next_url", pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)] if made else [pa.array([], f.type) for f in schema], schema=schema)
+
+
 def client(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
     names = [c.split()[0] for c in product.SCHEMA.split(", ")]
     found = [extract_client(p, u) for p, u in zip(pages, urls, strict=True)]

@@ -1,17 +1,22 @@
-"""The HTML functions on columns: Arrow-batched pandas UDFs, and category pages as a table function."""
+"""The HTML functions on columns and frames. Batches are bounded by Spark's arrow.maxBytesPerBatch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import pandas_udf
 
+from pricelark.functions.text import detect_strategy, strategy_weight
 from pricelark.functions.urls import make_absolute_url
 from pricelark.html import batches, category, product
+from pricelark.scratch import materialise
+from pricelark.session import workers_find_package
 
-#: What the table function returns for each card.
+# Fixed value: how the message of a rescued capture begins.
+BY_HEURISTIC = "Extraido via heuristica ("
+#: What each card gives.
 PRODUCTS = "card int, name string, price decimal(18,2), url string, image_url string, sku string, next_url string"
 
 
@@ -30,31 +35,21 @@ next_page = _udf(batches.next_page, "string")
 check_selector = _udf(batches.selector, "is_xpath boolean, valid boolean")
 learned_selector_holds = _udf(batches.learned, "boolean")
 diagnose = _udf(batches.diagnosis, "price string, name string, image string, stock string")
+phases = _udf(batches.phases, "valid boolean, configured boolean, price decimal(18,2), in_stock boolean, method string, source string, confidence int, image_url string, learned string")
 by_selectors = _udf(batches.configured, product.SCHEMA)
 extract_product_client = _udf(batches.client, product.SCHEMA)
 
 
 def extract_once(pages: DataFrame) -> DataFrame:
-    """pages(page_id, html, ...) with a struct `product`; equal pages are extracted once in the whole table."""
-    keyed = pages.withColumn("html_key", F.sha2("html", 256))
-    one = keyed.groupBy("html_key").agg(F.first("html").alias("html")).select("html_key", extract_product("html").alias("product"))
-    return keyed.join(one, "html_key", "left").drop("html_key")
+    """pages(page_id, html, ...) with a struct `product`. Equal pages of a worker's last 256 are extracted once; nothing is shuffled."""
+    return pages.withColumn("product", extract_product("html"))
 
 
-class CategoryProducts:
-    """HTM-25 as a table function: one page in, a row per product out."""
-
-    def eval(self, page: str, base: str) -> Iterator[tuple]:
-        found = category.read_category(page, base)
-        for k, p in enumerate(found.products, 1):
-            yield k, p["name"], p["price"], p["url"], p["image_url"], p["sku"], found.next_url
-
-
-def category_products(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """page_id and the products of pages(page_id, url, html)."""
-    spark.udtf.register("pricelark_category_products", udtf(CategoryProducts, returnType=PRODUCTS))
-    pages.select("page_id", "url", "html").createOrReplaceTempView("pricelark_category_pages")
-    return spark.sql("SELECT p.page_id, c.* FROM pricelark_category_pages p, LATERAL pricelark_category_products(p.html, p.url) c")
+def category_products(pages: DataFrame) -> DataFrame:
+    """HTM-25: page_id and the products of pages(page_id, url, html), a row each."""
+    workers_find_package(pages.sparkSession)
+    key = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(batches.category_rows, f"page_id {key}, {PRODUCTS}")
 
 
 def follow_pages(starts: DataFrame, pages: DataFrame, most: int = 10) -> DataFrame:
@@ -62,9 +57,12 @@ def follow_pages(starts: DataFrame, pages: DataFrame, most: int = 10) -> DataFra
 
     Returns start, url, page_no. A URL is visited once per start, whatever its
     case; `most` pages are read, which is the feature's limit. The links are
-    found once per page; each step is a join on the URL.
+    found once per page and written; each step is a join on the URL. Of several
+    pages of one URL the one with the least hash of its content counts.
     """
-    links = pages.select(F.lower("url").alias("at"), "url", next_page("html").alias("n")).withColumn("next_url", make_absolute_url(F.col("n"), F.col("url"))).select("at", "next_url").dropDuplicates(["at"])
+    found = pages.select(F.lower("url").alias("at"), "url", F.xxhash64("html").alias("h"), next_page("html").alias("n"))
+    found = found.select("at", "h", "url", make_absolute_url(F.col("n"), F.col("url")).alias("next_url"))
+    links = materialise(found.groupBy("at").agg(F.min_by("next_url", F.struct("h", "url")).alias("next_url")), "page-links")
     step = starts.select(F.col("url").alias("start"), "url", F.lit(1).alias("page_no"), F.array(F.lower("url")).alias("seen"))
     out = step
     for _ in range(most - 1):
@@ -74,6 +72,41 @@ def follow_pages(starts: DataFrame, pages: DataFrame, most: int = 10) -> DataFra
     return out.drop("seen")
 
 
+def evaluate_capture(captures: DataFrame, variants: DataFrame, sites: DataFrame) -> DataFrame:
+    """HTM-14: what a stored capture gives, without the network.
+
+    captures(capture_id, variant_id, html, error), variants(variant_id,
+    site_id), sites(site_id, url_base, strategy, price_selector,
+    stock_selector, image_selector; null or blank: none). A site whose
+    selectors are malformed gives nothing at all. Otherwise its selectors
+    count, then the extraction with a positive price; its selector is handed
+    on if it finds that price and nothing else. `recommended` is the strategy
+    that a failed selector phase calls for, if it is stronger than the site's.
+    Each page is parsed in one pass over its row.
+    """
+    c = captures.select("capture_id", "variant_id", "html", "error").join(variants.select("variant_id", "site_id"), "variant_id", "left")
+    c = c.join(sites.select("site_id", "url_base", "strategy", "price_selector", "stock_selector", "image_selector"), "site_id", "left")
+    c = c.withColumn("r", phases("html", "price_selector", "stock_selector", "image_selector"))
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    asked = detect_strategy(F.col("html"), F.col("error"), F.trim(title))
+    by_site, rescued = F.col("r.valid") & F.col("r.configured"), F.col("r.valid") & ~F.col("r.configured") & (F.col("r.price") > 0)
+    ok = by_site | rescued
+    return c.select(
+        "capture_id",
+        "variant_id",
+        F.coalesce(ok, F.lit(False)).alias("ok"),
+        F.when(ok, F.col("r.price")).alias("price"),
+        F.when(ok, F.col("r.in_stock")).alias("in_stock"),
+        F.when(ok, F.col("r.method")).alias("method"),
+        F.when(ok, F.col("r.source")).alias("source"),
+        F.when(ok, F.col("r.confidence")).alias("confidence"),
+        F.when(ok & F.col("r.image_url").isNotNull(), make_absolute_url(F.col("r.image_url"), F.col("url_base"))).alias("image_url"),
+        F.when(rescued, F.col("r.learned")).alias("learned_selector"),
+        F.when(F.col("r.valid") & ~by_site & (strategy_weight(asked) > strategy_weight(F.col("strategy"))), asked).alias("recommended"),
+        F.when(rescued, F.concat(F.lit(BY_HEURISTIC), F.col("r.method"), F.lit(")"))).when(~F.coalesce(ok, F.lit(False)), F.col("error")).alias("message"),
+    )
+
+
 def accept(configured: Column, extracted: Column) -> Column:
     """HTM-14, HTM-29: the site's selectors, else the extraction; a SKU, a name, and a price or no stock are asked for."""
     best = F.when(configured["price"].isNotNull(), configured).otherwise(extracted)

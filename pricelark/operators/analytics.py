@@ -44,7 +44,7 @@ def discount_opportunities(variants: DataFrame, products: DataFrame, sites: Data
     """
     found = offers(variants)
     means = history.groupBy("variant_id").agg(mean("price").alias("m"))
-    joined = found.join(products, "product_id", "left").join(F.broadcast(sites.select("site_id", "site_name")), "site_id", "left").join(means, "variant_id", "left")
+    joined = found.join(products, "product_id", "left").join(sites.select("site_id", "site_name"), "site_id", "left").join(means, "variant_id", "left")
     middle = (F.col("prev_price").cast("double") + F.col("price").cast("double")) / 2
     return joined.select(
         "variant_id", "product_id", "site_id", F.coalesce("product_name", "variant_name").alias("name"), F.coalesce("site_name", F.lit("Tienda")).alias("site_name"), "category",
@@ -98,12 +98,12 @@ def recent_price_changes(variants: DataFrame, sites: DataFrame, k: int = 5) -> D
     """FLT-2, TOP-1, PRJ-3."""
     delta = F.coalesce("price", F.lit(0)) - F.coalesce("prev_price", F.lit(0))
     top = variants.where("price IS NOT NULL AND prev_price IS NOT NULL AND price <> prev_price").orderBy(F.desc("updated_at"), "variant_id").limit(k)
-    return top.join(F.broadcast(sites.select("site_id", "site_name")), "site_id", "left").select("variant_id", "variant_name", F.coalesce("site_name", F.lit("Desconocido")).alias("site_name"), "price", "prev_price", delta.cast("decimal(18,2)").alias("delta"), F.when(delta > 0, "up").when(delta < 0, "down").otherwise("same").alias("direction"), "updated_at")
+    return top.join(sites.select("site_id", "site_name"), "site_id", "left").select("variant_id", "variant_name", F.coalesce("site_name", F.lit("Desconocido")).alias("site_name"), "price", "prev_price", delta.cast("decimal(18,2)").alias("delta"), F.when(delta > 0, "up").when(delta < 0, "down").otherwise("same").alias("direction"), "updated_at")
 
 
 def site_distribution(variants: DataFrame, sites: DataFrame) -> DataFrame:
     """AGG-3: variants by site name and their share."""
-    counted = variants.groupBy("site_id").agg(F.count("*").alias("n")).join(F.broadcast(sites), "site_id", "left")
+    counted = variants.groupBy("site_id").agg(F.count("*").alias("n")).join(sites, "site_id", "left")
     by_name = counted.groupBy(F.coalesce("site_name", F.lit("Desconocido")).alias("site_name")).agg(F.sum("n").alias("variants"))
     whole = by_name.agg(F.sum("variants").alias("total"))
     return by_name.crossJoin(whole).select("site_name", "variants", F.round(F.when(F.col("total") > 0, F.col("variants") * 100.0 / F.col("total")).otherwise(0.0), 6).alias("share_pct"))
@@ -112,7 +112,7 @@ def site_distribution(variants: DataFrame, sites: DataFrame) -> DataFrame:
 def recent_failures(failures: DataFrame, variants: DataFrame, sites: DataFrame, as_of: str, k: int = 5) -> DataFrame:
     """TOP-3, JN-5, PRJ-2, PRJ-5."""
     top = failures.orderBy(F.desc("failed_at"), F.desc("failure_id")).limit(k)
-    joined = top.join(variants.select("variant_id", "variant_name", "site_id"), "variant_id", "left").join(F.broadcast(sites.select("site_id", "site_name")), "site_id", "left")
+    joined = top.join(variants.select("variant_id", "variant_name", "site_id"), "variant_id", "left").join(sites.select("site_id", "site_name"), "site_id", "left")
     return joined.select("failure_id", "variant_id", F.coalesce("variant_name", F.lit("Variante Eliminada")).alias("variant_name"), F.coalesce("site_name", F.lit("N/A")).alias("site_name"), "error", age_label(F.col("failed_at"), ts(as_of)).alias("age"))
 
 
@@ -157,7 +157,7 @@ def choose_proxy(proxies: DataFrame, policy: str) -> DataFrame:
 
 def _recent(metrics: DataFrame, sites: DataFrame, as_of: str, days: int) -> DataFrame:
     rows = metrics.where(F.col("recorded_at") >= ts(as_of) - F.expr(f"INTERVAL {days} DAYS"))
-    return rows.join(F.broadcast(sites.select("site_id", "site_name")), "site_id")
+    return rows.join(sites.select("site_id", "site_name"), "site_id")
 
 
 def _success() -> Column:
@@ -203,7 +203,7 @@ def latest_failures(failures: DataFrame, variants: DataFrame, sites: DataFrame)
     """WIN-1, JN-5, PRJ-1, PRJ-2: the last failure of each variant."""
     first = Window.partitionBy("variant_id").orderBy(F.desc("failed_at"), F.desc("failure_id"))
     last = failures.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    joined = last.join(variants.select("variant_id", "variant_name", "site_id", "price"), "variant_id", "left").join(F.broadcast(sites.select("site_id", "site_name")), "site_id", "left")
+    joined = last.join(variants.select("variant_id", "variant_name", "site_id", "price"), "variant_id", "left").join(sites.select("site_id", "site_name"), "site_id", "left")
     return joined.select("failure_id", "variant_id", F.coalesce("variant_name", F.lit("Variante Eliminada")).alias("variant_name"), F.coalesce("site_name", F.lit("N/A")).alias("site_name"), F.coalesce("strategy", F.lit("N/A")).alias("strategy"), F.coalesce("price", F.lit(0)).cast("decimal(18,2)").alias("price"), "error", "failed_at")
 
 
@@ -258,7 +258,7 @@ def catalog_search(products: DataFrame, variants: DataFrame, text: str | None =
 def catalog_facets(found: DataFrame, variants: DataFrame, sites: DataFrame) -> DataFrame:
     """AGG-10, SET-3: all variants of the found products by site, and the products by category."""
     ids = found.select("product_id")
-    by_site = variants.join(ids, "product_id", "left_semi").groupBy("site_id").agg(F.count("*").alias("n")).join(F.broadcast(sites.select("site_id", "site_name")), "site_id").select(F.lit("site").alias("facet"), F.col("site_name").alias("value"), "n")
+    by_site = variants.join(ids, "product_id", "left_semi").groupBy("site_id").agg(F.count("*").alias("n")).join(sites.select("site_id", "site_name"), "site_id").select(F.lit("site").alias("facet"), F.col("site_name").alias("value"), "n")
     by_category = found.groupBy(F.col("category").alias("value")).agg(F.count("*").alias("n")).select(F.lit("category").alias("facet"), "value", "n")
     return by_site.unionByName(by_category)
 
@@ -325,7 +325,7 @@ def change_points(history: DataFrame) -> DataFrame:
 
 def _pending(variants: DataFrame, sites: DataFrame, as_of: str) -> DataFrame:
     now = ts(as_of)
-    rows = variants.join(F.broadcast(sites.select("site_id", "site_name", "interval_minutes")), "site_id", "left")
+    rows = variants.join(sites.select("site_id", "site_name", "interval_minutes"), "site_id", "left")
     last = F.col("updated_at")
     due = (last < F.date_trunc("DAY", now.cast("timestamp")).cast("timestamp_ntz")) & F.col("site_name").isNotNull() & (last < now - F.make_dt_interval(mins=F.col("interval_minutes")))
     return rows.where(F.col("active") & (last.isNull() | due))
@@ -348,7 +348,7 @@ def pending_queue(variants: DataFrame, sites: DataFrame, as_of: str, first: int
 def due_variants(variants: DataFrame, sites: DataFrame, as_of: str, test_mode: bool = False) -> DataFrame:
     """FLT-6: inclusive, active sites only; differs from the pending queue on purpose."""
     now = ts(as_of)
-    rows = variants.where("active").join(F.broadcast(sites.where("active").select("site_id", "interval_minutes")), "site_id")
+    rows = variants.where("active").join(sites.where("active").select("site_id", "interval_minutes"), "site_id")
     if not test_mode:
         rows = rows.where(F.col("updated_at").isNull() | (F.col("updated_at") + F.make_dt_interval(mins=F.col("interval_minutes")) <= now))
     return rows.select("variant_id", "site_id", "updated_at")

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from pricelark.functions.text import NO_BRAND, normalize_brand, normalize_sku
 from pricelark.functions.urls import clean_product_url, host_of, normalize_image_url
+from pricelark.operators.stateful import numbered
+from pricelark.session import checked_broadcast
 
+# Widths of columns, and what an empty batch says.
+WIDTHS = {"name": 300, "sku": 100, "brand": 100, "url": 1000, "image_url": 1000}
 EMPTY_BATCH = "El lote de datos está vacío."
 
 
@@ -33,22 +37,33 @@ def changed(price: Column, stock: Column, new_price: Column, new_stock: Column)
     return price.isNull() | (price != new_price) | (stock != new_stock)
 
 
+def fit_columns(items: DataFrame) -> DataFrame:
+    """PRJ-6: texts cut to the widths of their columns; a missing brand gets the default, other texts '' but for the image."""
+    cut = {c: F.substring(F.col(c) if c == "image_url" else F.coalesce(F.col(c), F.lit(NO_BRAND if c == "brand" else "")), 1, n) for c, n in WIDTHS.items() if c in items.columns}
+    return items.withColumns(cut)
+
+
 def latest_items(batch: DataFrame) -> DataFrame:
-    """One item per variant: the latest, then the dearest. Only partial aggregates are shuffled."""
-    rest = [c for c in batch.columns if c != "variant_id"]
-    return batch.groupBy("variant_id").agg(F.max_by(F.struct(*rest), F.struct("captured_at", "price")).alias("x")).select("variant_id", *(F.col(f"x.{c}").alias(c) for c in rest))
+    """One item per variant: the latest, then the dearest, then the greatest of all other columns in their order (nulls last).
 
+    Only partial aggregates are shuffled.
+    """
+    rest = ["captured_at", "price", *(c for c in batch.columns if c not in ("variant_id", "captured_at", "price"))]
+    best = batch.groupBy("variant_id").agg(F.max(F.struct(*rest)).alias("x"))
+    return best.select(*("variant_id" if c == "variant_id" else F.col(f"x.{c}").alias(c) for c in batch.columns))
 
-def bulk_merge(variants: DataFrame, sites: DataFrame, batch: DataFrame | None, force_history: bool = False) -> Merged:
+
+def bulk_merge(variants: DataFrame, sites: DataFrame, batch: DataFrame | None, force_history: bool = False, checked: bool = False) -> Merged:
     """MRG-1 (and MRG-3 with force_history), JN-2, JN-3, AGG-13, SNK-2, SNK-3.
 
     New history rows are judged against the state before the batch; every
-    differing row of a variant is kept. Of several items of a variant the
-    latest (then the dearest) becomes its state. Items of unknown variants are
-    left out. A site's last crawl becomes the batch's latest time, even if it
-    is older. A batch that is None changes nothing and says so.
+    differing row of a variant is kept. Of several items of a variant one
+    becomes its state (latest_items). Items of unknown variants are left out. A
+    site's last crawl becomes the batch's latest time, even if it is older. A
+    batch that is None or empty changes nothing and says so; `checked` leaves
+    out the look for a first row.
     """
-    if batch is None:
+    if batch is None or not checked and batch.isEmpty():
         return Merged(variants, sites, variants.select("variant_id", "price", "in_stock", F.col("updated_at").alias("captured_at")).limit(0), False, EMPTY_BATCH)
     old = variants.select(F.col("variant_id").alias("v"), F.col("price").alias("old_price"), F.col("in_stock").alias("old_stock"), "site_id")
     met = batch.join(old, F.col("variant_id") == F.col("v"))
@@ -78,8 +93,9 @@ def duplicate_map(variants: DataFrame) -> DataFrame:
     """MRG-4, AGG-16, WIN-2: loser -> winner for variants of one clean URL, across all sites.
 
     The winner has an update, the latest, and then the lowest id. It comes from
-    one aggregate, so a URL that a third of all variants share stays one row
-    per task.
+    one aggregate that combines before its shuffle. The join back shuffles
+    variants by URL; where one URL holds a large share, AQE splits its
+    partition (spark.sql.adaptive.skewJoin), as it does for remap_history.
     """
     keyed = variants.where("trim(url) <> ''").withColumn("key", F.lower(clean_product_url(F.col("url"))))
     rank = F.struct(F.col("updated_at").isNotNull(), F.col("updated_at"), (-F.col("variant_id")).alias("i"))
@@ -130,11 +146,12 @@ def reset_attempts(variants: DataFrame) -> DataFrame:
 def resolve_sites(items: DataFrame, sites: DataFrame) -> DataFrame:
     """FLT-14: the site of lowest id whose base URL has the item's domain; null if none has.
 
-    The catalogue of sites is small by nature; domains are made distinct first.
+    Domains are made distinct first. Sites are broadcast if a count says that
+    they are few, as no equality ties the two.
     """
     d = F.lower(F.trim("domain"))
     asked = items.select(d.alias("d")).distinct().where("d <> ''")
-    found = asked.join(F.broadcast(sites.select(F.col("site_id").alias("s"), "url_base")), F.contains("url_base", F.col("d"))).groupBy("d").agg(F.min("s").alias("site_id"))
+    found = asked.join(checked_broadcast(sites.select(F.col("site_id").alias("s"), "url_base")), F.contains("url_base", F.col("d"))).groupBy("d").agg(F.min("s").alias("site_id"))
     return items.join(found, d == F.col("d"), "left").drop("d")
 
 
@@ -220,6 +237,26 @@ def best_matches(matches: DataFrame) -> DataFrame:
     return matches.groupBy("item_id").agg(F.max_by("variant_id", rank).alias("variant_id"), F.count("*").alias("matches"))
 
 
+def register_variants(items: DataFrame, variants: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """MRG-7 over items (item_id, product_id, site_id, item_sku, price, in_stock).
+
+    An item whose SKU its site has already is rejected, as is all but the
+    first (by item_id) of several items of one site and SKU; the others adopt
+    the product of their SKU if there is one (JN-13), and a first history row
+    is made for those with a price.
+    """
+    have = variants.select(F.col("site_id").alias("s"), F.col("sku").alias("k")).distinct().withColumn("taken", F.lit(True))
+    first = items.groupBy(F.col("site_id").alias("f_site"), F.col("item_sku").alias("f_sku")).agg(F.min("item_id").alias("first"))
+    met = items.join(have, F.col("site_id").eqNullSafe(F.col("s")) & F.col("item_sku").eqNullSafe(F.col("k")), "left")
+    met = met.join(first, F.col("site_id").eqNullSafe(F.col("f_site")) & F.col("item_sku").eqNullSafe(F.col("f_sku")))
+    ok = F.col("taken").isNull() & (F.col("item_id") == F.col("first"))
+    known = variants.groupBy(F.col("sku").alias("k2")).agg(F.min_by("product_id", "variant_id").alias("known"))
+    linked = met.where(ok).join(known, F.col("item_sku") == F.col("k2"), "left")
+    added = linked.select(*(F.coalesce("known", "product_id").alias(c) if c == "product_id" else F.col(c) for c in items.columns), F.col("known").isNotNull().alias("linked"))
+    history = added.where("price IS NOT NULL").select("item_id", "price", "in_stock", F.lit(as_of).cast("timestamp_ntz").alias("captured_at"))
+    return {"variants": added, "history": history, "rejected": met.where(~ok).select(*items.columns)}
+
+
 def adopt_products(items: DataFrame, variants: DataFrame) -> DataFrame:
     """JN-13: a new variant whose SKU is anywhere already adopts that product (of the lowest variant id)."""
     known = variants.groupBy(F.col("sku").alias("k")).agg(F.min_by("product_id", "variant_id").alias("product_id"))
@@ -227,12 +264,17 @@ def adopt_products(items: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def find_products(items: DataFrame, products: DataFrame) -> DataFrame:
-    """JN-14: the lowest id of a product of the item's name and brand; new ones follow the highest id, by name and brand."""
+    """JN-14: the lowest id of a product of the item's name and brand; new ones follow the highest id.
+
+    New ones are numbered in the order of a hash of name and brand, so that no
+    task orders them all.
+    """
     dim = products.groupBy(F.col("product_name").alias("n"), F.col("brand").alias("b")).agg(F.min("product_id").alias("product_id"))
     joined = items.join(dim, (F.col("item_name") == F.col("n")) & (F.coalesce("item_brand", F.lit(NO_BRAND)) == F.col("b")), "left").drop("n", "b")
     fresh = joined.where("product_id IS NULL").select("item_name", F.coalesce("item_brand", F.lit(NO_BRAND)).alias("item_brand")).distinct()
     top = products.agg(F.coalesce(F.max("product_id"), F.lit(0)).alias("top"))
-    made = fresh.crossJoin(F.broadcast(top)).select(F.col("item_name").alias("n"), F.col("item_brand").alias("b"), (F.col("top") + F.row_number().over(Window.orderBy("item_name", "item_brand"))).alias("made"))
+    placed = numbered(fresh.withColumn("h", F.xxhash64("item_name", "item_brand")), "h", "item_name", "item_brand")
+    made = placed.crossJoin(F.broadcast(top)).select(F.col("item_name").alias("n"), F.col("item_brand").alias("b"), (F.col("top") + 1 + F.col("i")).alias("made"))
     return joined.join(made, (F.col("item_name") == F.col("n")) & (F.coalesce("item_brand", F.lit(NO_BRAND)) == F.col("b")), "left").select(*items.columns, F.coalesce("product_id", "made").alias("product_id"), F.col("made").isNotNull().alias("created"))
 
 

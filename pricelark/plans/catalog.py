@@ -28,16 +28,16 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from pricelark.plans import pages  # registers its queries
+    from pricelark.plans import built, pages  # register their queries
 
-    assert pages
+    assert pages and built
     return {name: (lambda spark, sf_dir, f=f: f(Domain(spark, sf_dir))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from pricelark.plans import pages
+    from pricelark.plans import built, pages
 
-    assert pages
+    assert pages and built
     return dict(SQL)
 
 
@@ -337,9 +337,9 @@ def bulk_merge_history(d: Domain) -> DataFrame:
 
 
 @query(_BATCH + _LATEST + """SELECT v.variant_id, CASE WHEN l.variant_id IS NULL THEN v.prev_price ELSE v.price END AS prev_price, coalesce(l.price, v.price) AS price, coalesce(l.captured_at, v.updated_at) AS updated_at,
-  CASE WHEN v.image_url <> '' THEN v.image_url ELSE coalesce(l.image_url, v.image_url) END IS NOT NULL AS has_image FROM variant v LEFT JOIN latest l USING (variant_id)""")
+  CASE WHEN v.image_url <> '' THEN v.image_url WHEN l.variant_id IS NULL THEN v.image_url ELSE l.image_url END AS image_url, coalesce(l.in_stock, v.in_stock) AS in_stock FROM variant v LEFT JOIN latest l USING (variant_id)""")
 def bulk_merge_variants(d: Domain) -> DataFrame:
-    return _merged(d).variants.select("variant_id", "prev_price", "price", "updated_at", F.col("image_url").isNotNull().alias("has_image"))
+    return _merged(d).variants.select("variant_id", "prev_price", "price", "updated_at", "image_url", "in_stock")
 
 
 @query(_BATCH + "SELECT site_id, max(b.captured_at) AS last_crawl FROM site LEFT JOIN (batch b JOIN variant v USING (variant_id)) USING (site_id) GROUP BY 1")
@@ -366,9 +366,9 @@ def dedupe_variants(d: Domain) -> DataFrame:
     return mg.duplicate_map(_crowded(d))
 
 
-@query(_CROWDED + "SELECT coalesce(winner, h.variant_id) AS variant_id, count(*) AS n FROM history h LEFT JOIN ranked USING (variant_id) GROUP BY 1")
+@query(_CROWDED + "SELECT coalesce(winner, h.variant_id) AS variant_id, price, captured_at, k1, k2, k3 FROM history h LEFT JOIN ranked USING (variant_id)")
 def dedupe_history_remap(d: Domain) -> DataFrame:
-    return mg.remap_history(d.history, mg.duplicate_map(_crowded(d))).groupBy("variant_id").agg(F.count("*").alias("n"))
+    return mg.remap_history(d.history, mg.duplicate_map(_crowded(d))).select("variant_id", "price", "captured_at", "k1", "k2", "k3")
 
 
 @query(_CROWDED + "SELECT variant_id, active AND NOT (variant_id = 55 OR key = (SELECT key FROM keyed WHERE variant_id = 55)) AS active FROM keyed")
@@ -376,15 +376,13 @@ def deactivate_by_url(d: Domain) -> DataFrame:
     return mg.deactivate(_crowded(d), 55).select("variant_id", "active")
 
 
-@query("""SELECT (SELECT count(*) FROM product WHERE product_id % 17 <> 3) AS products, (SELECT count(*) FROM variant WHERE product_id % 17 <> 3) AS variants, (SELECT count(*) FROM history WHERE product_id % 17 <> 3) AS history,
-  (SELECT count(*) FROM failure f WHERE f.variant_id NOT IN (SELECT variant_id FROM variant WHERE product_id % 17 = 3)) AS failures""")
+@query("""SELECT 'products' AS kind, product_id AS id, NULL::TIMESTAMP AS seen_at FROM product WHERE product_id % 17 <> 3 UNION ALL SELECT 'variants', variant_id, NULL FROM variant WHERE product_id % 17 <> 3
+  UNION ALL SELECT 'history', variant_id, captured_at FROM history WHERE product_id % 17 <> 3 UNION ALL SELECT 'failures', failure_id, failed_at FROM failure f WHERE f.variant_id NOT IN (SELECT variant_id FROM variant WHERE product_id % 17 = 3)""")
 def cascade_delete(d: Domain) -> DataFrame:
+    """What is left of each table."""
     left = mg.cascade_delete(d.products, d.variants, d.history, d.failures, d.products.where("product_id % 17 = 3").select("product_id"))
-    counts = [f.agg(F.count("*").alias(k)) for k, f in left.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.crossJoin(c)  # single rows
-    return out
+    rows = lambda kind, key, at=None: left[kind].select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), (F.col(at) if at else F.lit(None)).cast("timestamp_ntz").alias("seen_at"))
+    return rows("products", "product_id").union(rows("variants", "variant_id")).union(rows("history", "variant_id", "captured_at")).union(rows("failures", "failure_id", "failed_at"))
 
 
 _CARDS = ", card AS (SELECT o_orderkey AS card_id, CAST(o_orderkey % 5 AS INTEGER) AS site_id, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'sku-' || (o_orderkey % 4000) END AS sku, CASE WHEN o_orderkey % 8 = 0 THEN 0.00 ELSE o_totalprice END::DECIMAL(18,2) AS price, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE ' Acme / Sub ' END AS brand FROM orders)\n"
@@ -406,29 +404,73 @@ def category_save_antijoin(d: Domain) -> DataFrame:
     return mg.new_products(_cards(d), d.variants)
 
 
-_INCOMING = ", incoming AS (SELECT event_id AS item_id, CAST(event_id % 5 AS INTEGER) AS site_id, CASE event_id % 3 WHEN 0 THEN 'sku-' || (event_id % 2000) WHEN 1 THEN 'ref' || (1000 + event_id % 900) ELSE 'zz' END AS item_sku, 'https://shop.example.com/x/SKU-' || (event_id % 1999) || '?gclid=1' AS item_url FROM events WHERE event_id < 60)\n"
+_INCOMING = """, incoming AS (SELECT event_id AS item_id, CAST(event_id % 5 AS INTEGER) AS site_id, CASE event_id % 3 WHEN 0 THEN 'sku-' || (event_id % 2000) WHEN 1 THEN 'ref' || (1000 + event_id % 900) ELSE 'zz' END AS item_sku,
+  'https://shop.example.com/x/SKU-' || (event_id % 1999) || '?gclid=1' AS item_url, CASE WHEN event_id % 10 = 0 THEN 0.00 ELSE value END::DECIMAL(18,2) AS item_price, CASE WHEN event_id % 4 = 0 THEN 'https://cdn.shopify.com/n/' || event_id || '.png' END AS item_image FROM events)
+"""
+_MATCHES = """, prep AS (SELECT item_id, site_id, trim(regexp_replace(lower(item_sku), '^(sku|código|codigo|ref|model|modelo)\\s*', '')) AS b, lower(split_part(item_url, '?', 1)) AS y FROM incoming),
+m AS (SELECT item_id, v.variant_id, v.updated_at FROM prep i JOIN (SELECT *, lower(sku) AS a, lower(url) AS x, lower(rtrim(split_part(split_part(url, '#', 1), '?', 1), '/')) AS cx FROM variant) v
+  ON i.site_id = v.site_id AND (cx = y OR a = b OR (length(b) >= 4 AND contains(a, b)) OR (length(a) >= 4 AND contains(b, a)) OR (length(b) >= 4 AND contains(x, b)) OR (length(a) >= 4 AND contains(y, a))))
+"""
 
 
 def _incoming(d: Domain) -> DataFrame:
     """An item of each event."""
     k = F.col("event_id")
     sku = F.when(k % 3 == 0, F.concat(F.lit("sku-"), (k % 2000).cast("string"))).when(k % 3 == 1, F.concat(F.lit("ref"), (1000 + k % 900).cast("string"))).otherwise("zz")
-    return d.table("events").select(k.alias("item_id"), (k % 5).cast("int").alias("site_id"), sku.alias("item_sku"), F.concat(F.lit("https://shop.example.com/x/SKU-"), (k % 1999).cast("string"), F.lit("?gclid=1")).alias("item_url"))
+    image = F.when(k % 4 == 0, F.concat(F.lit("https://cdn.shopify.com/n/"), k.cast("string"), F.lit(".png")))
+    return d.table("events").select(k.alias("item_id"), (k % 5).cast("int").alias("site_id"), sku.alias("item_sku"), F.concat(F.lit("https://shop.example.com/x/SKU-"), (k % 1999).cast("string"), F.lit("?gclid=1")).alias("item_url"), F.when(k % 10 == 0, 0.0).otherwise(F.col("value")).cast("decimal(18,2)").alias("price"), image.alias("image_url"))
 
 
-@query(_INCOMING + """, prep AS (SELECT item_id, site_id, trim(regexp_replace(lower(item_sku), '^(sku|código|codigo|ref|model|modelo)\\s*', '')) AS b, lower(split_part(item_url, '?', 1)) AS y FROM incoming),
-m AS (SELECT item_id, v.variant_id, v.updated_at FROM prep i JOIN (SELECT *, lower(sku) AS a, lower(url) AS x, lower(rtrim(split_part(split_part(url, '#', 1), '?', 1), '/')) AS cx FROM variant) v
-  ON i.site_id = v.site_id AND (cx = y OR a = b OR (length(b) >= 4 AND contains(a, b)) OR (length(a) >= 4 AND contains(b, a)) OR (length(b) >= 4 AND contains(x, b)) OR (length(a) >= 4 AND contains(y, a))))
-SELECT item_id, arg_max(variant_id, (updated_at, -variant_id)) AS variant_id, count(*) AS matches FROM m GROUP BY 1""")
+@query(_INCOMING + _MATCHES + "SELECT item_id, arg_max(variant_id, (updated_at, -variant_id)) AS variant_id, count(*) AS matches FROM m GROUP BY 1")
 def fuzzy_match(d: Domain) -> DataFrame:
-    """Of the first 60 items only, as in its SQL; fuzzy_match_all takes all."""
-    return mg.best_matches(mg.fuzzy_match(_incoming(d).where("item_id < 60"), d.variants))
+    return mg.best_matches(mg.fuzzy_match(_incoming(d), d.variants))
 
 
-@query()
+@query(_INCOMING + _MATCHES + "SELECT item_id, variant_id FROM m")
 def fuzzy_match_all(d: Domain) -> DataFrame:
-    """Items of all events, matched with all variants. Its SQL would compare all pairs of a site, so it has none."""
-    return mg.best_matches(mg.fuzzy_match(_incoming(d), d.variants))
+    """All matches, not only the best of each item."""
+    return mg.fuzzy_match(_incoming(d), d.variants).select("item_id", "variant_id")
+
+
+_UPSERT_AS_OF = "2002-01-01 00:00:00"
+
+
+@query(_INCOMING + _MATCHES + f""", last AS (SELECT variant_id, max(item_id) AS item_id FROM m GROUP BY 1)
+SELECT v.variant_id, CASE WHEN i.item_id IS NULL THEN v.prev_price ELSE v.price END AS prev_price, CASE WHEN i.item_id IS NULL THEN v.price ELSE item_price END AS price, CASE WHEN i.item_id IS NULL THEN v.in_stock ELSE item_price > 0 END AS in_stock,
+  CASE WHEN i.item_id IS NULL THEN v.updated_at ELSE TIMESTAMP '{_UPSERT_AS_OF}' END AS updated_at, CASE WHEN i.item_id IS NULL THEN v.url ELSE split_part(item_url, '?', 1) END AS url,
+  CASE WHEN coalesce(v.image_url, '') = '' AND item_image IS NOT NULL THEN item_image || '?width=2000' ELSE v.image_url END AS image_url, v.active OR i.item_id IS NOT NULL AS active
+FROM variant v LEFT JOIN last l USING (variant_id) LEFT JOIN incoming i ON l.item_id = i.item_id""")
+def extension_upsert(d: Domain) -> DataFrame:
+    after = mg.extension_upsert(_incoming(d), d.variants, _UPSERT_AS_OF)["variants"]
+    return after.select("variant_id", "prev_price", "price", "in_stock", "updated_at", "url", "image_url", "active")
+
+
+@query(_INCOMING + _MATCHES + """, best AS (SELECT item_id, arg_max(variant_id, (updated_at, -variant_id)) AS variant_id FROM m GROUP BY 1)
+SELECT v.variant_id, item_price AS price, item_price > 0 AS in_stock FROM best JOIN incoming USING (item_id) JOIN variant v USING (variant_id) WHERE v.price IS NULL OR v.price <> item_price OR v.in_stock <> (item_price > 0)""")
+def extension_upsert_history(d: Domain) -> DataFrame:
+    return mg.extension_upsert(_incoming(d), d.variants, _UPSERT_AS_OF)["history"].select("variant_id", "price", "in_stock")
+
+
+_NEW = ", item AS (SELECT o_orderkey AS item_id, o_orderkey AS product_id, o_orderkey % 5 AS site_id, 'SKU-' || (o_orderkey % 2500) AS item_sku, CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice END::DECIMAL(18,2) AS price FROM orders)\n"
+
+
+def _new_variants(d: Domain) -> dict[str, DataFrame]:
+    k = F.col("o_orderkey")
+    items = d.table("orders").select(k.alias("item_id"), k.alias("product_id"), (k % 5).alias("site_id"), F.concat(F.lit("SKU-"), (k % 2500).cast("string")).alias("item_sku"), F.when(k % 6 != 0, F.col("o_totalprice")).cast("decimal(18,2)").alias("price"), F.lit(True).alias("in_stock"))
+    return mg.register_variants(items, d.variants, _UPSERT_AS_OF)
+
+
+@query(_NEW + """SELECT item_id, coalesce(k.product_id, f.product_id) AS product_id, site_id, item_sku, price, k.product_id IS NOT NULL AS linked
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, item_sku ORDER BY item_id) AS rn FROM item) WHERE rn = 1) f
+LEFT JOIN (SELECT sku, arg_min(product_id, variant_id) AS product_id FROM variant GROUP BY 1) k ON k.sku = f.item_sku WHERE NOT EXISTS (SELECT 1 FROM variant v WHERE v.site_id = f.site_id AND v.sku = f.item_sku)""")
+def register_variants(d: Domain) -> DataFrame:
+    return _new_variants(d)["variants"].drop("in_stock")
+
+
+@query("SELECT product_id, substr(repeat(product_name || ' ', 20), 1, 300) AS name, substr(repeat(brand, 12), 1, 100) AS brand, CASE WHEN product_id % 3 = 0 THEN '' ELSE substr(repeat('https://example.com/' || product_id, 60), 1, 1000) END AS url FROM product")
+def fit_columns(d: Domain) -> DataFrame:
+    k = F.col("product_id")
+    return mg.fit_columns(d.products.select("product_id", F.repeat(F.concat("product_name", F.lit(" ")), F.lit(20)).alias("name"), F.repeat("brand", F.lit(12)).alias("brand"), F.when(k % 3 != 0, F.repeat(F.concat(F.lit("https://example.com/"), k.cast("string")), F.lit(60))).alias("url")))
 
 
 _DOMAINS = ", item AS (SELECT user_id, min(event_id) AS item_id, CASE user_id % 7 WHEN 0 THEN ' Asia.example.com ' WHEN 1 THEN 'example.com' WHEN 2 THEN 'middle-east' WHEN 3 THEN 'nowhere.org' ELSE 'europe.example' END AS domain FROM events GROUP BY user_id)\n"
@@ -528,10 +570,12 @@ def absolute_url(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", urls.make_absolute_url(F.concat(F.lit(" /img/"), F.col("page_id").cast("string"), F.lit(".png")), F.col("url")).alias("absolute"), urls.is_valid_link(F.col("url")).alias("valid"))
 
 
-@query("SELECT product_id, CASE WHEN product_id % 5 = 0 THEN 'Genérica' ELSE brand END AS brand, 'X' || product_id AS sku, 'https://cdn.shopify.com/a.jpg?width=2000' AS image FROM product")
+@query("""SELECT product_id, CASE WHEN product_id % 5 = 0 THEN 'Genérica' ELSE brand END AS brand, 'X' || product_id AS sku,
+  CASE product_id % 3 WHEN 0 THEN 'https://cdn.shopify.com/' || product_id || '.jpg?v=1&width=2000' WHEN 1 THEN 'https://s.example.com/cdn/shop/' || product_id || '.jpg?width=2000' ELSE 'https://i.example.com/' || product_id || '.jpg?width=300' END AS image FROM product""")
 def normalize_product_fields(d: Domain) -> DataFrame:
-    k = F.col("product_id")
-    return d.products.select("product_id", text.normalize_brand(F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("  "), F.col("brand"), F.lit(" /VITAMINAS")))).alias("brand"), text.normalize_sku(F.concat(F.lit(" Ref  X"), k.cast("string"))).alias("sku"), urls.normalize_image_url(F.lit("https://cdn.shopify.com/a.jpg?width=300")).alias("image"))
+    k, part = F.col("product_id"), F.col("product_id").cast("string")
+    image = F.when(k % 3 == 0, F.concat(F.lit(" https://cdn.shopify.com/"), part, F.lit(".jpg?v=1&width=300"))).when(k % 3 == 1, F.concat(F.lit("https://s.example.com/cdn/shop/"), part, F.lit(".jpg"))).otherwise(F.concat(F.lit("https://i.example.com/"), part, F.lit(".jpg?width=300")))
+    return d.products.select("product_id", text.normalize_brand(F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("  "), F.col("brand"), F.lit(" /VITAMINAS")))).alias("brand"), text.normalize_sku(F.concat(F.lit(" Ref  X"), k.cast("string"))).alias("sku"), urls.normalize_image_url(image).alias("image"))
 
 
 @query("""SELECT doc_id, NOT regexp_matches(lower(text), 'agotado|sin stock|no disponible|out of stock|sold out') AS in_stock, regexp_matches(lower(text), 'cloudflare') AS flagged FROM documents""")
@@ -545,9 +589,12 @@ def detect_strategy(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", text.detect_strategy(F.col("html"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("strategy"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'Error' WHEN event_type = 'view' THEN 'Verbose' ELSE 'Information' END AS pushed, 'Information' AS stored FROM events")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Error' WHEN 1 THEN 'Error' WHEN 2 THEN 'Warning' WHEN 3 THEN 'Warning' WHEN 4 THEN 'Verbose' ELSE CASE event_type WHEN 'error' THEN 'Error' ELSE 'Information' END END AS pushed,
+  CASE event_id % 6 WHEN 0 THEN 'Error' WHEN 1 THEN 'Error' WHEN 2 THEN 'Warning' WHEN 3 THEN 'Information' WHEN 4 THEN 'Information' ELSE CASE event_type WHEN 'error' THEN 'Error' ELSE 'Information' END END AS stored FROM events""")
 def log_levels(d: Domain) -> DataFrame:
-    level = F.when(F.col("event_type") == "view", "VERBOSE").when(F.col("event_type") == "error", "ERR").otherwise(F.col("event_type"))
+    """Pushed events take any case, stored records the listed forms only."""
+    forms, k = F.array(*map(F.lit, ("Error", "err", "w", "WARNING", "VERBOSE"))), F.col("event_id") % 6
+    level = F.when(k < 5, F.element_at(forms, (k + 1).cast("int"))).otherwise(F.col("event_type"))
     return d.table("events").select("event_id", text.log_level_push(level).alias("pushed"), text.log_level_record(level).alias("stored"))
 
 

@@ -74,7 +74,7 @@ class Domain:
         tail = F.when(v % 4 == 0, "?utm_source=feed").when(v % 4 == 1, "/").when(v % 4 == 2, "#top").otherwise("")
         return (
             now.join(self.products.select("product_id", "product_name"), "product_id")
-            .join(F.broadcast(self.sites.select("site_id", "url_base")), "site_id")  # sites: a handful by definition
+            .join(self.sites.select("site_id", "url_base"), "site_id")
             .select(
                 "variant_id",
                 "product_id",

@@ -9,8 +9,8 @@ streams write their checkpoints to the folder they are given.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from threading import Event
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricelark.operators.merge import bulk_merge
 from pricelark.operators.stateful import ATTEMPTS_A_DAY, DISTINCT_VARIANTS, STRIKES
-from pricelark.operators.store import Store
+from pricelark.operators.store import Store, bucket
 from pricelark.session import workers_find_package
 
 
@@ -84,24 +84,27 @@ def proxy_health(results: DataFrame) -> DataFrame:
 
 
 def promotion_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """STF-3: state is each selector's variants so far, until there are enough of them."""
-    seen: dict[str, list[int]] = json.loads(state.get[0]) if state.exists else {}
+    """STF-3: state is a selector's variants so far; once there are enough they aren't looked at any more."""
+    known: list[int] = list(state.get[0]) if state.exists else []
     rows = pd.concat(list(parts)).sort_values(["validated_at", "candidate_id"], kind="stable")
     keep = []
-    for xpath, variant, price in zip(rows["xpath"], rows["variant_id"], rows["price"], strict=True):
-        known = seen.setdefault(xpath, []) if xpath and xpath.strip() and price is not None and price > 0 else None
-        fresh = known is not None and len(known) < DISTINCT_VARIANTS and int(variant) not in known
+    for variant, price in zip(rows["variant_id"], rows["price"], strict=True):
+        fresh = price is not None and price > 0 and len(known) < DISTINCT_VARIANTS and int(variant) not in known
         if fresh:
             known.append(int(variant))
         keep.append(fresh and len(known) == DISTINCT_VARIANTS)
-    state.update((json.dumps(seen),))
+    state.update((known,))
     yield rows[keep][["site_id", "xpath", "validated_at"]]
 
 
 def promotions(candidates: DataFrame) -> DataFrame:
-    """site_id, xpath, validated_at of each selector when its last needed variant confirms it; the newest is the site's."""
+    """site_id, xpath, validated_at of each selector when its last needed variant confirms it; the newest is the site's.
+
+    State is keyed by site and selector, so a busy site is spread and a key holds at most three ids.
+    """
     workers_find_package(candidates.sparkSession)
-    return candidates.groupBy("site_id").applyInPandasWithState(promotion_rows, "site_id long, xpath string, validated_at timestamp_ntz", "seen string", "append", GroupStateTimeout.NoTimeout)
+    told = candidates.where("trim(xpath) <> ''")
+    return told.groupBy("site_id", "xpath").applyInPandasWithState(promotion_rows, "site_id long, xpath string, validated_at timestamp_ntz", "known array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def escalation_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -135,17 +138,33 @@ def notifications(items: DataFrame) -> DataFrame:
     return items.select("sku", F.concat_ws(" · ", "name", said).alias("message"))
 
 
-def merge_batches(captures: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """STF-1, STF-6, STF-7, MRG-1: each micro-batch is merged into the store's variants, sites and history.
+#: Buckets of the variants; a batch rewrites those that it touches.
+BUCKETS = 64
 
-    A batch that is run again after a failure finds its id and does nothing.
-    """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        done = bulk_merge(store.table("variants"), store.table("sites"), batch)
-        store.commit({"variants": done.variants, "sites": done.sites}, {"history": done.history}, batch=str(batch_id))
+def merge_batches(captures: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """STF-1, STF-6, STF-7, MRG-1: each micro-batch is merged into the store's variants, sites and history.
 
-    return captures.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+    A batch that is run again after a failure finds its stream's number in the
+    store and does nothing; streams are told apart by the id in their
+    checkpoint. An empty batch is left out. The first batch divides variants
+    into buckets by their ids; later ones read and rewrite those that they
+    touch. Spark's tasks are the consumers; how much a batch takes is bounded
+    by the source (maxFilesPerTrigger).
+    """
+    started, query = Event(), []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        started.wait()
+        touched = [r[0] for r in batch.select(bucket(F.col("variant_id"), buckets)).distinct().collect()]  # at most `buckets` numbers
+        if touched:
+            divided = store.has_buckets("variants", buckets)
+            done = bulk_merge(store.buckets("variants", touched) if divided else store.table("variants"), store.table("sites"), batch, checked=True)
+            store.commit({"sites": done.sites}, {"history": done.history}, batch=(query[0].id, number), patched={"variants": (done.variants, "variant_id", buckets, touched if divided else None)})
+
+    query.append(captures.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start())
+    started.set()
+    return query[0]
 
 
 def watch(stream: DataFrame, each: Callable[[DataFrame], None], checkpoint: str, seconds: int = 30) -> StreamingQuery:

@@ -201,3 +201,30 @@ def test_wrapped_and_custom_tags():
     assert [(p["name"], p["price"], p["sku"]) for p in got.products] == [(f"Avena {k} kg", Decimal(f"1{k}49.00"), f"123{k}") for k in (1, 2, 3)]
     blocked = category.read_category(page + "<i>Verifica tu identidad</i>", "https://www.costco.com.mx")
     assert (blocked.products, blocked.strategy) == ([], "Cloudflare")
+
+
+def test_evaluate_capture(spark):
+    from pricelark.html import udfs
+
+    ld = LD % '{"@type":"Product","name":"W","offers":{"price":"20"}}'
+    sites = [(1, "https://s.com", "Standard", "//b[@id='p']", None, "//img"), (2, "https://t.com", "Standard", "//b[", None, None), (3, "https://u.com", "Cloudflare", " ", None, None)]
+    captures = [
+        (1, 11, '<b id="p">$ 12.50</b><img src="/a.jpg">', None),  # the site's selectors
+        (2, 11, ld + "<noscript>enable javascript</noscript>", "sin selector"),  # they fail, the extraction doesn't
+        (3, 11, "<title>Just a moment</title><i>cf-challenge</i>", "Selector no encontrado"),  # nothing
+        (4, 12, ld, "x"),  # malformed selectors
+        (5, 13, '<main class="product"><h1>Z</h1><span class="price">$ 7.00</span></main>', None),  # no selector
+        (6, 99, ld, "y"),  # no site
+    ]
+    got = udfs.evaluate_capture(
+        spark.createDataFrame(captures, "capture_id int, variant_id int, html string, error string"),
+        spark.createDataFrame([(11, 1), (12, 2), (13, 3)], "variant_id int, site_id int"),
+        spark.createDataFrame(sites, "site_id int, url_base string, strategy string, price_selector string, stock_selector string, image_selector string"),
+    ).collect()
+    by = {r["capture_id"]: r for r in got}
+    assert (by[1]["ok"], by[1]["price"], by[1]["method"], by[1]["image_url"], by[1]["message"]) == (True, Decimal("12.50"), "Selector configurado", "https://s.com/a.jpg", None)
+    assert (by[2]["ok"], by[2]["price"], by[2]["method"], by[2]["recommended"], by[2]["message"]) == (True, Decimal("20.00"), product.BY_JSON, "Heavy-JS", f"Extraido via heuristica ({product.BY_JSON})")
+    assert (by[3]["ok"], by[3]["price"], by[3]["recommended"], by[3]["message"]) == (False, None, "Cloudflare", "Selector no encontrado")
+    assert (by[4]["ok"], by[4]["recommended"]) == (False, None)
+    assert (by[5]["ok"], by[5]["price"], by[5]["recommended"]) == (True, Decimal("7.00"), None) and by[5]["learned_selector"]
+    assert by[6]["ok"] and by[6]["recommended"] is None

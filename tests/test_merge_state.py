@@ -88,7 +88,7 @@ def test_fuzzy_branches(spark):
 
 def test_fuzzy_takes_all_events(spark, sf):
     d = Domain(spark, sf)
-    got = catalog.queries()["fuzzy_match_all"](spark, sf)
+    got = catalog.queries()["fuzzy_match"](spark, sf)
     assert catalog._incoming(d).count() == d.table("events").count()
     assert got.where("item_id >= 60").count() > 60
 
@@ -146,6 +146,72 @@ def test_queues_at_the_limit(spark):
 def test_store(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/store")
     a = spark.range(3).withColumn("v", F.lit(1))
-    assert s.commit({"t": a}, {"h": a}) and s.commit({"t": a.where("id > 0")}, {"h": a}, batch="7")
+    assert s.commit({"t": a}, {"h": a}) and s.commit({"t": a.where("id > 0")}, {"h": a}, batch=("q", 7))
     assert s.table("t").count() == 2 and s.table("h").count() == 6
-    assert not s.commit({"t": a}, batch="7") and s.table("t").count() == 2
+    assert not s.commit({"t": a}, batch=("q", 7)) and not s.commit({"t": a}, batch=("q", 6)) and s.table("t").count() == 2
+    assert s.commit({"t": a}, batch=("other", 0)) and s.table("t").count() == 3  # another stream counts for itself
+
+
+def test_store_second_writer(spark, tmp_path, monkeypatch):
+    """Of two writers that read the same pointer the second one fails, and its table isn't seen."""
+    path = f"file://{tmp_path}/store"
+    first, second = Store(spark, path), Store(spark, path)
+    rows = spark.range(1).withColumn("v", F.lit("start"))
+    assert first.commit({"t": rows})
+    seen = second._pointers()
+    assert first.commit({"t": rows.withColumn("v", F.lit("first"))})
+    monkeypatch.setattr(second, "_pointers", lambda: seen)
+    with pytest.raises(RuntimeError, match="another commit came first"):
+        second.commit({"t": rows.withColumn("v", F.lit("second"))})
+    assert Store(spark, path).table("t").first()["v"] == "first" and first._pointers() == [1, 2]
+
+
+def test_store_folders_and_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "FANOUT", 3)
+    s = Store(spark, f"file://{tmp_path}/store")
+    for k in range(10):
+        s.commit(appended={"h": spark.range(k, k + 1)})
+    assert sorted(r[0] for r in s.table("h").collect()) == list(range(10)) and len(s.state()["h"].split(",")) <= 4
+    rows = spark.range(40).withColumn("v", F.lit(0))
+    s.commit(patched={"b": (rows, "id", 4, None)})
+    one = s.buckets("b", [2])
+    assert s.has_buckets("b", 4) and not s.has_buckets("b", 8) and 0 < one.count() < 40
+    s.commit(patched={"b": (one.withColumn("v", F.lit(1)), "id", 4, [2])})
+    got = s.table("b").collect()
+    assert sorted(r["id"] for r in got) == list(range(40)) and {r["id"] for r in got if r["v"] == 1} == {r["id"] for r in one.collect()}
+    assert s.buckets("b", [9]).count() == 0
+
+
+def test_empty_batch_and_ties(spark, state):
+    variants, sites = state
+    none = mg.bulk_merge(variants, sites, spark.createDataFrame([], BATCH))
+    assert (none.ok, none.message, none.history.count()) == (False, mg.EMPTY_BATCH, 0)
+    tied = [(1, m(5), True, d(9), "b"), (1, m(5), True, d(9), "c"), (1, m(5), False, d(9), "z"), (1, m(4), True, d(9), "zz")]
+    for rows in (tied, tied[::-1]):
+        assert tuple(mg.latest_items(spark.createDataFrame(rows, BATCH)).first()) == (1, m(5), True, d(9), "c")
+
+
+def test_register_and_widths(spark):
+    variants = spark.createDataFrame([(1, 7, 1, "A"), (2, 8, 2, "A"), (3, 9, 2, None)], "variant_id int, product_id int, site_id int, sku string")
+    rows = [(1, 50, 1, "A", m(3), True), (2, 51, 3, "A", m(3), True), (3, 52, 3, "A", None, True), (4, 53, 3, "B", None, False), (5, 54, 2, None, m(1), True)]
+    items = spark.createDataFrame(rows, "item_id int, product_id int, site_id int, item_sku string, price decimal(18,2), in_stock boolean")
+    out = mg.register_variants(items, variants, "2024-02-01 00:00:00")
+    assert sorted((r["item_id"], r["product_id"], r["linked"]) for r in out["variants"].collect()) == [(2, 7, True), (4, 53, False)]
+    assert [(r["item_id"], r["price"]) for r in out["history"].collect()] == [(2, m(3))]
+    assert sorted(r["item_id"] for r in out["rejected"].collect()) == [1, 3, 5]
+    wide = spark.createDataFrame([("n" * 301, None, None, "u" * 1001, None)], "name string, sku string, brand string, url string, image_url string")
+    r = mg.fit_columns(wide).first()
+    assert (len(r["name"]), r["sku"], r["brand"], len(r["url"]), r["image_url"]) == (300, "", "Genérica", 1000, None)
+
+
+def test_running_state_in_blocks(spark):
+    """Counts that go on from one block of time to the next, against a loop."""
+    rows = [(k, k % 2, D + timedelta(minutes=7 * (k * 37 % 101)), (k * k) % 11 == 0) for k in range(200)]
+    res = spark.createDataFrame(rows, "result_id int, proxy_id int, tried_at timestamp_ntz, ok boolean")
+    for unban in (False, True):
+        want, n, banned = {}, {}, {}
+        for i, p, _, ok in sorted(rows, key=lambda r: (r[2], r[0])):
+            n[p] = 0 if ok else n.get(p, 0) + 1
+            banned[p] = n[p] >= 5 if unban else banned.get(p, False) or n[p] >= 5
+            want[i] = (n[p], banned[p])
+        assert {r["result_id"]: (r["failures"], r["banned"]) for r in st.proxy_health(res, unban=unban).collect()} == want

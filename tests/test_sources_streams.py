@@ -103,3 +103,21 @@ def test_rows_and_sinks(spark, tmp_path):
     assert metric_rows(a, always_ok=True).first()["ok"] and not metric_rows(a).first()["ok"]
     write_batch(mg.latest_items(spark.createDataFrame([(1, Decimal(1), True, T0, None)], schemas.BULK_ITEM)), str(tmp_path / "out"))
     assert list((tmp_path / "out").glob("*.json.gz"))
+
+
+def test_streams_have_their_own_numbers(spark, tmp_path):
+    """A second stream, and one with a new checkpoint, begin at 0 and lose nothing; only touched buckets are rewritten."""
+    v = "variant_id int, site_id int, price decimal(18,2), prev_price decimal(18,2), in_stock boolean, updated_at timestamp_ntz, image_url string"
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.commit({"variants": spark.createDataFrame([(k, 1, Decimal(10), None, True, T0, None) for k in range(30)], v), "sites": spark.createDataFrame([(1, None)], "site_id int, last_crawl timestamp_ntz"), "history": spark.createDataFrame([(1, Decimal(10), True, T0)], "variant_id int, price decimal(18,2), in_stock boolean, captured_at timestamp_ntz")})
+    folders = []
+    for name, price in (("a", 12), ("b", 13), ("a2", 14)):
+        src = tmp_path / name
+        src.mkdir()
+        (src / "x.json").write_text(json.dumps([{"variant_id": 1, "price": price, "in_stock": True, "captured_at": "2024-01-02T00:00:00"}]))
+        streams.merge_batches(ingest.stream_bulk(spark, str(src)), store, str(tmp_path / f"ck-{name}"), {"availableNow": True}, 8).awaitTermination()
+        folders.append(set(store.state()["variants"].split(",")))
+    assert sorted(int(r["price"]) for r in store.table("history").collect()) == [10, 12, 13, 14]
+    got = {r["variant_id"]: int(r["price"]) for r in store.table("variants").collect()}
+    assert got == {k: 14 if k == 1 else 10 for k in range(30)}
+    assert 1 < len(folders[0]) <= 8 and len(folders[1] - folders[0]) == len(folders[2] - folders[1]) == 1
