@@ -9,16 +9,19 @@ byte. The merges are applied in order; the gadget of a merge (u, v) -> w
   v-arc (from now on v may not follow u);
 * adds a w-arc wherever there was a u-arc, to where v leads.
 
-So all arcs of one label lead to one state. Copying states whole would take
-the square of the vocabulary; the compiled form shares them instead: a state
-keeps the arcs its own gadgets took away, with the merge's rank, and a link to
-the state it was copied from with the rank at which the copy was made. An arc
-is there if nothing along the links took away the label, or the label it was
-added from, before it was copied. Asked arcs are kept in a table.
-
-A word is encoded by transitions from left to right, longest label first. As
-a path is unique, a position that is left without a way on is never entered
-again. Texts are decoded by emitting the labels of the arcs.
+So all arcs of one label lead to one state, each state has at most one arc of
+a label, and the automaton is a table of bits: states by labels. States with
+the same arcs share a row and labels with the same arcs share a column, from
+the gadget that makes them until a later one tells them apart; for 50,000
+merges that leaves some 15,000 rows of 11,000 bits (20 MB instead of 300). It
+is compiled once, on the driver, and broadcast; its size depends on the
+vocabulary alone.
+
+A word is encoded in one pass from left to right. After each byte there is
+exactly one state, that of the last token of what was read: the label that
+ends there and has an arc from the state at its beginning. At the end the
+tokens are read from the states backwards. Nothing is searched or taken back.
+Texts are decoded by emitting the labels of the arcs.
 
 Before that, added tokens are cut out of the text, and the rest is split as
 the tokenizer's ByteLevel pattern says. Chunks between single blanks are
@@ -35,17 +38,19 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import with_batches, worker_table
+from pricelark.llm.common import pieces, with_batches
 
-#: Entries of the table of chunks (about 120 MB when full), and of those of
-#: words and arcs; a full table starts anew.
+#: Entries of the tables of chunks (about 120 MB when full) and of words; a full
+#: table starts anew.
 TABLE = 500_000
 SMALL_TABLE = 100_000
 #: Words longer than this aren't kept in the tables.
@@ -75,96 +80,103 @@ def byte_alphabet() -> list[str]:
 _MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
+class _Table:
+    """Bits by row and column, packed by column, that grows."""
+
+    def __init__(self) -> None:
+        self.bits = np.zeros((256, 32), dtype=np.uint8)
+        self.bits[0, 0] = 1
+        self.rows = self.columns = 1
+
+    def get(self, row: int, column: int) -> int:
+        return int(self.bits[row, column >> 3]) >> (column & 7) & 1
+
+    def clear(self, row: int, column: int) -> None:
+        self.bits[row, column >> 3] &= 0xFF ^ 1 << (column & 7)
+
+    def copy_row(self, row: int) -> int:
+        if self.rows == len(self.bits):
+            self.bits = np.concatenate((self.bits, np.zeros_like(self.bits)))
+        self.bits[self.rows] = self.bits[row]
+        self.rows += 1
+        return self.rows - 1
+
+    def copy_column(self, column: int) -> int:
+        at = self.columns
+        if at == 8 * self.bits.shape[1]:
+            self.bits = np.concatenate((self.bits, np.zeros_like(self.bits)), axis=1)
+        self.bits[: self.rows, at >> 3] |= (self.bits[: self.rows, column >> 3] >> (column & 7) & 1) << (at & 7)
+        self.columns += 1
+        return at
+
+
 class Automaton:
     """Tokenization automaton of a vocabulary of byte strings and its merges in order."""
 
     def __init__(self, vocabulary: dict[bytes, int], merges: Iterable[tuple[bytes, bytes]]):
-        self.label = vocabulary
-        #: first four bytes -> length of the longest label that begins so
-        self.reach: dict[bytes, int] = {}
-        for x in vocabulary:
+        table, size = _Table(), max(vocabulary.values(), default=0) + 1
+        row, column = [-1] * size, [-1] * size
+        alone = [id_ for b, id_ in vocabulary.items() if len(b) == 1]
+        for t in alone:
+            row[t] = column[t] = 0
+        of_row, of_column = [len(alone)], [len(alone)]  # how many states share a row, and labels a column
+        for a, b in merges:
+            u, v, w = vocabulary[a], vocabulary[b], vocabulary[a + b]
+            if row[u] < 0 or row[v] < 0 or not table.get(row[u], column[v]):
+                continue  # v never follows u, so the merge never happens
+            new = row[w] < 0
+            if new:  # w leads to where v leads
+                row[w] = row[v]
+                of_row[row[v]] += 1
+            if of_row[row[u]] > 1:
+                of_row[row[u]] -= 1
+                row[u] = table.copy_row(row[u])
+                of_row.append(1)
+            if of_column[column[v]] > 1:
+                of_column[column[v]] -= 1
+                column[v] = table.copy_column(column[v])
+                of_column.append(1)
+            table.clear(row[u], column[v])
+            if new:  # and may stand wherever u may
+                column[w] = column[u]
+                of_column[column[u]] += 1
+        width = (table.columns + 7) // 8
+        rows = [table.bits[k, :width].tobytes() for k in range(table.rows)]
+        #: label -> token, arcs of its state, byte and bit of its own arc in a row
+        self.label = {b: (t, rows[row[t]], column[t] >> 3, 1 << (column[t] & 7)) for b, t in vocabulary.items() if row[t] >= 0}
+        ends: dict[bytes, set[int]] = {}
+        for x in self.label:
             if len(x) > 3:
-                self.reach[x[:4]] = max(len(x), self.reach.get(x[:4], 0))
-        #: token -> {label whose arc its state lost: rank}
-        self.lost: dict[int, dict[int, int]] = {}
-        #: token -> (token whose state was copied, rank), and (label it was added beside, rank)
-        self.copied: dict[int, tuple[int, int]] = {}
-        self.added: dict[int, tuple[int, int]] = {}
-        for rank, (u, v) in enumerate(merges):
-            self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self.arcs: dict[int, bool] = {}
-
-    def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        self.lost.setdefault(u, {}).setdefault(v, rank)
-        if w not in self.copied:
-            self.copied[w] = (v, rank)
-            self.added[w] = (u, rank)
-
-    def _arc(self, state: int, label: int) -> bool:
-        at, until = state, 1 << 60
-        while True:
-            lost = self.lost.get(at)
-            if lost:
-                x, then = label, 1 << 60
-                while True:
-                    rank = lost.get(x)
-                    if rank is not None and rank < until and rank <= then:
-                        return False
-                    if x not in self.added:
-                        break
-                    x, then = self.added[x]
-            if at not in self.copied:
-                return True
-            at, until = self.copied[at]
-
-    def arc(self, state: int, label: int) -> bool:
-        key = state << 20 | label
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= SMALL_TABLE * 2:
-                self.arcs.clear()
-            known = self.arcs[key] = self._arc(state, label)
-        return known
+                ends.setdefault(x[-3:], set()).add(len(x))
+        #: last three bytes -> lengths of the labels that end so, longest first
+        self.ends = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in ends.items()}
+
+    def follows(self, state: bytes, label: bytes) -> bool:
+        """Whether the state of one label has an arc of another."""
+        _, _, byte, bit = self.label[label]
+        return self.label[state][1][byte] & bit != 0
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        n = len(word)
-        if not n:
-            return ()
-        get, arcs, ask, reach = self.label.get, self.arcs.get, self.arc, self.reach.get
-        path: list[int] = []
-        begins: list[int] = []
-        tries: list[int] = []
-        dead: set[int] = set()
-        at, state, size = 0, -1, n
-        while True:
-            if size > 3:  # the longest label that begins with these four bytes
-                size = min(size, reach(word[at : at + 4], 3))
-            while size > 0:
-                token = get(word[at : at + size])
-                if token is not None:
-                    if state < 0:
-                        ok = True
-                    else:
-                        ok = arcs(state << 20 | token)
-                        if ok is None:
-                            ok = ask(state, token)
-                    if ok and not (dead and at + size in dead):
-                        break
-                size -= 1
-            if size:
-                path.append(token)
-                begins.append(at)
-                tries.append(size - 1)
-                at, state = at + size, token
-                size = n - at
-                if not size:
-                    return tuple(path)
+        get, ends, short = self.label.get, self.ends.get, (3, 2, 1)
+        hit = get(word)
+        if hit is not None:  # one arc from the beginning
+            return (hit[0],)
+        arcs, tokens, starts = [b""], [0], [0]
+        for i in range(1, len(word) + 1):
+            for size in ends(word[i - 3 : i], short) if i > 2 else short[3 - i :]:
+                if size <= i and (hit := get(word[i - size : i])) is not None and (size == i or arcs[i - size][hit[2]] & hit[3]):
+                    tokens.append(hit[0])
+                    arcs.append(hit[1])
+                    starts.append(i - size)
+                    break
             else:
-                if not path:
-                    raise ValueError("a byte without a token")
-                dead.add(at)
-                path.pop()
-                at, size, state = begins.pop(), tries.pop(), path[-1] if path else -1
+                raise ValueError("a byte without a token")
+        at, out = len(word), []
+        while at:
+            out.append(tokens[at])
+            at = starts[at]
+        out.reverse()
+        return tuple(out)
 
 
 class ByteBPE:
@@ -173,7 +185,6 @@ class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path = path
         model = spec["model"]
         to_byte = {c: b for b, c in enumerate(byte_alphabet())}
         raw = {t: bytes(to_byte[c] for c in t) for t in model["vocab"]}
@@ -184,20 +195,29 @@ class ByteBPE:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.labels: dict[int, bytes] = {i: raw[t] for t, i in model["vocab"].items()} | {i: t.encode() for t, i in added.items()}
         self.decimal: dict[int, bytes] = {i: str(i).encode() for i in self.labels}
+        from tokenizers import Tokenizer
+
+        self.pre = Tokenizer.from_file(path).pre_tokenizer
+        self._start()
+
+    def _start(self) -> None:
         self.find = regex.compile(PATTERN).findall
         self.words: dict[str, tuple[int, ...]] = {}
         self.first: dict[str, tuple[int, ...]] = {}
         self.later: dict[str, tuple[int, ...]] = {}
-        self._pre = None
+
+    def __getstate__(self) -> dict:
+        """What is broadcast: everything but the tables of what was seen."""
+        return {k: v for k, v in vars(self).items() if k not in ("find", "words", "first", "later")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._start()
 
     def _split(self, text: str) -> list[str]:
         if _SETTLED.fullmatch(text):
             return self.find(text)
-        if self._pre is None:
-            from tokenizers import Tokenizer
-
-            self._pre = Tokenizer.from_file(self.path).pre_tokenizer
-        return [text[a:b] for _, (a, b) in self._pre.pre_tokenize_str(text)]
+        return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
 
     def _word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
@@ -262,19 +282,20 @@ def _nothing() -> Iterator[bytes]:
         yield b""
 
 
+@lru_cache(maxsize=2)
 def compiled(path: str) -> ByteBPE:
-    """The compiled tokenizer of this process; a Python worker compiles it once."""
-    return worker_table(("bpe", path), lambda: ByteBPE(path))
+    """The compiled tokenizer of a file; the driver compiles it once."""
+    return ByteBPE(path)
 
 
 _TYPES = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def _encoder(path: str, outputs: tuple[str, ...]) -> Callable:
+def _encoder(held, outputs: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = compiled(path)
+        bpe = held.value
         decode = "decoded" in outputs or "decoded_sha256" in outputs
-        for b in batches:
+        for b in pieces(batches, "text"):
             made: dict[str, list] = {k: [] for k in _TYPES}
             for x in b.column("text"):
                 ids = bpe.encode(x.as_py() or "")
@@ -297,15 +318,16 @@ def _encoder(path: str, outputs: tuple[str, ...]) -> Callable:
 def bpe_encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
     """doc_id and the named outputs for every row: ids, n_tokens, ids_sha256, decoded, decoded_sha256.
 
-    decoded is made from the ids. path must be readable on every executor.
+    decoded is made from the ids. Only the driver reads path.
     """
+    held = docs.sparkSession.sparkContext.broadcast(compiled(path))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_batches(rows).mapInArrow(_encoder(path, outputs), ", ".join(["doc_id long", *(f"{k} {_TYPES[k][0]}" for k in outputs)]))
+    return with_batches(rows).mapInArrow(_encoder(held, outputs), ", ".join(["doc_id long", *(f"{k} {_TYPES[k][0]}" for k in outputs)]))
 
 
-def _decoder(path: str) -> Callable:
+def _decoder(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = compiled(path)
+        bpe = held.value
         for b in batches:
             texts = [None if x is None else bpe.decode(x).decode() for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -315,5 +337,6 @@ def _decoder(path: str) -> Callable:
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids (null ids give null)."""
+    held = encoded.sparkSession.sparkContext.broadcast(compiled(path))
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return with_batches(rows).mapInArrow(_decoder(path), "doc_id long, text string")
+    return with_batches(rows).mapInArrow(_decoder(held), "doc_id long, text string")

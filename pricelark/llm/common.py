@@ -7,26 +7,27 @@ clash with its own.
 
 from __future__ import annotations
 
-import atexit
 import gc
 import hashlib
 import string
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelark.scratch import discard, materialise, shuffle_partitions  # noqa: F401
 from pricelark.session import workers_find_package
 
 #: Rows of a key set that may be broadcast (16 to 24 bytes each in memory, so
 #: about 50 MB). Beyond it the same step runs as a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
-#: Documents per Arrow batch handed to Python; very long texts make batches
-#: large, so it stays far below Spark's 10,000.
-BATCH_ROWS = 1_000
+#: Documents, and bytes of their texts, that an operator works on at once. Spark
+#: bounds what it hands over by arrow.maxBytesPerBatch (64 MB) and 10,000 rows.
+PIECE_ROWS, PIECE_BYTES = 1_000, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,56 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def setting(spark: SparkSession, key: str, default: str) -> str:
-    try:
-        return spark.conf.get(key) or default
-    except Exception:  # an unset key without a default raises
-        return default
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where it names none."""
-    base = setting(spark, "spark.checkpoint.dir", "")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pricelark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may be gone at exit
-        pass
-
-
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes tables made by materialise() that nothing reads any more."""
-    for f in frames:
-        path = getattr(f, "_scratch_path", None)
-        if path:
-            _delete(spark, path)
-
-
-def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back.
-
-    It cuts lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/pricelark/{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(setting(spark, "spark.sql.shuffle.partitions", "200")))
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only. A text of ASCII alone takes lower()'s byte loop."""
     ascii_only = F.octet_length(text) == F.char_length(text)
@@ -120,15 +71,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, group_key: str, si
     return rows.join(hot, same(hot)).unionByName(rows.join(hot, same(hot), "left_anti").join(rest, rows[key] == rest[group_key], "left"))
 
 
-def with_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Readies a frame for Python: batches of at most `rows` documents, and workers that find this package."""
-    spark = df.sparkSession
-    workers_find_package(spark)
-    if int(setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def with_batches(df: DataFrame) -> DataFrame:
+    """Readies a frame for Python: workers find this package."""
+    workers_find_package(df.sparkSession)
     return df
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most PIECE_ROWS rows, and PIECE_BYTES bytes of a column unless one value is longer."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = int(np.searchsorted(ends, before + PIECE_BYTES, side="right"))
+            end = min(max(end, at + 1), at + PIECE_ROWS, b.num_rows)
+            yield b.slice(at, end - at)
+            at = end
+
+
 _HELD: dict = {}
 
 

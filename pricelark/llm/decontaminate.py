@@ -4,7 +4,8 @@ Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased;
 a window is WINDOW consecutive words of an item, or the whole item if it has
 fewer (but not none). A document word inside any occurrence is hit.
 
-A shard is an Arrow batch of documents. Its words become ids of the benchmark's
+A shard is a partition of documents, or as many of its documents in a row as
+have SHARD_WORDS words to index. Their words become ids of the benchmark's
 vocabulary; a word that no item has is a break, because no window goes across
 it, and so is a run of known words shorter than the shortest window. What is
 left, with a break between runs, is indexed whole:
@@ -17,9 +18,11 @@ left, with a break between runs, is indexed whole:
 
 Spans of a document are merged; the span union gives the hit words.
 
-Documents are neither shuffled nor joined. The benchmark is read in blocks of
-at most BLOCK_BYTES of text: one block is broadcast, more are passed over one
-after the other and their spans merged per document.
+Documents are neither shuffled nor joined. The benchmark's windows are read in
+blocks of at most BLOCK_WINDOWS (an item with more is divided): one block is
+broadcast (about 100 bytes a window), more are passed over one after the other
+and their spans merged per document, whose row numbers are written before the
+first pass.
 
 Defined cases: a null or empty text has no words; a null item or one without
 words has no window; items whose id is null are matched like any other, and
@@ -32,18 +35,21 @@ no documents give no rows, no items give rows without hits.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import materialise, with_batches
+from pricelark.llm.common import materialise, pieces, with_batches
 
 WINDOW = 10
 SAMPLE = 8
-#: Text bytes of the benchmark that are held on the driver and broadcast at once.
-BLOCK_BYTES = 32 << 20
+#: Windows of the benchmark that are held on the driver and broadcast at once.
+BLOCK_WINDOWS = 500_000
+#: Words that an index holds, and rows and bytes that wait for it, at most (one document may have more).
+SHARD_WORDS, SHARD_ROWS, SHARD_BYTES = 1 << 20, 50_000, 64 << 20
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -108,7 +114,7 @@ class FMIndex:
     """Index of a text of symbols from 1 up; 0 is added as its end."""
 
     def __init__(self, text: np.ndarray, sigma: int):
-        text = np.append(text, 0).astype(np.int64)
+        text = np.append(text.astype(np.int64), 0)
         order = suffix_array(text)
         bwt = text[order - 1]
         self.n = len(text)
@@ -149,56 +155,112 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        ids: list[str | None] = []
+        self.ids: list[str | None] = []
+        rows, owners = [np.zeros((0, window), dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
         for item_id, data in items:
-            coded = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(data)]
-            if coded:
-                ids.append(None if item_id is None else str(item_id))
-                for k in range(max(1, len(coded) - window + 1)):
-                    windows.setdefault(tuple(coded[k : k + window]), set()).add(len(ids) - 1)
-        self.ids = ids
-        self.items = [sorted(x) for x in windows.values()]
-        self.lengths = np.array([len(x) for x in windows], dtype=np.int64)
-        self.patterns = np.ones((len(windows), int(self.lengths.max(initial=1))), dtype=np.int64)
-        for k, x in enumerate(windows):
-            self.patterns[k, self.patterns.shape[1] - len(x) :] = x
+            words = words_of(data)
+            if not words:
+                continue
+            coded = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words], dtype=np.int32)
+            if len(coded) < window:  # padded on the left with breaks
+                coded = np.concatenate((np.ones(window - len(coded), dtype=np.int32), coded))
+            rows.append(np.lib.stride_tricks.sliding_window_view(coded, window))
+            owners.append(np.full(len(rows[-1]), len(self.ids), dtype=np.int32))
+            self.ids.append(None if item_id is None else str(item_id))
+        every, owner = np.concatenate(rows), np.concatenate(owners)
+        order = np.lexsort((owner, *every.T))
+        every, owner = every[order], owner[order]
+        fresh = np.concatenate(([True], (every[1:] != every[:-1]).any(axis=1)))[: len(every)]
+        self.patterns = every[fresh]
+        self.lengths = (self.patterns > 1).sum(axis=1)
         self.shortest = int(self.lengths.min(initial=window))
+        #: items of window w: owners[firsts[w] : firsts[w + 1]]
+        self.owners, self.firsts = owner, np.append(np.flatnonzero(fresh), len(every))
 
     def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[int]]]:
         """Of each text: number of words, merged hit spans (in words), items with occurring windows."""
-        counts, coded = [], []
-        get = self.vocabulary.get
+        shard = Shard(self)
+        shard.add(texts)
+        return shard.flush()
+
+
+class Shard:
+    """Documents that wait to be indexed together."""
+
+    def __init__(self, bench: Benchmark):
+        self.bench = bench
+        self._start()
+
+    def _start(self) -> None:
+        self.counts: list[int] = []
+        self.symbols: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.base = self.size = 0
+
+    def add(self, texts: list[bytes | None]) -> None:
+        get, coded, counts = self.bench.vocabulary.get, [], []
         for data in texts:
             words = words_of(data)
             counts.append(len(words))
             coded.extend(map(get, words, _ones()))
             coded.append(1)
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[int]] = [set() for _ in texts]
-        symbols = np.array(coded, dtype=np.int64)
-        kept = _long_runs(symbols, self.shortest)
-        if not len(self.lengths) or not len(kept):
-            return counts, spans, items
-        index = FMIndex(symbols[kept], len(self.vocabulary) + 2)
-        lo, hi = index.search(self.patterns, self.lengths)
-        many = np.maximum(hi - lo, 0)
-        which = np.repeat(np.arange(len(many)), many)
-        rows = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        begins = kept[index.locate(rows)]
-        offsets = np.concatenate(([0], np.cumsum(np.array(counts) + 1)))
-        docs = np.searchsorted(offsets, begins, side="right") - 1
-        order = np.lexsort((begins, docs))
-        for d, w, at in zip(docs[order].tolist(), which[order].tolist(), (begins - offsets[docs])[order].tolist(), strict=True):
-            items[d].update(self.items[w])
-            end = at + int(self.lengths[w])
-            if spans[d] and at <= spans[d][-1][1]:
-                spans[d][-1] = (spans[d][-1][0], max(end, spans[d][-1][1]))
-            else:
-                spans[d].append((at, end))
+        made = np.array(coded, dtype=np.int32)
+        kept = _long_runs(made, self.bench.shortest)
+        self.counts += counts
+        self.symbols.append(made[kept])
+        self.places.append(kept + self.base)
+        self.base += len(made)
+        self.size += len(kept)
+
+    def flush(self) -> tuple[list[int], list[list[tuple[int, int]]], list[set[int]]]:
+        """What Benchmark.scan() says, for all that was added; then the shard is empty."""
+        bench, counts = self.bench, self.counts
+        spans: list[list[tuple[int, int]]] = [[] for _ in counts]
+        items: list[set[int]] = [set() for _ in counts]
+        if len(bench.lengths) and self.size:
+            places = np.concatenate(self.places)
+            index = FMIndex(np.concatenate(self.symbols), len(bench.vocabulary) + 2)
+            lo, hi = index.search(bench.patterns, bench.lengths)
+            many = np.maximum(hi - lo, 0)
+            which = np.repeat(np.arange(len(many)), many)
+            rows = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            begins = places[index.locate(rows)]
+            offsets = np.concatenate(([0], np.cumsum(np.array(counts) + 1)))
+            docs = np.searchsorted(offsets, begins, side="right") - 1
+            order = np.lexsort((begins, docs))
+            for d, w, at in zip(docs[order].tolist(), which[order].tolist(), (begins - offsets[docs])[order].tolist(), strict=True):
+                items[d].update(bench.owners[bench.firsts[w] : bench.firsts[w + 1]].tolist())
+                end = at + int(bench.lengths[w])
+                if spans[d] and at <= spans[d][-1][1]:
+                    spans[d][-1] = (spans[d][-1][0], max(end, spans[d][-1][1]))
+                else:
+                    spans[d].append((at, end))
+        self._start()
         return counts, spans, items
 
 
+def _sharded(bench: Benchmark, batches: Iterator[pa.RecordBatch], column: str, keep: list[str] | None) -> Iterator[tuple]:
+    """Batches (of the named columns) with the counts, spans and items of their rows, a shard at a time."""
+    shard, waiting, rows, size = Shard(bench), [], 0, 0
+
+    def found() -> Iterator[tuple]:
+        counts, spans, items = shard.flush()
+        at = 0
+        for b in waiting:
+            yield b, counts[at : at + b.num_rows], spans[at : at + b.num_rows], items[at : at + b.num_rows]
+            at += b.num_rows
+
+    for b in pieces(batches, column):
+        shard.add([None if x is None else x.encode() if isinstance(x, str) else x for x in b.column(column).to_pylist()])
+        waiting.append(b.select(keep) if keep else b)
+        rows, size = rows + b.num_rows, size + (b.nbytes if keep is None else 0)
+        if shard.size >= SHARD_WORDS or rows >= SHARD_ROWS or size >= SHARD_BYTES:
+            yield from found()
+            waiting, rows, size = [], 0, 0
+    if waiting:
+        yield from found()
+
+
 def _ones() -> Iterator[int]:
     while True:
         yield 1
@@ -215,17 +277,20 @@ def _long_runs(symbols: np.ndarray, least: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(mark)[:-1] > 0)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The items in blocks of at most BLOCK_BYTES; one block is on the driver at a time."""
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple]]:
+    """The items in blocks of at most BLOCK_WINDOWS windows; one block is on the driver at a time."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("data"))
     for r in rows.toLocalIterator():
-        item = (r["item_id"], bytes(r["data"]) if r["data"] is not None else None)
-        if block and size + len(item[1] or b"") > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append(item)
-        size += len(item[1] or b"")
+        words = words_of(bytes(r["data"]) if r["data"] is not None else None)
+        left, at = max(1, len(words) - window + 1) if words else 0, 0
+        while left:
+            if size >= BLOCK_WINDOWS:
+                yield block
+                block, size = [], 0
+            some = min(left, BLOCK_WINDOWS - size)
+            block.append((r["item_id"], b" ".join(words[at : at + some + window - 1])))
+            left, at, size = left - some, at + some, size + some
     yield block
 
 
@@ -233,19 +298,10 @@ def _mapper(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = held.value
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
-            counts, spans, items = bench.scan([x.as_py() for x in b.column("data")])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    b.column("row_no"),
-                    b.column("text_hash"),
-                    pa.array(counts, pa.int64()),
-                    pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], span),
-                    pa.array([[bench.ids[i] for i in sorted(x)] for x in items], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "row_no", "text_hash", "n_words", "spans", "items"],
-            )
+        names = ["doc_id", "row_no", "text_hash"]
+        for b, counts, spans, items in _sharded(bench, batches, "data", names):
+            found = [pa.array(counts, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], span), pa.array([[bench.ids[i] for i in sorted(x)] for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*names, "n_words", "spans", "items"])
 
     return run
 
@@ -269,24 +325,29 @@ def merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(n) for n in ("doc_id", "row_no", "text_hash", "n_words")] + [pa.array(spans, b.schema.field("spans").type), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "row_no", "text_hash", "n_words", "spans", "items"])
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, row_no, text_hash, n_words, spans (merged, in words), items (ids as text, sorted, and a null for items without one)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
-    found = []
-    for block in _blocks(benchmark):
-        held = spark.sparkContext.broadcast(Benchmark(block, window))
-        found.append(with_batches(rows).mapInArrow(_mapper(held), SCHEMA))
-    if len(found) == 1:
-        return found[0].withColumn("items", F.array_sort(F.array_distinct("items")))
-    both = materialise(found[0], "hits")
-    for x in found[1:]:
-        both = both.union(materialise(x, "hits"))
+def _hits(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """find_hits() of rows (doc_id, row_no, text_hash, data)."""
+    held = lambda block: rows.sparkSession.sparkContext.broadcast(Benchmark(block, window))
+    one_pass = lambda block: with_batches(rows).mapInArrow(_mapper(held(block)), SCHEMA)
+    blocks = _blocks(benchmark, window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return one_pass(first).withColumn("items", F.array_sort(F.array_distinct("items")))
+    rows = materialise(rows, "hit-rows")  # all passes see the same row numbers
+    both = materialise(one_pass(first), "hits")
+    for block in chain([second], blocks):
+        both = both.union(materialise(one_pass(block), "hits"))
     # A block is one more pass; the number of blocks, not of rows, bounds what meets here.
     met = both.groupBy("doc_id", "row_no", "text_hash", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     return met.mapInArrow(merge_spans, SCHEMA)
 
 
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, row_no, text_hash, n_words, spans (merged, in words), items (ids as text, sorted, and a null for items without one)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
+    return _hits(rows, benchmark, window)
+
+
 def digest_columns(found: DataFrame) -> DataFrame:
     """n_hit, n_items, items_sha256 and contaminated from the spans and items."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
@@ -308,34 +369,51 @@ def clean_text(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[last:]])
 
 
+def _cut(b: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The batch with its texts cut (n_chars, if there, follows), without rows that have no word left."""
+    texts = b.column("text").to_pylist()
+    made = [x if not s else clean_text(x.encode(), s).decode() for x, s in zip(texts, spans, strict=True)]
+    at = b.schema.get_field_index("text")
+    b = b.set_column(at, b.schema.field(at), pa.array(made, b.schema.field(at).type))
+    at = b.schema.get_field_index("n_chars")
+    if at >= 0:
+        chars = [n if not s else len(x) for n, s, x in zip(b.column(at).to_pylist(), spans, made, strict=True)]
+        b = b.set_column(at, b.schema.field(at), pa.array(chars, b.schema.field(at).type))
+    return b.filter(pa.array([not s or bool(words_of(x.encode())) for s, x in zip(spans, made, strict=True)], pa.bool_()))
+
 
 def _cleaner(held, cut: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            data = [None if x is None else x.encode() for x in texts]
-            _, spans, _ = held.value.scan(data)
-            if not cut:
-                yield b.filter(pa.array([not x for x in spans], pa.bool_()))
-                continue
-            made = [x if not s else clean_text(d, s).decode() for x, d, s in zip(texts, data, spans, strict=True)]
-            at = b.schema.get_field_index("text")
-            b = b.set_column(at, b.schema.field(at), pa.array(made, b.schema.field(at).type))
-            at = b.schema.get_field_index("n_chars")
-            if at >= 0:
-                chars = [n if not s else len(x) for n, s, x in zip(b.column(at).to_pylist(), spans, made, strict=True)]
-                b = b.set_column(at, b.schema.field(at), pa.array(chars, b.schema.field(at).type))
-            yield b.filter(pa.array([not s or bool(words_of(x.encode())) for s, x in zip(spans, made, strict=True)], pa.bool_()))
+        for b, _, spans, _ in _sharded(held.value, batches, "text", None):
+            yield _cut(b, spans) if cut else b.filter(pa.array([not x for x in spans], pa.bool_()))
 
     return run
 
 
+_ROW, _SPANS = "pricelark_row", "pricelark_spans"
+
+
+def _cut_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        spans = [[(x["start"], x["end"]) for x in s or ()] for s in b.column(_SPANS).to_pylist()]
+        yield _cut(b.select([n for n in b.schema.names if n != _SPANS]), spans)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: bool = False, window: int = WINDOW) -> DataFrame:
     """docs, with all columns, without contaminated rows; with `cut`, without the hit spans instead.
 
     A cut row whose text has no word left goes too; n_chars, if there, follows.
+    A benchmark of several blocks is cut by the merged spans of all of them,
+    which are joined to the rows by number.
     """
-    for block in _blocks(benchmark):
+    blocks = _blocks(benchmark, window)
+    first, second = next(blocks), next(blocks, None)
+    if cut and second is not None:
+        rows = materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()), "cut-rows")
+        named = rows.select(F.lit(None).cast("long").alias("doc_id"), F.col(_ROW).alias("row_no"), F.lit(None).cast("long").alias("text_hash"), F.col("text").cast("binary").alias("data"))
+        hits = _hits(named, benchmark, window).where(F.size("spans") > 0).select(F.col("row_no").alias(_ROW), F.col("spans").alias(_SPANS))
+        return with_batches(rows.join(hits, _ROW, "left").drop(_ROW)).mapInArrow(_cut_known, docs.schema)
+    for block in chain([first], [] if second is None else [second], blocks):
         held = docs.sparkSession.sparkContext.broadcast(Benchmark(block, window))
         docs = with_batches(docs).mapInArrow(_cleaner(held, cut), docs.schema)
     return docs

@@ -10,12 +10,16 @@ doc_id stays.
    hashed with SHA-256; groups of equal hashes are the groups of copies.
 
 Steps 1 and 2 pass on the set of keys that occur more than once. It is
-broadcast when it has no more rows than `common.BROADCAST_ROWS`; a larger set
-isn't passed on and the gate stays open, which costs hashing but changes no
-result. Only keys are shuffled, never texts, and every grouping combines
+broadcast when it has no more rows than `common.BROADCAST_ROWS`, and texts stay
+where they are. A larger set is joined by a shuffle of the rows that the step
+before left open; keys that hold more than a HOT_GROUPS-th of them are
+broadcast first, so a hot key's rows aren't shuffled. Every grouping combines
 before its shuffle, so a group with a third of all rows costs one row per
 task. Results are handed back by a join that broadcasts hot groups only.
 
+A caller that asks for every text's digest (digest_all, as op7's contract
+does) has all texts hashed; the steps then only keep the grouping small.
+
 Defined cases: null text = ''; null doc_id ranks below every other and is
 returned as null; rows repeated with the same id and text are counted each in
 group_size and exactly one of them is kept; an empty table gives no rows.
@@ -26,37 +30,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import drop_rows, join_groups, lower_ascii, materialise, small
+from pricelark.llm.common import HOT_GROUPS, HOT_ROWS, drop_rows, join_groups, lower_ascii, materialise, small
 
 #: Bytes of the prefix that the second step hashes.
 HEAD_CHARS = 64
 
 
 def _gate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Marks rows whose key occurs more than once, or all if there are too many such keys."""
-    again = rows.where("open").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in keys))
+    """Leaves open only rows whose key occurs more than once among open rows."""
+    again = rows.where("open").groupBy(*keys).agg(F.count("*").alias("g_n")).where("g_n > 1").select(*(F.col(k).alias(f"g_{k}") for k in keys), "g_n")
     again = materialise(again, "exact-again")
-    if not small(again):
-        return rows
-    on = [rows[k] == again[f"g_{k}"] for k in keys]
-    marked = rows.join(F.broadcast(again.withColumn("g_seen", F.lit(True))), on, "left")
-    return marked.withColumn("open", F.col("open") & F.col("g_seen").isNotNull()).drop("g_seen", *(f"g_{k}" for k in keys))
+
+    def mark(some: DataFrame, seen: DataFrame) -> DataFrame:
+        met = some.join(seen, [some[k] == seen[f"g_{k}"] for k in keys], "left")
+        return met.withColumn("open", F.col("open") & F.col("g_n").isNotNull()).drop("g_n", *(f"g_{k}" for k in keys))
+
+    if small(again):
+        return mark(rows, F.broadcast(again))
+    total = again.agg(F.sum("g_n")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_GROUPS)
+    hot = F.broadcast(again.where(F.col("g_n") > most))  # at most HOT_GROUPS rows
+    on = [rows[k] == hot[f"g_{k}"] for k in keys]
+    closed, left = rows.where("NOT open"), rows.where("open")
+    return closed.unionByName(left.join(hot, on, "left_semi")).unionByName(mark(left.join(hot, on, "left_anti"), again.where(F.col("g_n") <= most)))
 
 
 def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, copies, text_hash, text_sha256.
 
     copies: rows of the group that have its largest doc_id (more than 1 only
-    for repeated rows). text_sha256 is null for texts that needn't be read
-    whole, unless digest_all is set.
+    for repeated rows). text_hash and text_sha256 are null for texts that
+    needn't be read whole, unless digest_all is set.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "text", F.octet_length(text).alias("length"), F.lit(True).alias("open"))
     rows = _gate(rows, ["length"])
     rows = rows.withColumn("head", F.when(F.col("open"), F.xxhash64(lower_ascii(F.substring(text, 1, HEAD_CHARS)))))
     rows = _gate(rows, ["length", "head"])
-    digest = F.sha2(lower_ascii(text), 256)
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "open", (digest if digest_all else F.when(F.col("open"), digest)).alias("text_sha256"))
+    whole = lambda x: x if digest_all else F.when(F.col("open"), x)
+    rows = rows.select("doc_id", whole(F.xxhash64("text")).alias("text_hash"), "open", whole(F.sha2(lower_ascii(text), 256)).alias("text_sha256"))
     rows = materialise(rows, "exact-keys")
 
     open_rows = rows.where("open")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -11,6 +13,10 @@ from pricelark.llm.common import worker_table
 #: Entries of a worker's table of word hashes; a full table starts anew.
 TABLE = 500_000
 
+#: Bytes of a text whose words are cut out at once.
+PIECE = 1 << 20
+_BETWEEN = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
+
 #: Bytes of a word's stem.
 STEM = 4
 
@@ -30,10 +36,26 @@ def _hashes() -> _Hashes:
     return worker_table("hashes", _Hashes)
 
 
+def cut(data: bytes, at: re.Pattern, size: int = PIECE) -> Iterator[bytes]:
+    """Pieces of about `size` bytes; each but the last ends where the pattern, a byte between words, is found."""
+    start = 0
+    while start < len(data):
+        found = at.search(data, start + size)
+        end = found.end() if found else len(data)
+        yield data[start:end] if start or end < len(data) else data
+        start = end
+
+
 def word_hashes(data: bytes | None) -> np.ndarray:
-    """For each word (letters and digits, A-Z lower-cased), in order: its hash, and above it that of its stem."""
-    words = (data or b"").translate(_LOWER).split()
-    return np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
+    """For each word (letters and digits, A-Z lower-cased), in order: its hash, and above it that of its stem.
+
+    Words are cut out piece by piece, so a text takes 8 bytes a word.
+    """
+    found = []
+    for piece in cut(data or b"", _BETWEEN):
+        words = piece.translate(_LOWER).split()
+        found.append(np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words)))
+    return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import materialise, small, with_batches, worker_table
+from pricelark.llm.common import materialise, pieces, small, with_batches, worker_table
 
 #: Dimensions, letters of an n-gram, codes of letters (0 is the blank).
 D = 1024
@@ -51,6 +51,9 @@ UND = "und"
 #: Documents whose counts are held at once, and characters of a piece of a text.
 GROUP = 128
 PIECE = 1 << 20
+#: A text of so many n-grams whose cosine with every language is less is rejected. Random letters have up to 0.15 with the test
+#: tables' profiles, one word of a language over and over 0.22 or more.
+LONG, LEAST = 200, 0.18
 #: Sharpness of the score: the softmax of cosine differences times this.
 SHARP = 12.0
 
@@ -145,7 +148,7 @@ def _bundler() -> Bundler:
 
 
 def _map_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, "text"):
         texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
         sums: dict[str, np.ndarray] = {}
         for k in range(0, len(texts), GROUP):
@@ -163,14 +166,15 @@ class Profiles:
         self.languages = languages
         units = _unit(sums)
         self.mean = units.mean(axis=0) if len(languages) > 1 else np.zeros(D)
-        self.prototypes = _unit(units - self.mean).astype(np.float32)
+        self.prototypes, self.units = _unit(units - self.mean).astype(np.float32), units.astype(np.float32)
 
-    def predict(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best language and its score, from 0 to 1."""
-        cosine = _unit(_unit(vectors) - self.mean) @ self.prototypes.T
+    def predict(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the best language, its score from 0 to 1, and the greatest cosine with what a language's documents sum to."""
+        unit = _unit(vectors)
+        cosine = _unit(unit - self.mean) @ self.prototypes.T
         odds = np.exp(SHARP * (cosine - cosine.max(axis=1, keepdims=True)))
         best = cosine.argmax(axis=1)
-        return best, (odds / odds.sum(axis=1, keepdims=True))[np.arange(len(best)), best]
+        return best, (odds / odds.sum(axis=1, keepdims=True))[np.arange(len(best)), best], (unit @ self.units.T).max(axis=1)
 
 
 def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Profiles | None:
@@ -195,25 +199,29 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Profiles | N
     return Profiles(names, np.array([sums[x] for x in names])) if names else None
 
 
-def _predict(model: Profiles | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _predict(model: Profiles | None, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score, and whether the text is rejected (see keep_identified)."""
     names: list[str] = []
     scores: list[float] = []
+    rejected: list[bool] = []
     for k in range(0, len(texts), GROUP):
         vectors, sizes = _bundler().bundle(texts[k : k + GROUP])
         if model is None:
             names += [UND] * len(sizes)
             scores += [0.0] * len(sizes)
+            rejected += (sizes == 0).tolist()
             continue
-        best, score = model.predict(vectors)
+        best, score, like = model.predict(vectors)
         names += [model.languages[i] if n else UND for i, n in zip(best, sizes, strict=True)]
         scores += np.where(sizes > 0, score, 0.0).tolist()
-    return names, scores
+        rejected += ((sizes == 0) | (sizes >= LONG) & (like < LEAST)).tolist()
+    return names, scores, rejected
 
 
 def _predictor(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = _predict(held.value, b.column("text").to_pylist())
+        for b in pieces(batches, "text"):
+            names, scores, _ = _predict(held.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("marked"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "text_hash", "marked", "lang_pred", "score"])
 
     return run
@@ -228,18 +236,23 @@ def identify(docs: DataFrame, model: Profiles | None, marked: Column | None = No
 
 def _keeper(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            if held.value is None:  # nothing was learnt, so only letters can tell
-                names = ["" if t and len(ngrams(t)) else UND for t in texts]
-            else:
-                names, _ = _predict(held.value, texts)
-            yield b.filter(pa.array([x != UND for x in names], pa.bool_()))
+        for b in pieces(batches, "text"):
+            names, _, rejected = _predict(held.value, b.column("text").to_pylist())
+            at = b.schema.get_field_index("lang")
+            if held.value is not None and at >= 0:
+                b = b.set_column(at, b.schema.field(at), pa.array(names, b.schema.field(at).type))
+            yield b.filter(pa.array([not x for x in rejected], pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame, model: Profiles | None) -> DataFrame:
-    """docs, with all columns, without the rows that are `und`; without a model, without those that have no letter."""
+    """docs, with all columns, without rejected rows; `lang`, if there, becomes the prediction.
+
+    Rejected are texts without a letter, and texts of LONG n-grams or more
+    that are less like every language than LEAST: codes, random letters, and
+    languages or scripts that no profile is of. Shorter texts show too little
+    to be rejected. Without a model only letters tell, and lang stays.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return with_batches(docs).mapInArrow(_keeper(held), docs.schema)

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import with_batches
+from pricelark.llm.common import pieces, with_batches
 from pricelark.llm.hashing import _hashes, _mix
 
 # Usual notices of public licences.
@@ -286,7 +286,7 @@ def fit(background: list[list[bytes]]) -> Model:
 
 
 def _map_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, "data"):
         lines = []
         for x in b.column("data"):
             found = [y.split(b" ") for y in b" ".join(words_of(x.as_py())).split(_BREAK)]
@@ -339,7 +339,7 @@ def _scanner(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         slots = model.slots()
-        for b in batches:
+        for b in pieces(batches, "data"):
             found = [scan_text(x.as_py(), model, slots) for x in b.column("data")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, _FOUND)], names=["doc_id", "found"])
 

@@ -15,7 +15,8 @@ numbers each). The broadcast has SAMPLE * RANK + BINS * (RANK + 1) numbers,
 3 MB, whatever the size of the corpus.
 
 Defined cases: a null or empty text, or one with no similar neighbour, gets
-the share of label 1 in the sample; null labels and labels without a document
+the share of label 1 in the sample; of neighbours that are equally near at the
+edge, those that come first by hash, label and counts vote; null labels and labels without a document
 aren't learnt; without labels every score is 0.5; repeated rows are learnt
 once per distinct (id, label) and row, and scored each.
 """
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import materialise, with_batches
+from pricelark.llm.common import materialise, pieces, with_batches
 from pricelark.llm.hashing import word_hashes
 from pricelark.llm.toxicity import sample_labelled
 
@@ -97,13 +98,25 @@ class Neighbours:
         vectors = _unit(self._weigh(counts) @ self.projection)
         cosine = vectors @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), (len(counts), k))
+        near = nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** POWER
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
         return np.clip(np.where(total > 1e-9, vote, self.base), 0.0, 1.0)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest values of each row; of equal ones at the edge those that come first."""
+    if k >= cosine.shape[1]:
+        return np.broadcast_to(np.arange(cosine.shape[1]), cosine.shape)
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(cosine, near, axis=1).min(axis=1, keepdims=True)
+    for r in np.flatnonzero((cosine >= edge).sum(axis=1) > k):
+        above, level = np.flatnonzero(cosine[r] > edge[r]), np.flatnonzero(cosine[r] == edge[r])
+        near[r] = np.concatenate((above, level[: k - len(above)]))
+    return near
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -123,7 +136,7 @@ def _right_vectors(x: np.ndarray) -> np.ndarray:
 
 
 def _map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, "data"):
         at, values = [], []
         for x in b.column("data"):
             c = counts_of(x.as_py())
@@ -145,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 def _scorer(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for b in batches:
+        for b in pieces(batches, "data"):
             column = b.column("data")
             scores = [model.score(np.array([counts_of(x.as_py()) for x in column.slice(k, BLOCK)])) for k in range(0, b.num_rows, BLOCK)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("marked"), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["doc_id", "marked", "score"])

@@ -16,9 +16,10 @@ Tables are grouped by key with a count; keys held by one fingerprint end
 there. Of two fingerprints the distance is taken in SQL. Of up to BUCKET, a
 search tree over the bucket yields at most n - 1 links (never all pairs). A
 larger bucket isn't gathered: its members get 15 finer keys, built by the same
-rule over the bits that are still free (64, 30, 14, 7 bits), until buckets
-fit. With no more than 11 free bits a bucket can't hold over 2,048 distinct
-fingerprints, so three levels always suffice and nothing is dropped.
+rule over the bits that are still free. Of 64 bits at most 32, 16 and 8 stay
+free after one, two and three levels; with 8 free bits a bucket can't hold
+over 256 distinct fingerprints, so three levels suffice for any BUCKET from
+256 up and nothing is dropped.
 
 Defined cases: null doc_id takes part but is never a component's id unless all
 are null; rows repeated are one node; an empty table gives no rows.
@@ -26,6 +27,7 @@ are null; rows repeated are one node; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,33 +36,41 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import drop_rows, join_groups, materialise, small, with_batches
+from pricelark.llm.common import drop_rows, join_groups, materialise, pieces, small, with_batches
 from pricelark.llm.components import components
+from pricelark.llm.hashing import cut
 
 SEED = 42
 WORDS = 3
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 RADIUS = 3
 #: Most distinct fingerprints of a bucket that one task compares.
 BUCKET = 2048
 
 
 def fingerprint(data: bytes | None) -> int:
-    words = (data or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) < WORDS:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = [b" ".join(x) for x in zip(words, words[1:], words[2:], strict=False)]
+    """Bits are counted piece by piece; the last words of a piece are carried into the next."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    ones, total, words = np.zeros(64, dtype=np.int64), 0, []
+
+    def count(shingles: list[bytes]) -> None:
+        nonlocal ones, total
+        hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(shingles)
+
+    for piece in cut(data or b"", _BLANK):
+        words = words[-(WORDS - 1) :] + piece.lower().split()
+        if len(words) >= WORDS:
+            count([b" ".join(x) for x in zip(words, words[1:], words[2:], strict=False)])
+    if not total and words:
+        count([b" ".join(words)])
+    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
 def _map_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, "data"):
         found = np.array([fingerprint(x.as_py()) for x in b.column("data")], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
@@ -158,8 +168,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     roots = components(near_links(nodes.select("fp")))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "rows", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "fingerprint-roots")
-    heads = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(heads, "root").select(F.col("fp").alias("node"), "component_id", "root", "rows")
+    heads = named.groupBy(F.col("root").alias("head")).agg(F.min("least_id").alias("component_id"), F.count("*").alias("size"))
+    ids = join_groups(named, heads, "root", "head", "size").select(F.col("fp").alias("node"), "component_id", "root", "rows")
     return join_groups(rows, ids, "fp", "node", "rows").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 

@@ -31,6 +31,7 @@ repeated rows are written each; an empty table gives no blocks and no rows.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from unicodedata import normalize
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelark.llm.bpe import _SETTLED, byte_alphabet
-from pricelark.llm.common import materialise, shuffle_partitions, with_batches, worker_table
+from pricelark.llm.common import materialise, pieces, shuffle_partitions, with_batches, worker_table
 
 END_ID = 2
 #: Entries of a worker's table of chunks; a full table starts anew.
@@ -62,17 +63,22 @@ def pack(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = ids.astype(np.uint64)
     ends = np.cumsum(counts)
     room = np.repeat(ends, counts) - np.arange(n)  # ids left in the document
+    need = np.zeros(n, dtype=np.uint8)  # the least width that holds an id; len(WIDTHS) if none does
+    short = ids.astype(np.uint32) if int(ids.max()) >> 32 == 0 else ids
+    for w in WIDTHS:
+        if w < 8 * short.itemsize:
+            need += short >> short.dtype.type(w) != 0
     best = np.full(n, 13, dtype=np.int8)
-    at = np.arange(n)
+    most, reach = need.copy(), 1  # the greatest need of this id and the next ones, `reach` in all
     for s in range(12, -1, -1):  # a selector that fits implies all those of fewer, wider ids
-        size = SIZES[s]
-        narrow = np.concatenate(([0], np.cumsum(ids >> np.uint64(WIDTHS[s]) != 0, dtype=np.int32)))
-        at = at[room[at] >= size]
-        at = at[narrow[at + size] == narrow[at]]
-        if not len(at):
+        while reach < SIZES[s] and reach < n:
+            np.maximum(most[: n - reach], need[reach:], out=most[: n - reach])
+            reach += 1
+        fits = (most <= s) & (room >= SIZES[s])
+        if not fits.any():
             break
-        best[at] = s
-    best[ids >> np.uint64(60) != 0] = ESCAPE
+        best[fits] = s
+    best[need == len(WIDTHS)] = ESCAPE
     step = np.array((*SIZES, 0, 1))[best].tolist()
     starts, i = [], 0
     push = starts.append
@@ -121,6 +127,10 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return ids
 
 
+def _four_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordBPE(dict):
     """chunk -> its ids as little-endian 32-bit bytes, by way of the tokenizers library."""
 
@@ -151,7 +161,7 @@ class WordBPE(dict):
         else:
             plain = chunk.lower() if chunk.isascii() else normalize("NFC", chunk).replace("Σ", "σ").lower()
             pieces = [plain] if plain.isalpha() else self.find(plain)
-            made = np.array([i for p in pieces for i in self._piece(p)], dtype="<u4").tobytes()
+            made = _four_bytes([i for p in pieces for i in self._piece(p)])
         if len(chunk) <= 64:
             if len(self) >= TABLE:
                 self.clear()
@@ -179,9 +189,7 @@ def _writer(path: str, end_id: int | None) -> Callable:
 
         bpe, block, part = encoder(path), 0, TaskContext.get().partitionId()
         end = np.array([] if end_id is None else [end_id], dtype="<u4")
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches, "text"):
             each = []
             for x in b.column("text"):
                 each += [bpe.encode(x.as_py() or ""), end]

@@ -8,11 +8,12 @@ learning rate; the L1 term keeps coordinates at zero until they have shown
 enough, so the model is a short list of weights that is broadcast.
 
 Training: at most SAMPLE labelled rows, chosen by the hash of their ids among
-those the caller marks. Only their feature numbers go to the driver. Rows are
-taken in hash order, EPOCHS times.
+those the caller marks, and of these, in hash order, as many as have NUMBERS
+distinct features between them (at least one). Only their feature numbers go
+to the driver, 4 bytes each. Rows are taken in hash order, EPOCHS times.
 
 Scoring is one pass over the documents without a shuffle; whole texts count,
-piece by piece, so a text of any length takes bounded memory.
+piece by piece; a text takes 8 bytes a word.
 
 Defined cases: null or empty text has no feature and gets the score of the
 bias alone; a null label or a label without a document isn't learnt; repeated
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import materialise, with_batches
+from pricelark.llm.common import materialise, pieces, with_batches
 from pricelark.llm.hashing import gram_features, word_hashes
 
 BITS = 22
 #: Labelled rows that are learnt, at most; a bound on what the driver holds.
 SAMPLE = 8_000
+#: Distinct features of all rows that are learnt, at most (256 MB on the driver).
+NUMBERS = 64_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
 THRESHOLD = 0.7
@@ -93,7 +96,7 @@ class Model:
 
 
 def _map_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, "data"):
         made = [features(x.as_py()).astype("<i4").tobytes() for x in b.column("data")]
         yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array(made, pa.binary())], names=["h", "label", "at"])
 
@@ -107,7 +110,13 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", sample: int = SAMPLE) -> Model:
     rows = materialise(with_batches(sample_labelled(docs, labels, label, usable, sample)).mapInArrow(_map_features, "h long, label int, at binary"), "toxic-features")
-    got = sorted(((r["h"], r["label"], np.frombuffer(r["at"], dtype="<i4")) for r in rows.toLocalIterator()), key=lambda x: (x[0], x[1], x[2].tobytes()))
+    got, numbers = [], 0
+    for r in rows.orderBy("h", "label", "at").toLocalIterator():
+        at = np.frombuffer(r["at"], dtype="<i4")
+        numbers += len(at)
+        if len(got) >= sample or got and numbers > NUMBERS:
+            break
+        got.append((r["h"], r["label"], at))
     trained = FTRL()
     for _ in range(EPOCHS):
         for _, y, at in got:
@@ -119,7 +128,7 @@ def _scorer(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         dense = model.table()
-        for b in batches:
+        for b in pieces(batches, "data"):
             scores = pa.array([model.score(x.as_py(), dense) for x in b.column("data")], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("marked"), scores], names=["doc_id", "marked", "score"])
 

@@ -256,7 +256,7 @@ def test_decontaminate(spark, odd, empty, monkeypatch):
     docs = table(spark, [(1, "Cero UNO, dos: tres! Cuatro"), (2, "x " + " ".join(map(str, range(5, 20))) + " y"), (3, "limpio"), (4, None)])
     want = {1: (5, 3, ["1"]), 2: (17, 15, ["4"]), 3: (1, 0, []), 4: (0, 0, [])}
     for block in (1 << 20, 1):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
         got = {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in decontaminate.find_hits(docs, bench).collect()}
         assert got == want
         assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4]
@@ -277,7 +277,7 @@ def test_decontaminate_items_without_id(spark, monkeypatch):
     want = sorted(c.execute(queries.SQL_OP8).fetchall())
     assert [r[2] for r in want] == [4, 3, 0]
     for block in (1 << 20, 1):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
         assert sorted(tuple(r) for r in decontaminate.digest_columns(decontaminate.find_hits(docs, bench)).collect()) == want
         assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [2]
 
