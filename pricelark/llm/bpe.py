@@ -291,7 +291,7 @@ def compiled(path: str) -> ByteBPE:
 _TYPES = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def _encoder(held, outputs: tuple[str, ...]) -> Callable:
+def _encoder(held, outputs: tuple[str, ...], keep: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held.value
         decode = "decoded" in outputs or "decoded_sha256" in outputs
@@ -310,19 +310,21 @@ def _encoder(held, outputs: tuple[str, ...]) -> Callable:
                         made["decoded"].append(text.decode())
                     if "decoded_sha256" in outputs:
                         made["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(made[k], _TYPES[k][1]) for k in outputs)], names=["doc_id", *outputs])
+            own = ["doc_id", *keep]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(pa.array(made[k], _TYPES[k][1]) for k in outputs)], names=[*own, *outputs])
 
     return run
 
 
-def bpe_encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
-    """doc_id and the named outputs for every row: ids, n_tokens, ids_sha256, decoded, decoded_sha256.
+def bpe_encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n_tokens"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to keep and the named outputs for every row: ids, n_tokens, ids_sha256, decoded, decoded_sha256.
 
     decoded is made from the ids. Only the driver reads path.
     """
     held = docs.sparkSession.sparkContext.broadcast(compiled(path))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_batches(rows).mapInArrow(_encoder(held, outputs), ", ".join(["doc_id long", *(f"{k} {_TYPES[k][0]}" for k in outputs)]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    schema = ["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} {_TYPES[k][0]}" for k in outputs)]
+    return with_batches(rows).mapInArrow(_encoder(held, outputs, keep), ", ".join(schema))
 
 
 def _decoder(held) -> Callable:

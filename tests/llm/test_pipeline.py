@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pricelark.llm import simhash
+from tests.llm.brute import languages
 from tests.llm.test_text_ops import brute_components, brute_hits
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -19,9 +20,12 @@ def test_stages():
 
 
 def test_pipeline(spark, sf):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    docs = {r["doc_id"]: r["text"] for r in rows}
     items = [(r["item_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    left = {i: t for i, t in docs.items() if any(c.isalpha() for c in t or "")}
+    named = languages([(r["text"], r["lang"]) for r in rows], docs.values())
+    lang = {i: name for i, (name, _, rejected) in zip(docs, named, strict=True) if not rejected}
+    left = {i: docs[i] for i in lang}
     keep = {}
     for i, t in left.items():
         k = t.translate(LOWER)
@@ -33,8 +37,8 @@ def test_pipeline(spark, sf):
     want = {}
     for i, t in left.items():
         ids = library.encode(t, add_special_tokens=False).ids
-        want[i] = (ids, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
-    got = {r["doc_id"]: (r["ids"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()}
+        want[i] = (lang[i], ids, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = {r["doc_id"]: (r["lang"], r["ids"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == want
 
 
