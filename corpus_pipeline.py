@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents. Null and empty texts go at the first stage; an empty
-table goes through as one.
+table goes through as one. The last stage keeps lang, which the first one set.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pricelark.llm.decontaminate import decontaminate
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (`und`) go."""
+    """Documents without a letter, and long ones that are like no language, go; lang becomes the prediction."""
     return language.keep_identified(docs, language.learn(docs, F.lit(True)))
 
 
@@ -39,8 +39,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, and digests of the ids and of the text decoded from them."""
-    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
+    """doc_id, lang, ids, n_tokens, and digests of the ids and of the text decoded from them."""
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=("ids", "n_tokens", "ids_sha256", "decoded_sha256"), keep=("lang",))
 
 
 STAGES = [
