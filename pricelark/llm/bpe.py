@@ -17,10 +17,11 @@ merges that leaves some 15,000 rows of 11,000 bits (20 MB instead of 300). It
 is compiled once, on the driver, and broadcast; its size depends on the
 vocabulary alone.
 
-A word is encoded in one pass from left to right. After each byte there is
-exactly one state, that of the last token of what was read: the label that
-ends there and has an arc from the state at its beginning. At the end the
-tokens are read from the states backwards. Nothing is searched or taken back.
+A word is encoded in one pass from left to right, by tables. A trie of the
+labels with suffix links gives the labels that end at each byte. Exactly one
+of them has an arc from the state at its beginning; its state is the one after
+this byte. At the end the tokens are read from the states backwards. Nothing
+is searched or taken back.
 Texts are decoded by emitting the labels of the arcs.
 
 Before that, added tokens are cut out of the text, and the rest is split as
@@ -47,12 +48,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import pieces, with_batches
+from pricelark.llm.common import pieces, with_batches, worker_table
 
-#: Entries of the tables of chunks (about 120 MB when full) and of words; a full
+#: Entries of the tables of chunks (about 70 MB when full) and of words; a full
 #: table starts anew.
-TABLE = 500_000
-SMALL_TABLE = 100_000
+TABLE = 300_000
+SMALL_TABLE = 60_000
 #: Words longer than this aren't kept in the tables.
 LONG = 64
 
@@ -142,39 +143,68 @@ class Automaton:
                 of_column[column[u]] += 1
         width = (table.columns + 7) // 8
         rows = [table.bits[k, :width].tobytes() for k in range(table.rows)]
-        #: label -> token, arcs of its state, byte and bit of its own arc in a row
-        self.label = {b: (t, rows[row[t]], column[t] >> 3, 1 << (column[t] & 7)) for b, t in vocabulary.items() if row[t] >= 0}
-        ends: dict[bytes, set[int]] = {}
-        for x in self.label:
-            if len(x) > 3:
-                ends.setdefault(x[-3:], set()).add(len(x))
-        #: last three bytes -> lengths of the labels that end so, longest first
-        self.ends = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in ends.items()}
+        #: label -> its length, token, arcs of its state, byte and bit of its own arc in a row
+        self.label = {b: (len(b), t, rows[row[t]], column[t] >> 3, 1 << (column[t] & 7)) for b, t in vocabulary.items() if row[t] >= 0}
+        self._reader()
+
+    def _reader(self) -> None:
+        """What finds the labels that end at a byte: a trie of all labels with links to the longest other suffix."""
+        self.edges: dict[int, int] = {}  # node << 8 | byte -> node
+        above, byte, depth, own = [0], [0], [0], [None]
+        for x, hit in self.label.items():
+            node = 0
+            for c in x:
+                key = node << 8 | c
+                node = self.edges.get(key, 0)
+                if not node:
+                    node = self.edges[key] = len(above)
+                    above.append(key >> 8)
+                    byte.append(c)
+                    depth.append(depth[key >> 8] + 1)
+                    own.append(None)
+            own[node] = hit
+        self.suffix, self.ending = [0] * len(above), [()] * len(above)
+        for node in sorted(range(1, len(above)), key=depth.__getitem__):
+            at = above[node]
+            while at:
+                at = self.suffix[at]
+                if (found := self.edges.get(at << 8 | byte[node])) is not None:
+                    self.suffix[node] = found
+                    break
+            shorter = self.ending[self.suffix[node]]
+            self.ending[node] = shorter if own[node] is None else (own[node], *shorter)
 
     def follows(self, state: bytes, label: bytes) -> bool:
         """Whether the state of one label has an arc of another."""
-        _, _, byte, bit = self.label[label]
-        return self.label[state][1][byte] & bit != 0
+        *_, byte, bit = self.label[label]
+        return self.label[state][2][byte] & bit != 0
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        get, ends, short = self.label.get, self.ends.get, (3, 2, 1)
-        hit = get(word)
+        hit = self.label.get(word)
         if hit is not None:  # one arc from the beginning
-            return (hit[0],)
+            return (hit[1],)
+        edge, suffix, ending = self.edges.get, self.suffix, self.ending
         arcs, tokens, starts = [b""], [0], [0]
-        for i in range(1, len(word) + 1):
-            for size in ends(word[i - 3 : i], short) if i > 2 else short[3 - i :]:
-                if size <= i and (hit := get(word[i - size : i])) is not None and (size == i or arcs[i - size][hit[2]] & hit[3]):
-                    tokens.append(hit[0])
-                    arcs.append(hit[1])
+        node = i = 0
+        for c in word:
+            i += 1
+            at = edge(node << 8 | c)
+            while at is None:
+                if not node:
+                    raise ValueError("a byte without a token")
+                node = suffix[node]
+                at = edge(node << 8 | c)
+            node = at
+            for size, token, row, byte, bit in ending[node]:  # longest first; exactly one fits
+                if size == i or arcs[i - size][byte] & bit:
+                    arcs.append(row)
+                    tokens.append(token)
                     starts.append(i - size)
                     break
-            else:
-                raise ValueError("a byte without a token")
-        at, out = len(word), []
-        while at:
-            out.append(tokens[at])
-            at = starts[at]
+        out = []
+        while i:
+            out.append(tokens[i])
+            i = starts[i]
         out.reverse()
         return tuple(out)
 
@@ -291,9 +321,9 @@ def compiled(path: str) -> ByteBPE:
 _TYPES = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def _encoder(held, outputs: tuple[str, ...], keep: tuple[str, ...]) -> Callable:
+def _encoder(held, path: str, outputs: tuple[str, ...], keep: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = held.value
+        bpe = worker_table(("bpe", path), lambda: held.value)  # drops what other operators left in the worker
         decode = "decoded" in outputs or "decoded_sha256" in outputs
         for b in pieces(batches, "text"):
             made: dict[str, list] = {k: [] for k in _TYPES}
@@ -324,12 +354,12 @@ def bpe_encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n
     held = docs.sparkSession.sparkContext.broadcast(compiled(path))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     schema = ["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} {_TYPES[k][0]}" for k in outputs)]
-    return with_batches(rows).mapInArrow(_encoder(held, outputs, keep), ", ".join(schema))
+    return with_batches(rows).mapInArrow(_encoder(held, path, outputs, keep), ", ".join(schema))
 
 
-def _decoder(held) -> Callable:
+def _decoder(held, path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = held.value
+        bpe = worker_table(("bpe", path), lambda: held.value)
         for b in batches:
             texts = [None if x is None else bpe.decode(x).decode() for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -341,4 +371,4 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids (null ids give null)."""
     held = encoded.sparkSession.sparkContext.broadcast(compiled(path))
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return with_batches(rows).mapInArrow(_decoder(held), "doc_id long, text string")
+    return with_batches(rows).mapInArrow(_decoder(held, path), "doc_id long, text string")
