@@ -352,7 +352,7 @@ def bpe_encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n
     decoded is made from the ids. Only the driver reads path.
     """
     held = docs.sparkSession.sparkContext.broadcast(compiled(path))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), *keep, "text")
     schema = ["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} {_TYPES[k][0]}" for k in outputs)]
     return with_batches(rows).mapInArrow(_encoder(held, path, outputs, keep), ", ".join(schema))
 
@@ -370,5 +370,5 @@ def _decoder(held, path: str) -> Callable:
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids (null ids give null)."""
     held = encoded.sparkSession.sparkContext.broadcast(compiled(path))
-    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    rows = encoded.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return with_batches(rows).mapInArrow(_decoder(held, path), "doc_id long, text string")

@@ -2,7 +2,8 @@
 
 Every operator selects the few columns it needs by name before it does
 anything else, so further columns of its input (whatever their names) never
-clash with its own.
+clash with its own. Where ids are handed back as numbers, a doc_id that isn't a
+whole number counts as null.
 """
 
 from __future__ import annotations

@@ -153,7 +153,7 @@ class FMIndex:
 class Benchmark:
     """Windows of a block of items, over a vocabulary of their words (ids from 2; 1 is a break)."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | str | None, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.ids: list[str | None] = []
         rows, owners = [np.zeros((0, window), dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
@@ -280,7 +280,7 @@ def _long_runs(symbols: np.ndarray, least: int) -> np.ndarray:
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple]]:
     """The items in blocks of at most BLOCK_WINDOWS windows; one block is on the driver at a time."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("data"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("data"))
     for r in rows.toLocalIterator():
         words = words_of(bytes(r["data"]) if r["data"] is not None else None)
         left, at = max(1, len(words) - window + 1) if words else 0, 0
@@ -344,7 +344,7 @@ def _hits(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, row_no, text_hash, n_words, spans (merged, in words), items (ids as text, sorted, and a null for items without one)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
     return _hits(rows, benchmark, window)
 
 

@@ -48,7 +48,7 @@ SAMPLE = 500
 SEED = 20
 #: The prediction for texts without a letter.
 UND = "und"
-#: Documents whose counts are held at once, and characters of a piece of a text.
+#: Documents whose counts are held at once, and characters of a text that are coded at once.
 GROUP = 128
 PIECE = 1 << 20
 #: A text of so many n-grams whose cosine with every language is less is rejected. Random letters have up to 0.15 with the test
@@ -79,23 +79,24 @@ def _codes() -> np.ndarray:
 
 def ngrams(text: str) -> np.ndarray:
     """Codes of all n-grams of a text, one number each; none if it has no letter."""
-    found = []
-    for k in range(0, len(text), PIECE):  # a seam costs nothing: the last letters are repeated
-        points = np.frombuffer(text[max(0, k - N + 1) : k + PIECE].encode("utf-32-le", "replace"), dtype="<u4")
+    found = [np.zeros(1, dtype=np.uint8)]
+    for k in range(0, len(text), PIECE):
+        points = np.frombuffer(text[k : k + PIECE].encode("utf-32-le", "replace"), dtype="<u4")
         codes = _codes()[np.minimum(points, 0xFFFF)]
         beyond = points > 0xFFFF
         if beyond.any():
             which, at = np.unique(points[beyond], return_inverse=True)
             codes[beyond] = np.array([_code(c) for c in which.tolist()], dtype=np.uint8)[at]
-        if not codes.any():
-            continue
-        codes = np.concatenate(([0], codes, [0]))
-        codes = codes[(codes != 0) | np.concatenate(([True], codes[:-1] != 0))].astype(np.int64)
-        made = np.zeros(max(0, len(codes) - N + 1), dtype=np.int64)
-        for j in range(N):
-            made = made * CODES + codes[j : len(codes) - N + 1 + j]
-        found.append(made)
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+        found.append(codes)
+    codes = np.concatenate((*found, found[0]))
+    if not codes.any():
+        return np.zeros(0, dtype=np.int32)
+    codes = codes[(codes != 0) | np.concatenate(([True], codes[:-1] != 0))]
+    made = np.zeros(max(0, len(codes) - N + 1), dtype=np.int32)
+    for j in range(N):
+        made *= CODES
+        made += codes[j : len(codes) - N + 1 + j]
+    return made
 
 
 def vectors_of(grams: np.ndarray) -> np.ndarray:
@@ -121,7 +122,7 @@ class Bundler:
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Vectors (documents by D), and the number of n-grams of each."""
-        each = [ngrams(t) if t else np.zeros(0, dtype=np.int64) for t in texts]
+        each = [ngrams(t) if t else np.zeros(0, dtype=np.int32) for t in texts]
         sizes = np.array([len(x) for x in each])
         if not sizes.sum():
             return np.zeros((len(texts), D), dtype=np.float32), sizes
@@ -230,7 +231,7 @@ def _predictor(held) -> Callable:
 def identify(docs: DataFrame, model: Profiles | None, marked: Column | None = None) -> DataFrame:
     """doc_id, text_hash, marked, lang_pred, score for every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), (F.lit(None).cast("boolean") if marked is None else marked).alias("marked"), "text")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), (F.lit(None).cast("boolean") if marked is None else marked).alias("marked"), "text")
     return with_batches(rows).mapInArrow(_predictor(held), "doc_id long, text_hash long, marked boolean, lang_pred string, score double")
 
 

@@ -349,5 +349,5 @@ def _scanner(held) -> Callable:
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, found (array of line, family, probability, similarity) for every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"))
     return with_batches(rows).mapInArrow(_scanner(held), "doc_id long, found array<struct<line:int,family:string,probability:double,similarity:double>>")

@@ -169,5 +169,5 @@ def _scorer(held) -> Callable:
 def score(docs: DataFrame, model: Neighbours, marked: Column | None = None) -> DataFrame:
     """doc_id, marked, score for every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None).cast("boolean") if marked is None else marked).alias("marked"), F.col("text").cast("binary").alias("data"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), (F.lit(None).cast("boolean") if marked is None else marked).alias("marked"), F.col("text").cast("binary").alias("data"))
     return with_batches(rows).mapInArrow(_scorer(held), "doc_id long, marked boolean, score double")

@@ -77,7 +77,7 @@ def _map_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp (the 64 bits as a long) for every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
     return with_batches(rows).mapInArrow(_map_fingerprints, "doc_id long, text_hash long, fp long")
 
 

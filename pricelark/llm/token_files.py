@@ -211,7 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str | None = None, end_id:
     Texts are range-partitioned by doc_id (rows of one id by their hash), so
     the files are in order as a whole; nothing is sorted in one task.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     blocks = with_batches(ranged.select("doc_id", "text")).mapInArrow(_writer(tokenizer, end_id), BLOCK_SCHEMA)
     if to is None:

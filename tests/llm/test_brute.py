@@ -240,3 +240,12 @@ def test_shards_of_documents(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", blocks)
         got = {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in decontaminate.find_hits(docs, bench).collect()}
         assert got == {k: brute_hits(t.encode(), data) for k, t in enumerate(texts)}
+
+
+def test_ids_that_are_no_numbers(spark):
+    """Such a doc_id counts as null; item ids stay as they are."""
+    docs = spark.createDataFrame([("x7", "uno dos tres"), ("8", "hola")], "doc_id string, text string")
+    bench = spark.createDataFrame([("b-1", "dos tres"), ("a-2", "uno dos")], "item_id string, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find_hits(docs, bench).collect()}
+    assert got == {None: ["a-2", "b-1"], 8: []}
+    assert sorted(str(r["doc_id"]) for r in simhash.near_dedup(docs).collect()) == ["8", "None"]
