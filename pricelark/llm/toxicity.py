@@ -22,6 +22,7 @@ rows are learnt and scored each; without labels every score is 0.5.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -110,16 +111,25 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", sample: int = SAMPLE) -> Model:
     rows = materialise(with_batches(sample_labelled(docs, labels, label, usable, sample)).mapInArrow(_map_features, "h long, label int, at binary"), "toxic-features")
-    got, numbers = [], 0
-    for r in rows.orderBy("h", "label", "at").toLocalIterator():
-        at = np.frombuffer(r["at"], dtype="<i4")
-        numbers += len(at)
-        if len(got) >= sample or got and numbers > NUMBERS:
+    # Which rows count is decided on a short list; equal entries of it are equal rows.
+    key = ["h", "label", "n", "k"]
+    named = rows.select("h", "label", (F.octet_length("at") / 4).cast("int").alias("n"), F.xxhash64("at").alias("k"), "at")
+    wanted: Counter = Counter()
+    numbers = 0
+    for r in named.select(*key).orderBy(*key).limit(sample).collect():
+        numbers += r["n"]
+        if wanted and numbers > NUMBERS:
             break
-        got.append((r["h"], r["label"], at))
+        wanted[tuple(r)] += 1
+    got = []
+    for r in named.toLocalIterator():
+        if wanted[tuple(r)[:4]] > 0:
+            wanted[tuple(r)[:4]] -= 1
+            got.append((*tuple(r)[:4], np.frombuffer(r["at"], dtype="<i4")))
+    got.sort(key=lambda x: x[:4])
     trained = FTRL()
     for _ in range(EPOCHS):
-        for _, y, at in got:
+        for _, y, _, _, at in got:
             trained.learn(at, y)
     return Model(trained)
 
