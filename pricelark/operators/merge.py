@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pricelark.functions.text import NO_BRAND, normalize_brand, normalize_sku
 from pricelark.functions.urls import clean_product_url, host_of, normalize_image_url
 from pricelark.operators.stateful import numbered
+from pricelark.scratch import materialise, shuffle_partitions
 from pricelark.session import checked_broadcast
 
 # Widths of columns, and what an empty batch says.
@@ -191,50 +192,96 @@ def _pieces(text: Column, lengths: Column) -> Column:
     return F.coalesce(made, F.array().cast("array<string>"))
 
 
-def fuzzy_match(items: DataFrame, variants: DataFrame) -> DataFrame:
-    """JN-10: pairs of items and variants of one site that share a clean URL, or whose SKUs and URLs hold each other.
+def _texts(rows: DataFrame, site: str, text: str) -> DataFrame:
+    return rows.select(F.col(site).alias("at"), F.col(text).alias("text")).where("text <> ''").distinct()
+
+
+def _held(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(at, text, part): a site's texts and those of its parts, from 4 characters up, that they hold.
+
+    Only substrings of lengths that parts have are made. They meet the parts in
+    a broadcast table if a count allows it, so that they aren't shuffled. A
+    short text makes many substrings, so texts are spread over all tasks first.
+    """
+    texts = texts.repartition(shuffle_partitions(texts.sparkSession))
+    lengths = parts.groupBy("p_at").agg(F.collect_set(F.length("part")).alias("lengths")).withColumnRenamed("p_at", "l_at")
+    cut = texts.join(F.broadcast(lengths), F.col("at") == F.col("l_at"))  # a row per site
+    cut = cut.select("at", "text", F.explode(_pieces(F.col("text"), F.col("lengths"))).alias("piece"))
+    return cut.join(parts, (F.col("at") == F.col("p_at")) & (F.col("piece") == F.col("part"))).select("at", "text", "part").distinct()
 
-    One equi-join of the distinct SKUs and URLs of a site by keys of a kind for
-    each branch. One text holds another if one of its substrings is equal to
-    it; only substrings of lengths that the site's SKUs have (from 4 up) are
-    made, so that work grows with the texts and the matches, not with items
-    times variants.
+
+_ITEM_KEY, _VARIANT_KEY = ["site_id", "i_sku", "i_url"], ["v_site", "v_sku", "v_url", "v_clean"]
+
+
+def _keyed(items: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items and variants with the texts that they are matched by, and the pairs of distinct texts that match.
+
+    Each branch is met by equi-joins of a site's distinct SKUs and URLs, so
+    that work grows with the texts and the matches, not with items times
+    variants, and neither with rows that repeat a text. The distinct texts are
+    written once, as each branch reads them.
     """
-    i_sku, i_url = F.lower(normalize_sku(F.col("item_sku"))), F.lower(clean_product_url(F.col("item_url")))
-    left = items.withColumns({"i_sku": i_sku, "i_url": i_url})
+    left = items.withColumns({"i_sku": F.lower(normalize_sku(F.col("item_sku"))), "i_url": F.lower(clean_product_url(F.col("item_url")))})
     v_sku, v_url = F.lower(F.coalesce("sku", F.lit(""))), F.lower(F.coalesce("url", F.lit("")))
     right = variants.withColumns({"v_sku": v_sku, "v_url": v_url, "v_clean": F.lower(clean_product_url(F.col("url")))}).withColumnRenamed("site_id", "v_site")
-    i_key, v_key = ["i_sku", "i_url"], ["v_sku", "v_url", "v_clean"]
-    its, vs = left.select("site_id", *i_key).distinct(), right.select("v_site", *v_key).distinct()
-
-    def with_lengths(rows: DataFrame, site: str, others: DataFrame, other_site: str, sku: str) -> DataFrame:
-        found = others.where(F.length(sku) >= 4).groupBy(F.col(other_site).alias("s")).agg(F.collect_set(F.length(sku)).alias("lengths"))
-        return rows.join(F.broadcast(found), F.col(site) == F.col("s"), "left")  # a row per site
-
-    def keys(*kinds: tuple[str, Column, Column | bool]) -> Column:
-        """Pairs of kind and key from (kind, array of keys, whether it holds)."""
-        tagged = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-        made = [F.when(F.lit(on) if isinstance(on, bool) else on, F.transform(x, tagged(kind))) for kind, x, on in kinds]
-        return F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*made)))))
-
-    one, lengths = lambda c: F.array(F.col(c)), F.col("lengths")
-    b, a, linked = F.length("i_sku") >= 4, F.length("v_sku") >= 4, F.col("v_url") != ""
-    i_at = keys(("url", one("i_url"), True), ("sku", one("i_sku"), True), ("item", one("i_sku"), b), ("in sku", _pieces(F.col("i_sku"), lengths), True), ("in url", _pieces(F.col("i_url"), lengths), True))
-    v_at = keys(("url", one("v_clean"), linked), ("sku", one("v_sku"), F.col("v_sku") != ""), ("item", F.concat(_pieces(F.col("v_sku"), lengths), _pieces(F.col("v_url"), lengths)), True), ("in sku", one("v_sku"), a), ("in url", one("v_sku"), a & linked))
-    i = with_lengths(its, "site_id", vs, "v_site", "v_sku").select("site_id", *i_key, i_at.alias("at")).select("*", F.col("at.kind").alias("i_kind"), F.col("at.key").alias("i_at")).drop("at")
-    v = with_lengths(vs, "v_site", its, "site_id", "i_sku").select("v_site", *v_key, v_at.alias("at")).select("*", F.col("at.kind").alias("v_kind"), F.col("at.key").alias("v_at")).drop("at")
-    pairs = i.join(v, (F.col("site_id") == F.col("v_site")) & (F.col("i_kind") == F.col("v_kind")) & (F.col("i_at") == F.col("v_at"))).select("site_id", *i_key, *v_key).distinct()
-
-    renamed = pairs.select(F.col("site_id").alias("p_site"), *(F.col(c).alias(f"p_{c}") for c in (*i_key, *v_key)))
-    same = lambda cols: [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in cols]
-    found = left.join(renamed, reduce(and_, same(i_key), F.col("site_id") == F.col("p_site"))).select("item_id", "p_site", *(f"p_{c}" for c in v_key))
-    return found.join(right, reduce(and_, same(v_key), F.col("v_site") == F.col("p_site"))).select("item_id", "variant_id", "updated_at")
-
-
-def best_matches(matches: DataFrame) -> DataFrame:
-    """WIN-2: an item's winner among its matches."""
+    its, vs = materialise(left.select(*_ITEM_KEY).distinct(), "item-keys"), materialise(right.select(*_VARIANT_KEY).distinct(), "variant-keys")
+    linked = vs.where("v_url <> ''")
+    i_skus, i_urls = _texts(its, "site_id", "i_sku"), _texts(its, "site_id", "i_url")
+    v_skus, v_urls = _texts(vs, "v_site", "v_sku"), _texts(vs, "v_site", "v_url")
+    long = lambda texts: checked_broadcast(texts.where(F.length("text") >= 4).toDF("p_at", "part"))
+    i_parts, v_parts = long(i_skus), long(v_skus)
+
+    def through(links: DataFrame, item: str, found: DataFrame, variant: str) -> DataFrame:
+        """Pairs by links (at, a text of the item, a text of the variant)."""
+        k = links.toDF("k_at", "k_item", "k_variant")
+        met = its.join(k, (F.col("site_id") == F.col("k_at")) & (F.col(item) == F.col("k_item")))
+        met = met.join(found, (F.col("k_at") == F.col("v_site")) & (F.col(variant) == F.col("k_variant")))
+        return met.select(*_ITEM_KEY, *_VARIANT_KEY)
+
+    equal = i_skus.join(v_skus.toDF("p_at", "part"), (F.col("at") == F.col("p_at")) & (F.col("text") == F.col("part"))).select("at", "text", "part")
+    skus = equal.union(_held(i_skus, v_parts)).union(_held(v_skus, i_parts).select("at", "part", "text")).distinct()
+    pairs = its.join(linked, (F.col("site_id") == F.col("v_site")) & (F.col("i_url") == F.col("v_clean"))).select(*_ITEM_KEY, *_VARIANT_KEY)
+    pairs = pairs.union(through(skus, "i_sku", vs, "v_sku")).union(through(_held(v_urls, i_parts).select("at", "part", "text"), "i_sku", vs, "v_url"))
+    return left, right, pairs.union(through(_held(i_urls, v_parts), "i_url", linked, "v_sku")).distinct()
+
+
+def _by_key(rows: DataFrame, keyed: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with `keyed` by the columns of a key, nulls equal; the second key is dropped."""
+    other = keyed.withColumnsRenamed({c: f"k_{c}" for c in key})
+    met = rows.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key]), how)
+    return met.drop(*(f"k_{c}" for c in key))
+
+
+def fuzzy_match(items: DataFrame, variants: DataFrame) -> DataFrame:
+    """JN-10: pairs of items and variants of one site that share a clean URL, or whose SKUs and URLs hold each other."""
+    left, right, pairs = _keyed(items, variants)
+    found = _by_key(left.select("item_id", *_ITEM_KEY), pairs, _ITEM_KEY)
+    return _by_key(found.drop(*_ITEM_KEY), right, _VARIANT_KEY).select("item_id", "variant_id", "updated_at")
+
+
+def best_matches(items: DataFrame, variants: DataFrame) -> DataFrame:
+    """WIN-2: an item's winner among its matches, and their number.
+
+    Variants are ranked per key before they meet the pairs, and pairs per
+    item's key before they meet the items: no single match is listed.
+    """
+    return _best(*_keyed(items, variants))
+
+
+def _best(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("updated_at").isNotNull(), F.col("updated_at"), (-F.col("variant_id")).alias("i"))
-    return matches.groupBy("item_id").agg(F.max_by("variant_id", rank).alias("variant_id"), F.count("*").alias("matches"))
+    per_variant = right.groupBy(*_VARIANT_KEY).agg(F.max(rank).alias("top"), F.count("*").alias("matches"))
+    both = [F.max("top").alias("top"), F.sum("matches").alias("matches")]
+    per_item = _by_key(pairs, per_variant, _VARIANT_KEY).groupBy(*_ITEM_KEY).agg(*both)
+    found = _by_key(left.select("item_id", *_ITEM_KEY), per_item, _ITEM_KEY).groupBy("item_id").agg(*both)
+    return found.select("item_id", (-F.col("top.i")).alias("variant_id"), "matches")
+
+
+def _last(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The last (by item_id) of the items that match a variant; ranked per key first, as the best match is."""
+    last = F.max("item_id").alias("item_id")
+    per_variant = _by_key(pairs, left.groupBy(*_ITEM_KEY).agg(last), _ITEM_KEY).groupBy(*_VARIANT_KEY).agg(last)
+    return _by_key(right.select("variant_id", *_VARIANT_KEY), per_variant, _VARIANT_KEY).groupBy("variant_id").agg(last)
 
 
 def register_variants(items: DataFrame, variants: DataFrame, as_of: str) -> dict[str, DataFrame]:
@@ -286,8 +333,8 @@ def extension_upsert(items: DataFrame, variants: DataFrame, as_of: str) -> dict[
     several items that match one variant the last (by item_id) counts, as it
     would if they came one by one.
     """
-    matches = fuzzy_match(items, variants)
-    last = matches.groupBy("variant_id").agg(F.max("item_id").alias("item_id"))
+    keyed = _keyed(items, variants)
+    last, winners = _last(*keyed), _best(*keyed)
     item = items.select("item_id", F.col("price").alias("i_price"), clean_product_url(F.col("item_url")).alias("i_url"), normalize_image_url(F.col("image_url")).alias("i_image"))
     met = variants.join(last, "variant_id", "left").join(item, "item_id", "left")
     hit = F.col("item_id").isNotNull()
@@ -301,6 +348,6 @@ def extension_upsert(items: DataFrame, variants: DataFrame, as_of: str) -> dict[
         "active": F.col("active") | hit,
     }
     after = met.select(*(state[c].alias(c) if c in state else F.col(c) for c in variants.columns))
-    best = best_matches(matches).join(item, "item_id").join(variants.select("variant_id", F.col("price").alias("o_price"), F.col("in_stock").alias("o_stock")), "variant_id")
+    best = winners.join(item, "item_id").join(variants.select("variant_id", F.col("price").alias("o_price"), F.col("in_stock").alias("o_stock")), "variant_id")
     history = best.where(changed(F.col("o_price"), F.col("o_stock"), F.col("i_price"), F.col("i_price") > 0)).select("variant_id", F.col("i_price").alias("price"), (F.col("i_price") > 0).alias("in_stock"), F.lit(as_of).cast("timestamp_ntz").alias("captured_at"))
-    return {"variants": after, "history": history, "fresh": items.join(matches, "item_id", "left_anti")}
+    return {"variants": after, "history": history, "fresh": items.join(winners, "item_id", "left_anti")}

@@ -423,7 +423,7 @@ def _incoming(d: Domain) -> DataFrame:
 
 @query(_INCOMING + _MATCHES + "SELECT item_id, arg_max(variant_id, (updated_at, -variant_id)) AS variant_id, count(*) AS matches FROM m GROUP BY 1")
 def fuzzy_match(d: Domain) -> DataFrame:
-    return mg.best_matches(mg.fuzzy_match(_incoming(d), d.variants))
+    return mg.best_matches(_incoming(d), d.variants)
 
 
 @query(_INCOMING + _MATCHES + "SELECT item_id, variant_id FROM m")
