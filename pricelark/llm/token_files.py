@@ -31,6 +31,7 @@ repeated rows are written each; an empty table gives no blocks and no rows.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -146,6 +147,8 @@ class WordBPE(dict):
         self.alphabet = byte_alphabet()
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: What a mark that ends a chunk stands for, so that the word before it is shared with other chunks.
+        self.marks = {c: _four_bytes(self._piece(c)) for c in string.punctuation}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -160,8 +163,11 @@ class WordBPE(dict):
             made = self._library(chunk)
         else:
             plain = chunk.lower() if chunk.isascii() else normalize("NFC", chunk).replace("Σ", "σ").lower()
-            pieces = [plain] if plain.isalpha() else self.find(plain)
-            made = _four_bytes([i for p in pieces for i in self._piece(p)])
+            if plain[-1] in self.marks and (word := plain[:-1]).isalpha():
+                made = self[word] + self.marks[plain[-1]]
+            else:
+                pieces = [plain] if plain.isalpha() else self.find(plain)
+                made = _four_bytes([i for p in pieces for i in self._piece(p)])
         if len(chunk) <= 64:
             if len(self) >= TABLE:
                 self.clear()

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -82,6 +82,19 @@ def test_word_bpe(text):
     assert own.encode(text).tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+MARKED = st.text(alphabet="abZéÉÑΣσİıẞក̸़́ ,.'!-_<9中\x1c", max_size=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(MARKED)
+@example("\u0130'")
+@example("\u0958!")
+def test_word_bpe_marks_at_the_end(text):
+    """A mark after a word is taken apart only if the word ends in a letter when lower-cased and composed."""
+    own = token_files.encoder(WORD)
+    assert own.encode(text).tolist() == own.library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50000), st.integers(0, 2**64 - 1)), max_size=70), min_size=1, max_size=6))
 def test_simple8b(docs):
