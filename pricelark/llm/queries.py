@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm import licences, quality, toxicity
+from pricelark.llm import chat, fim, licences, quality, repair, toxicity
 from pricelark.llm.bpe import bpe_encode
 from pricelark.llm.common import documents, remainder, table
 from pricelark.llm.decontaminate import digest_columns, find_hits
 from pricelark.llm.exact_dedup import exact_dedup
 from pricelark.llm.language import identify, learn
+from pricelark.llm.oracles import SQL_OP11, SQL_OP12, SQL_OP13
 from pricelark.llm.sharding import shard_by_bytes
 from pricelark.llm.simhash import near_dedup
 from pricelark.llm.token_files import read_digests, write_tokens
@@ -87,6 +88,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("marked").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(documents(spark, sf_dir))
+    text = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+#: What the conversation that is added to the table says, as user and as assistant.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from the formatted texts and their masks."""
+    said = lambda turn, role: F.struct(F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"))
+    added = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(said(0, "user"), said(1, "assistant"))).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(CONTROL_TEXT).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    made = chat.format_chats(chat.records_of(rows), "record")
+    turns, learnt = chat.parsed(F.col("chat")), chat.learnt(F.col("chat"), F.col("loss_mask"))
+    read = made.select("conv_id", turns.alias("turns"), learnt.alias("learnt"), F.length("chat").cast("long").alias("formatted_chars"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table; one that lost all its rows has zeros and empty texts."""
+    rows = table(spark, sf_dir, "conversations")
+    done = repair.repair(repair.damage(rows))
+    text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    small = done.select(F.col("conv_id").alias("id"), *numbers, "audit", F.sha2(text, 256).alias("hash"))
+    met = rows.select("conv_id").distinct().join(small, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers]
+    return met.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("hash", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 SQL_OP7 = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -137,8 +172,11 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_licence_scan": op9_licence_scan,
         "op10_quality": op10_quality,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_chat_format": op12_chat_format,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": SQL_OP7, "op8_decontamination": SQL_OP8}
+    return {"op7_exact_dedup": SQL_OP7, "op8_decontamination": SQL_OP8, "op11_fill_in_middle": SQL_OP11, "op12_chat_format": SQL_OP12, "op13_conversation_repair": SQL_OP13}
