@@ -177,11 +177,19 @@ def existing_products(cards: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def new_products(cards: DataFrame, variants: DataFrame) -> DataFrame:
-    """JN-9, MRG-6: cards whose (site, SKU) isn't there, one per SKU; price null if 0; defaults for brand and category."""
+    """JN-9, MRG-6: cards whose (site, SKU) isn't there, one per SKU; price null if 0; default for the brand.
+
+    Nothing equals a null SKU, so each card without one is new; it is saved
+    with an empty SKU, and a later card with an empty one is then there already.
+    """
     have = variants.select(F.col("site_id").alias("s"), F.lower("sku").alias("k"))
     fresh = cards.join(have, (F.col("site_id") == F.col("s")) & (F.lower("sku") == F.col("k")), "left_anti")
-    first = Window.partitionBy("site_id", F.lower("sku")).orderBy("card_id")
-    one = fresh.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    first = Window.partitionBy("site_id", F.lower(F.coalesce("sku", F.lit("")))).orderBy("card_id")
+    # all cards without a SKU stay, so these go by themselves: a window would bring them to one task
+    named = fresh.where("sku IS NOT NULL").withColumn("own", F.lit(True))
+    least = fresh.where("sku IS NULL").groupBy("site_id").agg(F.min("card_id").alias("card_id"))  # a row per site
+    stand = least.select(*(F.col(c) if c in ("site_id", "card_id") else F.lit("" if c == "sku" else None).cast(cards.schema[c].dataType).alias(c) for c in cards.columns), F.lit(False).alias("own"))
+    one = named.unionByName(stand).withColumn("rn", F.row_number().over(first)).where("rn = 1 AND own").drop("rn", "own").unionByName(fresh.where("sku IS NULL"))
     return one.withColumns({"price": F.when(F.col("price") > 0, F.col("price")), "brand": normalize_brand(F.col("brand"))})
 
 
@@ -210,6 +218,26 @@ def _held(texts: DataFrame, parts: DataFrame) -> DataFrame:
     return cut.join(parts, (F.col("at") == F.col("p_at")) & (F.col("piece") == F.col("part"))).select("at", "text", "part").distinct()
 
 
+def text_links(keys: DataFrame, targets: DataFrame) -> DataFrame:
+    """(at, how, text, other): the texts of a site's targets that the texts of its keys match, each pair once.
+
+    keys: site_id, k_sku, k_url (clean); targets: site_id, t_sku, t_url, t_clean;
+    all in lower case. `how` names the text of the key and the other: `sku-sku`
+    (equal, or one holds the other), `url-sku` (the URL holds the SKU),
+    `sku-url` (the other way round), `url-url` (equal when clean).
+    """
+    i_skus, i_urls = _texts(keys, "site_id", "k_sku"), _texts(keys, "site_id", "k_url")
+    v_skus, v_urls = _texts(targets, "site_id", "t_sku"), _texts(targets, "site_id", "t_url")
+    long = lambda texts: checked_broadcast(texts.where(F.length("text") >= 4).toDF("p_at", "part"))
+    i_parts, v_parts = long(i_skus), long(v_skus)
+    equal = i_skus.join(v_skus.toDF("p_at", "part"), (F.col("at") == F.col("p_at")) & (F.col("text") == F.col("part"))).select("at", "text", "part")
+    skus = equal.union(_held(i_skus, v_parts)).union(_held(v_skus, i_parts).select("at", "part", "text")).distinct()
+    clean = targets.where("t_url <> ''").select(F.col("site_id").alias("c_at"), "t_url", "t_clean").distinct()
+    urls = i_urls.join(clean, (F.col("at") == F.col("c_at")) & (F.col("text") == F.col("t_clean"))).select("at", "text", "t_url")
+    named = {"sku-sku": skus, "url-sku": _held(i_urls, v_parts), "sku-url": _held(v_urls, i_parts).select("at", "part", "text"), "url-url": urls}
+    return reduce(DataFrame.union, (df.toDF("at", "text", "other").select("at", F.lit(how).alias("how"), "text", "other") for how, df in named.items()))
+
+
 _ITEM_KEY, _VARIANT_KEY = ["site_id", "i_sku", "i_url"], ["v_site", "v_sku", "v_url", "v_clean"]
 
 
@@ -331,8 +359,12 @@ def extension_upsert(items: DataFrame, variants: DataFrame, as_of: str) -> dict[
     All matches of an item are updated, the winner alone gets a history row if
     price or stock changed; items without a match come back as `fresh`. Of
     several items that match one variant the last (by item_id) counts, as it
-    would if they came one by one.
+    would if they came one by one. Items are matched against the state before
+    the batch (extension.ingest folds them in order); several of one id are
+    one, the greatest by all columns in their order.
     """
+    rest = [c for c in items.columns if c != "item_id"]
+    items = items.groupBy("item_id").agg(F.max(F.struct(*rest)).alias("x")).select("item_id", *(F.col(f"x.{c}").alias(c) for c in rest))
     keyed = _keyed(items, variants)
     last, winners = _last(*keyed), _best(*keyed)
     item = items.select("item_id", F.col("price").alias("i_price"), clean_product_url(F.col("item_url")).alias("i_url"), normalize_image_url(F.col("image_url")).alias("i_image"))

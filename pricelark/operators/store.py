@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +11,42 @@ from pyspark.sql import functions as F
 NO_ERROR = "Error desconocido"
 
 
+class CommitConflict(RuntimeError):
+    """Another commit came between reading and writing."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What one pointer names. All that a change is computed from is read through one snapshot, and its number goes to commit()."""
+
+    store: Store
+    number: int
+    state: dict[str, str]
+
+    def table(self, name: str) -> DataFrame:
+        """SRC-1. A table is the union of the folders that its version lists."""
+        return self.store._load(name, self.state[name])
+
+    def has_buckets(self, name: str, n: int) -> bool:
+        return self.state.get(f"buckets:{name}") == str(n)
+
+    def buckets(self, name: str, numbers: list[int]) -> DataFrame:
+        """The rows of some buckets of a table that has_buckets(); the others aren't read."""
+        found = [v for v in self.state[name].split(",") if int(v.rsplit("=", 1)[1]) in numbers]
+        return self.store._load(name, ",".join(found)) if found else self.table(name).limit(0)
+
+
 class Store:
     """Tables under one folder. A commit writes new versions of some of them and then adds one pointer.
 
     Readers see the versions that the last pointer names, so a commit is seen
     whole or not at all; a job that fails, or loses executors, before the
-    pointer is there leaves only files that nothing names. The pointer is one
-    file, written aside and renamed without overwriting: of two writers that
-    began from the same state the second one fails and can start anew. That is
-    as sure as the file system's rename (HDFS: atomic).
+    pointer is there leaves only files that nothing names. A writer names the
+    snapshot that its frames were computed from: if another commit came since,
+    its own fails and can start anew. The pointer is one file, written aside and
+    renamed without overwriting, so that holds for commits at the same moment
+    too, as surely as the file system renames (HDFS: atomic). A commit without a
+    snapshot must not depend on what was there, as an append doesn't.
 
     A commit with a batch (stream, number) that isn't after the stream's last
     one does nothing, which makes foreachBatch idempotent; only that last
@@ -61,28 +89,29 @@ class Store:
         except Exception as e:
             if self._fs.exists(at):
                 self._fs.delete(aside, False)
-                raise RuntimeError("another commit came first") from e
+                raise CommitConflict("another commit came first") from e
             raise
 
+    def snapshot(self) -> Snapshot:
+        """The last commit, read once."""
+        n = self._pointers()
+        return Snapshot(self, n[-1], self._read(n[-1])) if n else Snapshot(self, 0, {})
+
     def state(self) -> dict[str, str]:
         """Table (or `stream:` id) -> folders (or number), as of the last commit."""
-        n = self._pointers()
-        return self._read(n[-1]) if n else {}
+        return self.snapshot().state
 
     def _load(self, name: str, folders: str) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.path}/{name}/{v}" for v in folders.split(",")))
 
     def table(self, name: str) -> DataFrame:
-        """SRC-1. A table is the union of the folders that its version lists."""
-        return self._load(name, self.state()[name])
+        return self.snapshot().table(name)
 
     def has_buckets(self, name: str, n: int) -> bool:
-        return self.state().get(f"buckets:{name}") == str(n)
+        return self.snapshot().has_buckets(name, n)
 
     def buckets(self, name: str, numbers: list[int]) -> DataFrame:
-        """The rows of some buckets of a table that has_buckets(); the others aren't read."""
-        found = [v for v in self.state()[name].split(",") if int(v.rsplit("=", 1)[1]) in numbers]
-        return self._load(name, ",".join(found)) if found else self.table(name).limit(0)
+        return self.snapshot().buckets(name, numbers)
 
     def _write(self, name: str, df: DataFrame, level: int = 0) -> str:
         version = f"{level}-{uuid.uuid4().hex}"
@@ -106,13 +135,17 @@ class Store:
             level += 1
         return ",".join(folders)
 
-    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, batch: tuple[str, int] | None = None, patched: dict[str, tuple[DataFrame, str, int, list[int] | None]] | None = None) -> bool:
-        """SNK-2, SNK-3, SNK-4. patched: table -> rows, key, number of buckets, and the buckets to replace (None: all)."""
-        pointers = self._pointers()
-        last = pointers[-1] if pointers else 0
-        state = self._read(last) if last else {}
+    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, batch: tuple[str, int] | None = None, patched: dict[str, tuple[DataFrame, str, int, list[int] | None]] | None = None, base: Snapshot | None = None) -> bool:
+        """SNK-2, SNK-3, SNK-4. patched: table -> rows, key, number of buckets, and the buckets to replace (None: all).
+
+        base: the snapshot that the frames were computed from.
+        """
+        now = self.snapshot()
+        last, state = now.number, dict(now.state)
         if batch is not None and batch[1] <= int(state.get(f"stream:{batch[0]}", "-1")):
             return False
+        if base is not None and base.number != last:
+            raise CommitConflict("another commit came first")
         for name, df in (replaced or {}).items():
             state[name] = self._write(name, df)
             state.pop(f"buckets:{name}", None)

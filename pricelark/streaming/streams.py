@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricelark.operators.merge import bulk_merge
 from pricelark.operators.stateful import ATTEMPTS_A_DAY, DISTINCT_VARIANTS, STRIKES
-from pricelark.operators.store import Store, bucket
+from pricelark.operators.store import CommitConflict, Store, bucket
 from pricelark.session import workers_find_package
 
 
@@ -145,8 +145,8 @@ BUCKETS = 64
 def merge_batches(captures: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """STF-1, STF-6, STF-7, MRG-1: each micro-batch is merged into the store's variants, sites and history.
 
-    A batch that is run again after a failure finds its stream's number in the
-    store and does nothing; streams are told apart by the id in their
+    If another writer commits in between, the batch is merged anew. A batch that
+    is run again after a failure finds its stream's number in the store and does nothing; streams are told apart by the id in their
     checkpoint. An empty batch is left out. The first batch divides variants
     into buckets by their ids; later ones read and rewrite those that they
     touch. Spark's tasks are the consumers; how much a batch takes is bounded
@@ -157,10 +157,15 @@ def merge_batches(captures: DataFrame, store: Store, checkpoint: str, trigger: d
     def merge(batch: DataFrame, number: int) -> None:
         started.wait()
         touched = [r[0] for r in batch.select(bucket(F.col("variant_id"), buckets)).distinct().collect()]  # at most `buckets` numbers
-        if touched:
-            divided = store.has_buckets("variants", buckets)
-            done = bulk_merge(store.buckets("variants", touched) if divided else store.table("variants"), store.table("sites"), batch, checked=True)
-            store.commit({"sites": done.sites}, {"history": done.history}, batch=(query[0].id, number), patched={"variants": (done.variants, "variant_id", buckets, touched if divided else None)})
+        while touched:
+            seen = store.snapshot()
+            divided = seen.has_buckets("variants", buckets)
+            done = bulk_merge(seen.buckets("variants", touched) if divided else seen.table("variants"), seen.table("sites"), batch, checked=True)
+            try:
+                store.commit({"sites": done.sites}, {"history": done.history}, batch=(query[0].id, number), patched={"variants": (done.variants, "variant_id", buckets, touched if divided else None)}, base=seen)
+                return
+            except CommitConflict:  # merge anew into what the other writer left
+                continue
 
     query.append(captures.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start())
     started.set()
