@@ -125,6 +125,21 @@ def recent_attempts(metrics: DataFrame, failures: DataFrame, k: int = 5) -> Data
     return top.join(hit, top["variant_id"] == hit["v"], "left").select("variant_id", "last_attempt_at", F.col("v").isNotNull().alias("has_failure"))
 
 
+def attempt_stamps(attempts: DataFrame) -> DataFrame:
+    """STF-2's stamp: a variant's first attempt of the last day that it was tried on. Partial minima, then a row per day."""
+    days = attempts.groupBy("variant_id", F.to_date("attempted_at").alias("day")).agg(F.min("attempted_at").alias("first"))
+    return days.groupBy("variant_id").agg(F.max("first").alias("last_attempt_at"))
+
+
+def recent_attempts_by_stamp(attempts: DataFrame, variants: DataFrame, sites: DataFrame, failures: DataFrame, k: int = 5) -> DataFrame:
+    """TOP-2, JN-12: variants by the stamp of their last attempts, which only a day's first one sets; has_failure: since the last good capture."""
+    top = variants.join(attempt_stamps(attempts), "variant_id").orderBy(F.desc("last_attempt_at"), "variant_id").limit(k)
+    f = failures.select(F.col("variant_id").alias("v"), "failed_at")
+    hit = f.join(F.broadcast(top.select("variant_id", "updated_at")), (F.col("v") == F.col("variant_id")) & (F.col("updated_at").isNull() | (F.col("failed_at") >= F.col("updated_at"))), "left_semi").select("v").distinct()  # top has k rows
+    named = top.join(sites.select("site_id", "site_name"), "site_id", "left").join(hit, F.col("variant_id") == F.col("v"), "left")
+    return named.select("variant_id", "variant_name", F.coalesce("site_name", F.lit("N/A")).alias("site_name"), "last_attempt_at", F.col("v").isNotNull().alias("has_failure"))
+
+
 def limit_exceeded(variants: DataFrame, limit: int = 10) -> DataFrame:
     """FLT-7."""
     return variants.where(F.col("active") & (F.col("attempts_today") >= limit)).select("variant_id", "variant_name", "attempts_today")
@@ -185,6 +200,13 @@ def quality_by_method(metrics: DataFrame, sites: DataFrame, as_of: str, days: in
     return rows.groupBy(F.coalesce("method", F.lit(DEFAULT_SOURCE)).alias("method"), F.coalesce("source", F.lit(DEFAULT_SOURCE)).alias("source")).agg(F.count("*").alias("total"), _success().alias("success_pct"), _zero(F.avg(F.when(F.col("ok"), F.col("confidence")))).alias("mean_confidence"), _zero(F.avg("latency_ms")).alias("mean_latency"))
 
 
+def attempt_sessions(metrics: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Runs of a site's attempts without a pause longer than `gap`. Spark merges sessions in each task before it shuffles them."""
+    timed = metrics.withColumn("at_", F.col("recorded_at").cast("timestamp"))
+    found = timed.groupBy("site_id", F.session_window("at_", gap).alias("w")).agg(F.count("*").alias("attempts"), F.count_if(~F.col("ok")).alias("failed"), F.min("recorded_at").alias("first_at"), F.max("recorded_at").alias("last_at"))
+    return found.select("site_id", "first_at", "last_at", "attempts", "failed")
+
+
 # --- failures ----------------------------------------------------------------
 
 # Substrings of the overlapping failure classes.
@@ -313,11 +335,25 @@ def price_chart(history: DataFrame, variants: DataFrame, as_of: str, k: int = 7)
     return points.unionByName(bare).select("product_id", "variant_id", date_label(F.col("day")).alias("label"), "price")
 
 
-def change_points(history: DataFrame) -> DataFrame:
-    """WIN-8, WIN-9: captures that are first or differ from the one before, with its price."""
-    onward = Window.partitionBy("variant_id").orderBy(*_ORDER)
-    rows = history.withColumns({"prev_price": F.lag("price").over(onward), "prev_stock": F.lag("in_stock").over(onward)})
-    return rows.where(F.col("prev_price").isNull() | (F.col("price") != F.col("prev_price")) | (F.col("in_stock") != F.col("prev_stock"))).drop("prev_stock")
+def change_points(history: DataFrame, block: str = "year") -> DataFrame:
+    """WIN-8, WIN-9: captures that are first or differ from the one before, with its price.
+
+    A variant's captures are cut into blocks of time. The last capture of a
+    block is handed to the variant's next one as a row of its own, so a task
+    gets a block of a variant and never the variant, however busy it is; what
+    is gathered per variant is one entry per block of the calendar.
+    """
+    rows = history.withColumn("block_", F.date_trunc(block, "captured_at"))
+    state = F.struct(*_ORDER, "in_stock")
+    ends = rows.groupBy("variant_id", "block_").agg(F.max(state).alias("end"))
+    held = ends.groupBy("variant_id").agg(F.sort_array(F.collect_list(F.struct("block_", "end"))).alias("ends"))
+    handed = F.transform(F.col("ends"), lambda e, i: F.struct(e["block_"].alias("block_"), F.when(i > 0, F.element_at(F.col("ends"), F.greatest(i, F.lit(1)))["end"]).alias("end")))
+    carried = held.select("variant_id", F.explode(handed).alias("h")).where("h.end IS NOT NULL").select("variant_id", F.col("h.block_").alias("block_"), "h.end.*")
+    both = rows.withColumn("own_", F.lit(True)).unionByName(carried.withColumn("own_", F.lit(False)), allowMissingColumns=True)
+    onward = Window.partitionBy("variant_id", "block_").orderBy("own_", *_ORDER)
+    rows = both.withColumns({"prev_price": F.lag("price").over(onward), "prev_stock": F.lag("in_stock").over(onward), "first_": F.lag("own_").over(onward).isNull()}).where("own_")
+    differs = F.col("first_") | F.col("prev_price").isNull() | (F.col("price") != F.col("prev_price")) | (F.col("in_stock") != F.col("prev_stock"))
+    return rows.where(differs).drop("prev_stock", "own_", "first_", "block_")
 
 
 # --- queues ------------------------------------------------------------------

@@ -131,12 +131,19 @@ def cascade_delete(products: DataFrame, variants: DataFrame, history: DataFrame,
     return {"products": without(products, product_ids, "product_id", "product_id"), "variants": without(variants, gone, "variant_id"), "history": without(history, gone, "variant_id"), "failures": without(failures, gone, "variant_id")}
 
 
-def apply_updates(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """MRG-10, MRG-11: sets the columns of `updates` where it has the key; a null in it sets nothing."""
+def cascade_delete_sites(sites: DataFrame, variants: DataFrame, history: DataFrame, failures: DataFrame, site_ids: DataFrame) -> dict[str, DataFrame]:
+    """MRG-8: sites with their variants, and these with their history and failures. What is left of each table."""
+    gone = variants.join(site_ids, "site_id", "left_semi").select("variant_id")
+    return {"sites": without(sites, site_ids, "site_id", "site_id"), "variants": without(variants, site_ids, "site_id", "site_id"), "history": without(history, gone, "variant_id"), "failures": without(failures, gone, "variant_id")}
+
+
+def apply_updates(rows: DataFrame, updates: DataFrame, key: str, clears: bool = False) -> DataFrame:
+    """MRG-10, MRG-11: sets the columns of `updates` where it has the key; a null in it sets nothing, or null if it `clears`."""
     fields = [c for c in updates.columns if c != key]
     u = updates.select(F.col(key).alias("u_key"), *(F.col(c).alias(f"u_{c}") for c in fields))
     joined = rows.join(u, F.col(key) == F.col("u_key"), "left")
-    return joined.select(*(F.coalesce(f"u_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns))
+    new = lambda c: F.when(F.col("u_key").isNotNull(), F.col(f"u_{c}")).otherwise(F.col(c)) if clears else F.coalesce(f"u_{c}", c)
+    return joined.select(*(new(c).alias(c) if c in fields else F.col(c) for c in rows.columns))
 
 
 def reset_attempts(variants: DataFrame) -> DataFrame:
@@ -193,6 +200,37 @@ def new_products(cards: DataFrame, variants: DataFrame) -> DataFrame:
     return one.withColumns({"price": F.when(F.col("price") > 0, F.col("price")), "brand": normalize_brand(F.col("brand"))})
 
 
+# What products of saved categories say.
+GENERAL, FROM_CATEGORY = "General", "Creado automáticamente desde extractor de categorías (%s) el %s."
+
+
+def save_category(cards: DataFrame, sites: DataFrame, products: DataFrame, variants: DataFrame, as_of: str, brand: str = "", category: str = "", product_id: int | None = None) -> dict[str, DataFrame]:
+    """MRG-6 over cards (card_id, site_id, name, sku, url, price, image_url) that are saved in the order of their ids.
+
+    A card that new_products() lets through makes a product of its own (brand:
+    the given one or else the site's name; category: the given one or else
+    General), or joins the given product, and a variant in stock; one with a
+    price above 0 makes a history row. Ids follow the highest ones. Returns the
+    whole tables products and variants, the new history rows, and one row with
+    the numbers of created and linked products.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    fresh = new_products(cards.withColumn("brand", F.lit(None).cast("string")), variants).drop("brand")
+    placed = materialise(numbered(fresh.join(sites.select("site_id", "site_name"), "site_id", "left"), "card_id"), "category-cards")
+    follow = lambda df, c: df.agg(F.coalesce(F.max(c).cast("long"), F.lit(0)) + 1).first()[0]
+    own = F.lit(product_id).cast("long") if product_id is not None else F.col("i") + follow(products, "product_id")
+    placed = placed.withColumns({"p_": own, "v_": F.col("i") + follow(variants, "variant_id")})
+    label = F.coalesce("site_name", F.lit(""))
+    said = {"product_id": F.col("p_"), "product_name": F.col("name"), "brand": F.lit(brand) if brand.strip() else label, "category": F.lit(category if category.strip() else GENERAL), "description": F.format_string(FROM_CATEGORY, label, F.date_format(now, "dd/MM/yyyy")), "created_at": now}
+    state = {"variant_id": F.col("v_"), "product_id": F.col("p_"), "site_id": F.col("site_id"), "sku": F.coalesce("sku", F.lit("")), "variant_name": F.col("name"), "url": F.col("url"), "price": F.col("price"), "in_stock": F.lit(True), "updated_at": now, "attempts_today": F.lit(0), "last_attempt_at": now, "image_url": F.col("image_url"), "active": F.lit(True)}
+    like = lambda table, values: placed.select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields))
+    made = products.limit(0) if product_id is not None else like(products, said)
+    history = placed.where("price IS NOT NULL").select(F.col("v_").alias("variant_id"), "price", F.lit(True).alias("in_stock"), now.alias("captured_at"))
+    n = F.count("*")
+    counts = placed.agg((n if product_id is None else F.lit(0).cast("long")).alias("created"), (n if product_id is not None else F.lit(0).cast("long")).alias("linked"))
+    return {"products": products.unionByName(made), "variants": variants.unionByName(like(variants, state)), "history": history, "counts": counts}
+
+
 def _pieces(text: Column, lengths: Column) -> Column:
     """The substrings of a text that have one of the lengths; none for null."""
     of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substr(text, at, n))

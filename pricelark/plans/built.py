@@ -82,14 +82,14 @@ def extract_product_client_built(d: Domain) -> DataFrame:
     return got.select("page_id", "p.name", F.when(F.col("p.price") > 0, F.col("p.price")).alias("price"), "p.in_stock", "p.sku")
 
 
-@query("""SELECT 'https://s.example.com/l?page=' || s AS start, 'https://s.example.com/l?page=' || (s + n - 1) AS url, CAST(n AS INTEGER) AS page_no FROM (SELECT p_partkey AS s FROM part WHERE p_partkey % 5 = 0), (SELECT unnest(range(1, 4)) AS n) WHERE s + n - 1 <= (SELECT max(p_partkey) FROM part)""")
+@query("""SELECT 'https://s.example.com/l?page=' || s AS start, 'https://s.example.com/l?page=' || (s + n - 1) AS url, CAST(n AS INTEGER) AS page_no FROM (SELECT p_partkey AS s FROM part WHERE p_partkey % 5 = 0), (SELECT unnest(range(1, 11)) AS n) WHERE s + n - 1 <= (SELECT max(p_partkey) FROM part)""")
 def follow_pages_built(d: Domain) -> DataFrame:
     """HTM-26, SET-4: every fifth page is a start, every page but the last names the one after it."""
     k, last = _key(), d.table("part").agg(F.max("p_partkey").alias("last"))
     url = lambda k: _text("https://s.example.com/l?page=", k)
     page = F.when(k < F.col("last"), _text('<a rel="next" href="/l?page=', k + 1, '">x</a>')).otherwise("<p>fin</p>")
     pages = _parts(d).crossJoin(F.broadcast(last)).select(url(k).alias("url"), page.alias("html"))  # one row
-    return udfs.follow_pages(_parts(d).where(k % 5 == 0).select(url(k).alias("url")), pages, 3)
+    return udfs.follow_pages(_parts(d).where(k % 5 == 0).select(url(k).alias("url")), pages)
 
 
 @query("SELECT p_partkey AS page_id, p_name || ', con ' || p_size || ' piezas, y otras cosas, que se venden en la tienda.' AS text FROM part")

@@ -28,16 +28,16 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from pricelark.plans import built, pages  # register their queries
+    from pricelark.plans import built, intake, pages  # register their queries
 
-    assert pages and built
+    assert pages and built and intake
     return {name: (lambda spark, sf_dir, f=f: f(Domain(spark, sf_dir))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from pricelark.plans import built, pages
+    from pricelark.plans import built, intake, pages
 
-    assert pages and built
+    assert pages and built and intake
     return dict(SQL)
 
 

@@ -67,9 +67,14 @@ class Domain:
 
     @cached_property
     def variants(self) -> DataFrame:
-        """Current state: the last capture of each variant with the price before it (one window)."""
+        """Current state: the last capture of each variant with the price before it.
+
+        The first filter leaves two captures a variant, so that they are cut
+        before the shuffle (WindowGroupLimit); lead() beside it would keep all.
+        """
         last = Window.partitionBy("variant_id").orderBy(*(F.desc(c) for c in ("captured_at", "k1", "k2", "k3", "price")))
-        now = self.history.withColumns({"rn": F.row_number().over(last), "prev_price": F.lead("price").over(last)}).where("rn = 1")
+        two = self.history.withColumn("rn", F.row_number().over(last)).where("rn <= 2")
+        now = two.withColumn("prev_price", F.lead("price").over(Window.partitionBy("variant_id").orderBy("rn"))).where("rn = 1")
         v = F.col("variant_id")
         tail = F.when(v % 4 == 0, "?utm_source=feed").when(v % 4 == 1, "/").when(v % 4 == 2, "#top").otherwise("")
         return (

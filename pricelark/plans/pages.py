@@ -66,7 +66,7 @@ def extract_product_client(d: Domain) -> DataFrame:
 
 @query()
 def follow_pages(d: Domain) -> DataFrame:
-    return udfs.follow_pages(_pages(d).select("url"), _pages(d).select("url", "html"), 3)
+    return udfs.follow_pages(_pages(d).select("url"), _pages(d).select("url", "html"))
 
 
 @query("""SELECT page_id, regexp_matches(lower(html), 'px-captcha|challenge-platform|cf-challenge|mantén presionado|manten presionado|verifica tu identidad|human challenge|securitas|perimeterx') AS blocked,
