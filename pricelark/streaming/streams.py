@@ -1,100 +1,53 @@
 """Structured Streaming forms of the stateful rules (STF-1 to STF-10).
 
 State is keyed (variant or proxy), so it is spread by the key's hash and holds
-a few numbers per key. Rows of a key come unordered inside a micro-batch and
-are sorted there; a change that spans batches out of order isn't seen again,
-as in the batch rules. State needs a provider that survives lost executors;
-streams write their checkpoints to the folder they are given.
+a few numbers per key (state.py). Rows of a key come unordered inside a
+micro-batch and are sorted there; a change that spans batches out of order
+isn't seen again, as in the batch rules. The rules with state need RocksDB as
+the session's state store provider; streams write their checkpoints to the
+folder they are given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from threading import Event
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from pricelark.operators.analytics import failure_categories
 from pricelark.operators.merge import bulk_merge
-from pricelark.operators.stateful import ATTEMPTS_A_DAY, DISTINCT_VARIANTS, STRIKES
+from pricelark.operators.stateful import ATTEMPTS_A_DAY
 from pricelark.operators.store import CommitConflict, Store, bucket
 from pricelark.session import workers_find_package
+from pricelark.streaming import state
 
 
-def change_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """STF-1: captures of a variant that differ from the one before."""
-    last = state.get if state.exists else (None, None)
-    rows = pd.concat(list(parts)).sort_values(["captured_at", "price"], kind="stable")
-    keep = []
-    for price, stock in zip(rows["price"], rows["in_stock"], strict=True):
-        now = (str(price), bool(stock))
-        keep.append(now != last)
-        last = now
-    state.update(last)
-    yield rows[keep][["variant_id", "price", "in_stock", "captured_at"]]
+def _stated(rows: DataFrame, keys: list[str], processor: StatefulProcessor, time: str = "none") -> DataFrame:
+    workers_find_package(rows.sparkSession)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, processor.OUT, "append", time)
 
 
 def price_changes(captures: DataFrame) -> DataFrame:
     """STF-1 as a stream of change rows."""
-    workers_find_package(captures.sparkSession)
-    return captures.groupBy("variant_id").applyInPandasWithState(change_rows, "variant_id int, price decimal(18,2), in_stock boolean, captured_at timestamp_ntz", "price string, in_stock boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def attempt_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """STF-2: state is the day and its attempts."""
-    day, n = state.get if state.exists else ("", 0)
-    rows = pd.concat(list(parts)).sort_values(["attempted_at", "attempt_id"], kind="stable")
-    allowed, counts = [], []
-    for at in rows["attempted_at"]:
-        today = str(at.date())
-        if today != day:
-            day, n = today, 0
-        allowed.append(n < ATTEMPTS_A_DAY)
-        n = min(n + 1, ATTEMPTS_A_DAY)
-        counts.append(n)
-    state.update((day, n))
-    yield rows.assign(attempts_today=pd.Series(counts, index=rows.index, dtype="int32"), allowed=pd.Series(allowed, index=rows.index))[["attempt_id", "variant_id", "attempted_at", "attempts_today", "allowed"]]
-
-
-def limited_attempts(attempts: DataFrame) -> DataFrame:
-    workers_find_package(attempts.sparkSession)
-    return attempts.groupBy("variant_id").applyInPandasWithState(attempt_rows, "attempt_id long, variant_id long, attempted_at timestamp_ntz, attempts_today int, allowed boolean", "day string, n int", "append", GroupStateTimeout.NoTimeout)
-
-
-def health_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """STF-4: state is the failures in a row and whether the proxy is banned."""
-    n, banned = state.get if state.exists else (0, False)
-    rows = pd.concat(list(parts)).sort_values(["tried_at", "result_id"], kind="stable")
-    counts, bans = [], []
-    for ok in rows["ok"]:
-        n = 0 if ok else n + 1
-        banned = bool(banned or n >= STRIKES)
-        counts.append(n)
-        bans.append(banned)
-    state.update((n, banned))
-    yield rows.assign(failures=pd.Series(counts, index=rows.index, dtype="int64"), banned=pd.Series(bans, index=rows.index))[["result_id", "proxy_id", "tried_at", "ok", "failures", "banned"]]
-
-
-def proxy_health(results: DataFrame) -> DataFrame:
-    workers_find_package(results.sparkSession)
-    return results.groupBy("proxy_id").applyInPandasWithState(health_rows, "result_id long, proxy_id long, tried_at timestamp_ntz, ok boolean, failures long, banned boolean", "n long, banned boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def promotion_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """STF-3: state is a selector's variants so far; once there are enough they aren't looked at any more."""
-    known: list[int] = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(parts)).sort_values(["validated_at", "candidate_id"], kind="stable")
-    keep = []
-    for variant, price in zip(rows["variant_id"], rows["price"], strict=True):
-        fresh = price is not None and price > 0 and len(known) < DISTINCT_VARIANTS and int(variant) not in known
-        if fresh:
-            known.append(int(variant))
-        keep.append(fresh and len(known) == DISTINCT_VARIANTS)
-    state.update((known,))
-    yield rows[keep][["site_id", "xpath", "validated_at"]]
+    return _stated(captures, ["variant_id"], state.PriceChanges())
+
+
+def limited_attempts(attempts: DataFrame, limit: int = ATTEMPTS_A_DAY, keep_ms: int = state.DAY_MS) -> DataFrame:
+    """STF-2: attempts with their number of the day; a day's count expires `keep_ms` after its last change.
+
+    Expiry goes by processing time, for which Spark makes batches without rows
+    as long as the query runs; under availableNow set
+    spark.sql.streaming.noDataMicroBatches.enabled to false, so that it ends.
+    """
+    return _stated(attempts, ["variant_id"], state.AttemptLimiter(limit, keep_ms), "processingTime")
+
+
+def proxy_health(results: DataFrame, unban: bool = False, silent_ms: int = 0) -> DataFrame:
+    """STF-4: results with the failures in a row, the ban and, if they have latency_ms, the latency of the last success."""
+    return _stated(results, ["proxy_id"], state.ProxyHealth(unban=unban, silent_ms=silent_ms), "processingTime" if silent_ms else "none")
 
 
 def promotions(candidates: DataFrame) -> DataFrame:
@@ -102,28 +55,48 @@ def promotions(candidates: DataFrame) -> DataFrame:
 
     State is keyed by site and selector, so a busy site is spread and a key holds at most three ids.
     """
-    workers_find_package(candidates.sparkSession)
-    told = candidates.where("trim(xpath) <> ''")
-    return told.groupBy("site_id", "xpath").applyInPandasWithState(promotion_rows, "site_id long, xpath string, validated_at timestamp_ntz", "known array<long>", "append", GroupStateTimeout.NoTimeout)
+    return _stated(candidates.where("trim(xpath) <> ''"), ["site_id", "xpath"], state.SelectorPromotion())
 
 
-def escalation_rows(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """STF-5: state is the site's strategy."""
-    now = state.get[0] if state.exists else ""
-    weight = {"": 0, "Cloudflare": 3, "Heavy-JS": 2}
-    rows = pd.concat(list(parts)).sort_values(["detected_at", "detection_id"], kind="stable")
-    current = []
-    for s in rows["strategy"]:
-        if weight.get(s, 1) > weight.get(now, 1):
-            now = s
-        current.append(now)
-    state.update((now,))
-    yield rows.assign(current=pd.Series(current, index=rows.index, dtype=object))[["detection_id", "site_id", "detected_at", "strategy", "current"]]
+def escalations(detections: DataFrame) -> DataFrame:
+    """STF-5: detections with the site's strategy after each."""
+    return _stated(detections, ["site_id"], state.StrategyEscalation())
 
 
-def escalations(detections: DataFrame) -> DataFrame:
-    workers_find_package(detections.sparkSession)
-    return detections.groupBy("site_id").applyInPandasWithState(escalation_rows, "detection_id long, site_id long, detected_at timestamp_ntz, strategy string, current string", "strategy string", "append", GroupStateTimeout.NoTimeout)
+def site_sessions(metrics: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """An addition: sessions of a site's attempts; one is closed when the watermark has passed its gap, later rows are left out."""
+    timed = metrics.withColumn("at", F.col("recorded_at").cast("timestamp")).withWatermark("at", late)
+    found = timed.groupBy("site_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("attempts"), F.count_if(~F.col("ok")).alias("failed"), F.min("recorded_at").alias("first_at"), F.max("recorded_at").alias("last_at"))
+    return found.select("site_id", "first_at", "last_at", "attempts", "failed")
+
+
+def live_quality(metrics: DataFrame) -> DataFrame:
+    """STF-8, AGG-4: the figures of all attempts so far, a row that each batch updates (output mode complete or update)."""
+    return metrics.agg(F.count("*").alias("total"), F.round(F.count_if("ok") * 100.0 / F.count("*"), 6).alias("success_pct"), F.round(F.avg("latency_ms"), 6).alias("mean_latency"))
+
+
+def live_failures(failures: DataFrame) -> DataFrame:
+    """STF-8, AGG-12: the overlapping classes of all failures so far."""
+    return failure_categories(failures)
+
+
+def live_hours(metrics: DataFrame, late: str = "1 hour") -> DataFrame:
+    """STF-8: attempts per site and hour; hours that the watermark has passed leave the state, and rows for them are late and left out."""
+    timed = metrics.withColumn("at", F.col("recorded_at").cast("timestamp")).withWatermark("at", late)
+    return timed.groupBy("site_id", F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("total"), F.count_if(~F.col("ok")).alias("failed")).select("site_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "total", "failed")
+
+
+def keep_live(figures: DataFrame, store: Store, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """STF-8: a dashboard's table of figures, replaced as a whole after each batch; readers see the one or the other."""
+    started, query = Event(), []
+
+    def replace(batch: DataFrame, number: int) -> None:
+        started.wait()
+        store.commit({name: batch}, batch=(query[0].id, number))
+
+    query.append(figures.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+    started.set()
+    return query[0]
 
 
 def hourly_metrics(metrics: DataFrame, late: str = "1 hour") -> DataFrame:
