@@ -5,7 +5,8 @@ a window is WINDOW consecutive words of an item, or the whole item if it has
 fewer (but not none). A document word inside any occurrence is hit.
 
 A shard is a partition of documents, or as many of its documents in a row as
-have SHARD_WORDS words to index. Their words become ids of the benchmark's
+have SHARD_WORDS words to index; a text of more than LONG_BYTES is divided into
+shards that overlap by a window less a word. Their words become ids of the benchmark's
 vocabulary; a word that no item has is a break, because no window goes across
 it, and so is a run of known words shorter than the shortest window. What is
 left, with a break between runs, is indexed whole:
@@ -34,6 +35,7 @@ no documents give no rows, no items give rows without hits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -48,12 +50,17 @@ WINDOW = 10
 SAMPLE = 8
 #: Windows of the benchmark that are held on the driver and broadcast at once.
 BLOCK_WINDOWS = 500_000
-#: Words that an index holds, and rows and bytes that wait for it, at most (one document may have more).
+#: Words that an index holds, and rows and bytes that wait for it, at most.
 SHARD_WORDS, SHARD_ROWS, SHARD_BYTES = 1 << 20, 50_000, 64 << 20
+#: A longer text is a shard of its own for each so many of its bytes.
+LONG_BYTES = 4 << 20
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+_NO_WORD = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
+
 def words_of(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(_KEEP).split()
 
@@ -184,6 +191,43 @@ class Benchmark:
         return shard.flush()
 
 
+def merged(spans: list[tuple[int, int]], more: list[tuple[int, int]]) -> None:
+    """Adds spans to a list of disjoint ones; all are in order, but the added ones may reach back over the last of the list."""
+    back = []
+    while more and spans and spans[-1][1] >= more[0][0]:
+        back.append(spans.pop())
+    for start, end in sorted([*back, *more]):
+        if spans and start <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+        else:
+            spans.append((start, end))
+
+
+def chunks(data: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes that end where a word ends."""
+    at = 0
+    while at < len(data):
+        cut = _NO_WORD.search(data, at + size)
+        end = cut.start() if cut else len(data)
+        yield data[at:end]
+        at = end
+
+
+def scan_long(bench: Benchmark, data: bytes, size: int) -> tuple[int, list[tuple[int, int]], set[int]]:
+    """Benchmark.scan() of one long text, a chunk at a time; a chunk begins with the words before it that a window may still need."""
+    width = bench.patterns.shape[1]
+    n, tail, spans, items = 0, [], [], set()
+    for chunk in chunks(data, size):
+        whole = b" ".join([*tail, chunk])
+        counts, found, held = bench.scan([whole])
+        base = n - len(tail)
+        merged(spans, [(base + start, base + end) for start, end in found[0]])
+        items |= held[0]
+        n = base + counts[0]
+        tail = words_of(whole)[-(width - 1) :] if width > 1 else []
+    return n, spans, items
+
+
 class Shard:
     """Documents that wait to be indexed together."""
 
@@ -251,6 +295,12 @@ def _sharded(bench: Benchmark, batches: Iterator[pa.RecordBatch], column: str, k
             at += b.num_rows
 
     for b in pieces(batches, column):
+        if max((len(x) for x in b.column(column).cast(pa.binary()).to_pylist() if x is not None), default=0) > LONG_BYTES:
+            yield from found()
+            waiting, rows, size = [], 0, 0
+            done = [(0, [], set()) if x is None else scan_long(bench, x, LONG_BYTES) for x in b.column(column).cast(pa.binary()).to_pylist()]
+            yield (b.select(keep) if keep else b), [x[0] for x in done], [x[1] for x in done], [x[2] for x in done]
+            continue
         shard.add([None if x is None else x.encode() if isinstance(x, str) else x for x in b.column(column).to_pylist()])
         waiting.append(b.select(keep) if keep else b)
         rows, size = rows + b.num_rows, size + (b.nbytes if keep is None else 0)

@@ -179,19 +179,25 @@ class Profiles:
 
 
 def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Profiles | None:
-    """Profiles from text and lang of the rows where `usable` holds, lang isn't null and text has letters."""
-    keyed = docs.where(usable & F.col("lang").isNotNull() & (F.col("text").rlike(r"\p{L}"))).select("lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"))
+    """Profiles from text and lang of the rows where `usable` holds, lang isn't null and text has letters.
+
+    Rows of one lang, id and text count once, so that copies can neither crowd
+    a language's other rows out nor all be learnt.
+    """
+    keyed = docs.where(usable & F.col("lang").isNotNull() & (F.col("text").rlike(r"\p{L}"))).select("lang", F.xxhash64("doc_id", "text").alias("h"))
+    keyed = materialise(keyed.distinct(), "language-keys")
     common = materialise(keyed.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")), "languages")
     if small(common):
         common = F.broadcast(common)
-    # The hash lets about 2 * sample rows of each language through, however frequent it is; the window ranks only these.
+    # The hash lets about 2 * sample keys of each language through, however frequent it is; the window ranks only these.
     place = F.pmod("h", F.lit(1 << 40))
     few = keyed.join(common, F.col("lang") == F.col("l")).where(place < F.lit(2.0 * sample * (1 << 40)) / F.col("n"))
     first = Window.partitionBy("lang").orderBy(place, "h")
-    chosen = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).select("h").distinct()
+    chosen = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).select(F.col("lang").alias("of"), "h")
     rows = docs.where(usable & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
     chosen = materialise(chosen, "language-sample")
-    rows = rows.join(F.broadcast(chosen) if small(chosen) else chosen, F.col("key") == F.col("h"), "left_semi").select("lang", "text")
+    rows = rows.join(F.broadcast(chosen) if small(chosen) else chosen, (F.col("key") == F.col("h")) & (F.col("lang") == F.col("of")), "left_semi")
+    rows = rows.groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")  # copies go before the shuffle
     found = materialise(with_batches(rows).mapInArrow(_map_vectors, "lang string, vector binary"), "language-vectors")
     sums: dict[str, np.ndarray] = {}
     for r in found.toLocalIterator():

@@ -12,16 +12,17 @@ its templates; if it isn't, the paragraph counts as `unknown`.
 Wrapped notices: words of neighbouring lines (without an empty one, or one of
 marks only, between) are read on. Where the word pairs of a template occur in
 its order, with few words between, over several lines, and are at least
-CONFIRM of it, these words are a paragraph of that family if the odds agree
-that it is a licence; of overlapping ones the one that has most of its
-template stays, and takes the place of what its lines alone were. Its line is
-the first one.
+CONFIRM of it, these words are a paragraph if the odds agree that it is a
+licence; its family is the likeliest one that a template confirms. Of
+overlapping ones the one that has most of its template stays, and takes the
+place of what its lines alone were. Its line is the first one.
 
 SPDX tags: each identifier of a family in a tag's expression is found as such,
-with odds and similarity 1, whatever its line alone would be.
+with the family's odds for a tag of that identifier alone; its template is the
+identifier, so the similarity is 1.
 
 Training: families from their templates and forms made from them (words
-dropped, other openings, other text before or behind); `unknown` from the same
+dropped, other openings, other text before or behind) and from SPDX tags; `unknown` from the same
 openings with names that no family has; `none` from at most LINES lines of at
 most SAMPLE documents, both chosen by hash: any line of a document may be, and
 is taken whole. Lines that hold `licen` or half of a template are left out of
@@ -168,10 +169,11 @@ def wrapped(words: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, str,
             share = len(new[3]) / _FLAT[t][1]
             if share >= CONFIRM and line[new[2]] < line[p + 1]:
                 whole.append((-share, -len(new[3]), new[2], p + 1, t))
-    out, taken = [], []
+    out: list[tuple[int, int, str, list[bytes]]] = []
+    free = np.ones(len(flat), dtype=bool)
     for _, _, a, b, t in sorted(whole):
-        if all(b < x or y < a for x, y in taken):
-            taken.append((a, b))
+        if free[a : b + 1].all():
+            free[a : b + 1] = False
             out.append((int(line[a]), int(line[b]), _FLAT[t][0], flat[a : b + 1]))
     return out
 
@@ -180,17 +182,19 @@ _TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _SPDX = {f.lower().encode(): f for f in FAMILIES} | {(f.lower() + x).encode(): f for f in FAMILIES if "GPL" in f for x in ("-only", "-or-later", "+")}
 
 
-def tags(data: bytes) -> list[tuple[int, str]]:
-    """Lines of SPDX tags with the families of their expressions; other identifiers are left to the classifier."""
-    out = []
+def tags(data: bytes) -> list[tuple[int, str, bytes]]:
+    """Lines of SPDX tags, the families of their expressions, and the tag with that identifier alone; other identifiers are left to the classifier."""
+    out, seen, line, at = [], set(), 0, 0
     for m in _TAG.finditer(data):
         parts = [x.strip(b".").lower() for x in re.findall(rb"[A-Za-z0-9.+-]+", m[1])]
-        k = data.count(b"\n", 0, m.start())
+        line, at = line + data.count(b"\n", at, m.start()), m.start()
         for i in range(0, len(parts), 2):
             if i and parts[i - 1] not in (b"and", b"or", b"with"):
                 break
-            if parts[i] in _SPDX and not (i and parts[i - 1] == b"with") and (k, _SPDX[parts[i]]) not in out:
-                out.append((k, _SPDX[parts[i]]))
+            family = _SPDX.get(parts[i])
+            if family and not (i and parts[i - 1] == b"with") and (line, family) not in seen:
+                seen.add((line, family))
+                out.append((line, family, b"SPDX-License-Identifier: " + parts[i]))
     return out
 
 
@@ -249,6 +253,9 @@ def _forms(background: list[list[bytes]]) -> list[tuple[int, list[bytes]]]:
                 opening = words_of(OPENINGS[j % len(OPENINGS)].encode())
                 kept = [w for w in body if j < len(OPENINGS) or len(body) < 8 or rng.random() > 0.05]
                 out.append((k, other(6 if j % 3 == 0 else 0) + opening + kept + other(10 if j % 2 else 0)))
+    for tag, family in _SPDX.items():
+        for j in range(FORMS // 4):
+            out.append((FAMILIES.index(family), (other(3) if j % 2 else []) + words_of(b"SPDX-License-Identifier: " + tag) + (other(3) if j % 3 == 2 else [])))
     for j in range(FORMS * 10):
         opening = words_of(OPENINGS[1 + j % (len(OPENINGS) - 1)].encode())
         tail = words_of((b"License", b"licence", b"Public License", b"terms", b"General License version 1")[j % 5])
@@ -296,10 +303,13 @@ def _map_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame) -> Model:
-    chosen = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).where(F.col("doc_id").isNotNull()).orderBy("h").limit(SAMPLE).select(F.col("doc_id").alias("c"), "h")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("c")) & (F.xxhash64("doc_id", "text") == F.col("h"))).select(F.col("text").cast("binary").alias("data"))
-    lines = sorted(bytes(r["line"]) for r in with_batches(rows).mapInArrow(_map_lines, "line binary").orderBy(F.xxhash64("line"), "line").limit(LINES).collect())
-    return fit([x.split() for x in lines])
+    """Rows of one id and text count once, and so does a line however many of the chosen documents have it."""
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).where(F.col("doc_id").isNotNull()).distinct()
+    chosen = keyed.orderBy("h", "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("c"), "h")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("c")) & (F.xxhash64("doc_id", "text") == F.col("h")))
+    rows = met.groupBy("c", "h").agg(F.first("text").alias("text")).select(F.col("text").cast("binary").alias("data"))  # copies go before the shuffle
+    lines = with_batches(rows).mapInArrow(_map_lines, "line binary").distinct().orderBy(F.xxhash64("line"), "line").limit(LINES)
+    return fit([x.split() for x in sorted(bytes(r["line"]) for r in lines.collect())])
 
 
 _FOUND = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
@@ -325,13 +335,21 @@ def scan_text(data: bytes | None, model: Model, slots: np.ndarray) -> list[dict]
                 family = "unknown"
         out.append({"line": k, "family": family, "probability": float(1 - odds[k, NONE] if family == "unknown" else odds[k, best[k]]), "similarity": alike})
     more = []
-    for first, last, family, notice in wrapped(words, hashes):
+    for first, last, _, notice in wrapped(words, hashes):
         p = model.odds(*features(notice), slots)[0]
         if 1 - p[NONE] >= THRESHOLD:
+            # the classifier's order of families decides; a template must confirm, as that which was met does
+            family = next(FAMILIES[k] for k in np.argsort(-p[:UNKNOWN], kind="stable") if similarity(notice, FAMILIES[k]) >= CONFIRM)
             more.append((first, last, {"line": first, "family": family, "probability": float(p[FAMILIES.index(family)]), "similarity": similarity(notice, family)}))
-    more += [(k, k, {"line": k, "family": f, "probability": 1.0, "similarity": 1.0}) for k, f in tags(data)]
-    for first, last, x in more:
-        out = [y for y in out if not (first <= y["line"] <= last and y["family"] in ("unknown", x["family"]))]
+    for k, family, tag in tags(data):
+        p = model.odds(*features(words_of(tag)), slots)[0]
+        more.append((k, k, {"line": k, "family": family, "probability": float(p[FAMILIES.index(family)]), "similarity": 1.0}))
+    if more:
+        taken: dict[int, set[str]] = {}
+        for first, last, x in more:
+            for k in range(first, last + 1):
+                taken.setdefault(k, {"unknown"}).add(x["family"])
+        out = [y for y in out if y["family"] not in taken.get(y["line"], ())]
     return sorted(out + [x for _, _, x in more], key=lambda x: (x["line"], x["family"]))
 
 

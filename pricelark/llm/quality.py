@@ -24,6 +24,7 @@ once per distinct (id, label) and row, and scored each.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +148,16 @@ def _map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE) -> Neighbours:
-    rows = with_batches(sample_labelled(docs, labels, label, usable, sample)).mapInArrow(_map_counts, "h long, label int, at binary, counts binary")
-    got = sorted((r["h"], r["label"], bytes(r["at"]), bytes(r["counts"])) for r in materialise(rows, "quality-counts").toLocalIterator())[:sample]
+    rows = materialise(with_batches(sample_labelled(docs, labels, label, usable, sample)).mapInArrow(_map_counts, "h long, label int, at binary, counts binary"), "quality-counts")
+    # Equal rows are one with a number, and which rows count is decided on a short list, so that copies don't come to the driver.
+    key = ["h", "label", "k"]
+    named = rows.groupBy("h", "label", "at", "counts").agg(F.count("*").alias("n")).withColumn("k", F.xxhash64("at", "counts"))
+    named = materialise(named, "quality-rows")
+    listed = named.select(*key, "n").orderBy(*key).limit(sample).collect()
+    wanted = rows.sparkSession.createDataFrame([tuple(r)[:3] for r in listed], "w_h long, w_label int, w_k long").distinct()
+    met = named.join(F.broadcast(wanted), (F.col("h") == F.col("w_h")) & (F.col("label") == F.col("w_label")) & (F.col("k") == F.col("w_k")))
+    several = sorted((r["h"], r["label"], bytes(r["at"]), bytes(r["counts"]), r["n"]) for r in met.toLocalIterator())
+    got = list(islice((x[:4] for x in several for _ in range(min(x[4], sample))), sample))
     counts = np.zeros((len(got), BINS), dtype=np.float32)
     for k, (_, _, at, values) in enumerate(got):
         counts[k, np.frombuffer(at, dtype="<u2")] = np.frombuffer(values, dtype="<f4")

@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pricelark.llm.common import drop_rows, join_groups, materialise, pieces, small, with_batches
 from pricelark.llm.components import components
@@ -72,13 +73,20 @@ def fingerprint(data: bytes | None) -> int:
 def _map_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "data"):
         found = np.array([fingerprint(x.as_py()) for x in b.column("data")], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fp"])
+        kept = [n for n in b.schema.names if n != "data"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(found)], names=[*kept, "fp"])
+
+
+def _whole(docs: DataFrame) -> bool:
+    """Whether ids are whole numbers by their type."""
+    return isinstance(docs.schema["doc_id"].dataType, IntegralType)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp (the 64 bits as a long) for every row."""
-    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("data"))
-    return with_batches(rows).mapInArrow(_map_fingerprints, "doc_id long, text_hash long, fp long")
+    """doc_id, text_hash, fp (the 64 bits as a long) for every row; `name`, the id as text, too if ids are of another type than whole numbers."""
+    name = [] if _whole(docs) else [F.col("doc_id").cast("string").alias("name")]
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), *name, F.col("text").cast("binary").alias("data"))
+    return with_batches(rows).mapInArrow(_map_fingerprints, f"doc_id long, text_hash long, {'name string, ' if name else ''}fp long")
 
 
 def covering_masks(kept: int = 0) -> list[int]:
@@ -170,12 +178,24 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     named = materialise(named, "fingerprint-roots")
     heads = named.groupBy(F.col("root").alias("head")).agg(F.min("least_id").alias("component_id"), F.count("*").alias("size"))
     ids = join_groups(named, heads, "root", "head", "size").select(F.col("fp").alias("node"), "component_id", "root", "rows")
-    return join_groups(rows, ids, "fp", "node", "rows").select("doc_id", "text_hash", "fp", "component_id", "root")
+    return join_groups(rows, ids, "fp", "node", "rows").select(*rows.columns, "component_id", "root")
+
+
+def _keep_named(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one() where ids aren't whole numbers by type: least whole number first, then least hash of the text, then least id as text."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "name")
+    heads = materialise(found.groupBy(F.col("root").alias("c")).agg(F.min(rank).alias("stays"), F.count("*").alias("n")), "near-heads")
+    gone = join_groups(found, heads, "root", "c", "n").where(~rank.eqNullSafe(F.col("stays"))).select(F.col("name").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    gone = materialise(gone.distinct(), "gone")
+    same = docs["doc_id"].cast("string").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"])
+    return docs.join(F.broadcast(gone) if small(gone) else gone, same, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with its smallest doc_id."""
     found = materialise(near_dedup(docs), "near-found")
+    if not _whole(docs):
+        return _keep_named(docs, found)
     gone = found.where("component_id IS DISTINCT FROM doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     # Only components whose least id is repeated, or that have no id, have several rows here; the least text hash stays.
     heads = found.where("component_id <=> doc_id").select("doc_id", "root", "text_hash")
