@@ -85,13 +85,15 @@ def stale(as_of: str) -> Column:
     return F.col("active") & (F.col("updated_at").isNull() | (F.col("updated_at") < F.date_trunc("DAY", ts(as_of).cast("timestamp")).cast("timestamp_ntz")))
 
 
-def dashboard_kpis(sites: DataFrame, products: DataFrame, variants: DataFrame, history: DataFrame, as_of: str) -> DataFrame:
-    """AGG-1, SRC-9: one row of counts."""
+def dashboard_kpis(sites: DataFrame, products: DataFrame, variants: DataFrame, history: DataFrame | int, as_of: str) -> DataFrame:
+    """AGG-1, SRC-9: one row of counts. history: the rows, or their number (sources.ingest.row_count of a saved table)."""
     a = sites.agg(F.count_if("active").alias("active_sites"))
     b = products.agg(F.count("*").alias("products"))
     c = variants.agg(F.count("*").alias("variants"), F.count_if(stale(as_of)).alias("stale_variants"))
-    d = history.agg(F.count("*").alias("history_rows"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)  # single rows
+    counts = a.crossJoin(b).crossJoin(c)  # single rows
+    if isinstance(history, int):
+        return counts.withColumn("history_rows", F.lit(history).cast("long"))
+    return counts.crossJoin(history.agg(F.count("*").alias("history_rows")))
 
 
 def recent_price_changes(variants: DataFrame, sites: DataFrame, k: int = 5) -> DataFrame:

@@ -171,6 +171,15 @@ def write_sorted_history(history: DataFrame, path: str, partitions: int) -> None
     history.repartitionByRange(partitions, "variant_id").sortWithinPartitions("variant_id", "captured_at").write.parquet(path)
 
 
+def save_by_variant(variants: DataFrame, history: DataFrame, buckets: int, prefix: str = "") -> tuple[str, str]:
+    """SRC-1: both tables in the catalogue, in buckets of variant_id and sorted in them, so that joins, means and ranks by variant shuffle neither."""
+    names = f"{prefix}variants", f"{prefix}history"
+    for name, rows, order in zip(names, (variants, history), (("variant_id",), ("variant_id", "captured_at")), strict=True):
+        dealt = rows.repartition(buckets, "variant_id")  # a bucket is one file
+        dealt.write.mode("overwrite").bucketBy(buckets, "variant_id").sortBy(*order).saveAsTable(name)
+    return names
+
+
 def write_batch(items: DataFrame, path: str) -> None:
     """SNK-5: gzip JSON lines."""
     items.write.option("compression", "gzip").json(path)

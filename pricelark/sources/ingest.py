@@ -17,9 +17,21 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def footer_count(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-9: one row with the number of rows of a saved table, from the files' footers alone.
+
+    Only the newer reader of Parquet hands counts to the footers; a session of
+    its own has it switched on, so the caller's settings stay.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.count("*").alias("rows"))
+
+
 def row_count(spark: SparkSession, path: str) -> int:
-    """SRC-9: from the files' footers."""
-    return spark.read.parquet(path).count()
+    """SRC-9."""
+    return footer_count(spark, path).first()["rows"]
 
 
 def read_bulk(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelark import schemas
@@ -18,10 +20,50 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     Names like `log-YYYYMM.json` in the path prune whole months.
     """
     rows = spark.read.schema(schemas.LOG).option("mode", "DROPMALFORMED").json(path)
-    return rows.where(F.coalesce(*(F.col(f"`{c}`") for c in rows.columns)).isNotNull()).select(
-        F.to_timestamp(F.col("`@t`")).alias("at"), log_level_record(F.col("`@l`")).alias("level"), F.coalesce(F.col("`@m`"), F.col("`@mt`"), F.lit("")).alias("message"),
-        F.col("JobId").alias("job_id"), F.col("TraceId").alias("trace_id"), F.col("ProductSKU").alias("sku"), F.col("SourceContext").alias("source"), F.col("`@x`").alias("exception"),
-    )
+    return rows.where(F.coalesce(*(F.col(f"`{c}`") for c in rows.columns)).isNotNull()).select(*_record(lambda c: F.col(f"`{c}`")))
+
+
+def _record(of: Callable[[str], Column]) -> list[Column]:
+    """The columns of a log record."""
+    return [
+        F.to_timestamp(of("@t")).alias("at"), log_level_record(of("@l")).alias("level"), F.coalesce(of("@m"), of("@mt"), F.lit("")).alias("message"),
+        of("JobId").alias("job_id"), of("TraceId").alias("trace_id"), of("ProductSKU").alias("sku"), of("SourceContext").alias("source"), of("@x").alias("exception"),
+    ]
+
+
+def log_lines(spark: SparkSession, path: str, first_month: str | None = None, last_month: str | None = None) -> DataFrame:
+    """SRC-5, TOP-8: the records of read_logs() with where they stand: file, split (where it begins), and place_ (ascending in a split).
+
+    Months (YYYYMM) prune files `log-YYYYMM.json` by their names before any is
+    read. A split is read by one task from its beginning, so places in it don't
+    depend on how splits are dealt out.
+    """
+    name = F.col("_metadata.file_name")
+    lines = spark.read.text(path)
+    if first_month:
+        lines = lines.where(name >= f"log-{first_month}")
+    if last_month:
+        lines = lines.where(name <= f"log-{last_month}.json")
+    told = F.from_json("value", f"{schemas.LOG}, bad_ string", {"columnNameOfCorruptRecord": "bad_"})
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place_"), told.alias("r"))
+    any_ = F.coalesce(*(F.col("r").getField(c) for c in ("@t", "@m", "@mt", "@l", "JobId", "TraceId", "ProductSKU", "SourceContext", "@x")))
+    return placed.where(F.col("r").isNotNull() & F.col("r.bad_").isNull() & any_.isNotNull()).select("file", "split", "place_", *_record(lambda c: F.col("r").getField(c)))
+
+
+def log_page_by_line(lines: DataFrame, page: int, size: int) -> DataFrame:
+    """TOP-8: a page of log_lines() (filtered or not) in the reverse order of the files.
+
+    Counts of the splits (a row per split) and their running sum number the
+    lines; only the splits' own tasks order their lines.
+    """
+    counts = lines.groupBy("file", "split").agg(F.count("*").alias("n_"))
+    order = Window.orderBy(F.desc("file"), F.desc("split"))
+    behind = counts.select(F.col("file").alias("f_"), F.col("split").alias("s_"), (F.sum("n_").over(order) - F.col("n_")).alias("behind_"))
+    last = Window.partitionBy("file", "split").orderBy(F.desc("place_"))
+    met = lines.withColumn("back_", F.row_number().over(last)).join(F.broadcast(behind), (F.col("file") == F.col("f_")) & (F.col("split") == F.col("s_")))
+    skip = max(0, page - 1) * size
+    here = met.withColumn("line_", F.col("behind_") + F.col("back_") - 1).where(F.col("line_").between(skip, skip + size - 1))
+    return here.orderBy("line_").drop("file", "split", "place_", "back_", "f_", "s_", "behind_", "line_")
 
 
 def parse_push(bodies: DataFrame, column: str = "body") -> DataFrame:

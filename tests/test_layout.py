@@ -1,0 +1,112 @@
+"""Saved layouts: what the plans shuffle, what footers answer, which files are read, and the order of log lines."""
+
+import json
+
+import duckdb
+
+from pricelark.operators import analytics as an
+from pricelark.operators import merge as mg
+from pricelark.operators.store import save_by_variant
+from pricelark.plans.catalog import oracle_sql
+from pricelark.plans.domain import HISTORY_AS_OF, Domain
+from pricelark.sources import ingest, logs
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(df, key):
+    return [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x and key in x]
+
+
+def test_bucketed_tables_are_not_shuffled(spark, sf):
+    d = Domain(spark, sf)
+    names = save_by_variant(d.variants, d.history, 4, "layout_")
+    variants, history = (spark.table(n) for n in names)
+    found = an.discount_opportunities(variants, d.products, d.sites, history)
+    assert exchanges(an.discount_opportunities(d.variants, d.products, d.sites, d.history), "variant_id") and not exchanges(found, "variant_id")
+    assert sorted(map(str, found.collect())) == sorted(map(str, an.discount_opportunities(d.variants, d.products, d.sites, d.history).collect()))
+    last = an.last_captures(history)
+    assert not exchanges(last, "variant_id") and last.count() == an.last_captures(d.history).count()
+
+
+def test_variants_are_cut_before_the_shuffle(spark, sf):
+    assert "WindowGroupLimit" in plan(Domain(spark, sf).variants)
+
+
+def test_changes_have_no_window_by_variant_alone(spark, sf):
+    text = plan(an.change_points(Domain(spark, sf).history))
+    windows = [x for x in text.splitlines() if " Window [" in x]
+    assert windows and all("block_" in x for x in windows)
+
+
+def test_count_from_footers(spark, sf, tmp_path):
+    d = Domain(spark, sf)
+    d.history.repartition(3).write.parquet(str(tmp_path / "h"))
+    counted = ingest.footer_count(spark, str(tmp_path / "h"))
+    assert "PushedAggregation: [COUNT(*)]" in counted._jdf.queryExecution().toString()
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+    got = an.dashboard_kpis(d.sites, d.products, d.variants, ingest.row_count(spark, str(tmp_path / "h")), HISTORY_AS_OF)
+    duck = duckdb.connect()
+    for t in ("region", "nation", "supplier", "part", "lineitem", "events"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert tuple(got.first()) == duck.execute(oracle_sql()["dashboard_kpis"]).fetchone()
+
+
+def files_read(df):
+    df.collect()
+    leaves, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        p = stack.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            p = p.executedPlan()
+        if p.metrics().contains("numFiles"):
+            leaves += p.metrics().apply("numFiles").value()
+        kids = p.children()
+        stack += [kids.apply(k) for k in range(kids.size())]
+    return leaves
+
+
+def test_log_lines(spark, tmp_path):
+    """Three files of several splits each, against a plain reader; malformed and blank lines are left out."""
+    for month in ("202401", "202402", "202403"):
+        with open(tmp_path / f"log-{month}.json", "w") as f:
+            for k in range(300):
+                f.write(json.dumps({"@t": "2024-01-01T00:00:00Z", "@m": f"{month} {k}", "@l": "Error" if k % 3 else "w"}) + "\n" + ("{bad\n\n" if k % 50 == 0 else ""))
+    plain = [json.loads(x)["@m"] for m in ("202401", "202402", "202403") for x in open(tmp_path / f"log-{m}.json") if x.startswith('{"')][::-1]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = logs.log_lines(spark, str(tmp_path))
+        assert lines.select("file", "split").distinct().count() > 6
+        for page, size in ((1, 7), (2, 250), (4, 250), (5, 250)):
+            assert [r["message"] for r in logs.log_page_by_line(lines, page, size).collect()] == plain[(page - 1) * size : page * size]
+        some = logs.filter_logs(lines, "warning")
+        assert [r["message"] for r in logs.log_page_by_line(some, 2, 10).collect()] == [m for m in plain if int(m.split()[1]) % 3 == 0][10:20]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert files_read(logs.log_lines(spark, str(tmp_path))) == 3
+    assert files_read(logs.log_lines(spark, str(tmp_path), "202402", "202402")) == 1
+    assert logs.log_lines(spark, str(tmp_path), "202402").count() == 600
+
+
+def test_clearing_a_field(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, selector string, other string")
+    updates = spark.createDataFrame([(1, None)], "id int, selector string")
+    assert [tuple(r) for r in mg.apply_updates(rows, updates, "id", clears=True).orderBy("id").collect()] == [(1, None, "x"), (2, "b", "y")]
+    assert [tuple(r) for r in mg.apply_updates(rows, updates, "id").orderBy("id").collect()] == [(1, "a", "x"), (2, "b", "y")]
+
+
+def test_saved_cards(spark):
+    """A card without a price has no history; one product may be given to all; ids follow the highest."""
+    cards = spark.createDataFrame([(3, 1, "C", "k3", "u3", 5.0, None), (1, 1, "A", None, "u1", 0.0, "i"), (2, 1, "B", "old", "u2", 5.0, None)], "card_id long, site_id int, name string, sku string, url string, price double, image_url string")
+    cards = cards.withColumn("price", cards["price"].cast("decimal(18,2)"))
+    sites = spark.createDataFrame([(1, "Tienda")], "site_id int, site_name string")
+    products = spark.createDataFrame([(40, "P", "B", "c", None)], "product_id long, product_name string, brand string, category string, description string")
+    variants = spark.createDataFrame([(90, 40, 1, "OLD", "v", "u", None, None, True, True)], "variant_id long, product_id long, site_id int, sku string, variant_name string, url string, price decimal(18,2), prev_price decimal(18,2), in_stock boolean, active boolean")
+    out = mg.save_category(cards, sites, products, variants, "2024-05-01 10:00:00")
+    assert sorted((r["product_id"], r["product_name"], r["brand"], r["category"], r["description"]) for r in out["products"].collect()) == [(40, "P", "B", "c", None), (41, "A", "Tienda", "General", mg.FROM_CATEGORY % ("Tienda", "01/05/2024")), (42, "C", "Tienda", "General", mg.FROM_CATEGORY % ("Tienda", "01/05/2024"))]
+    assert sorted((r["variant_id"], r["product_id"], r["sku"], r["price"] is None, r["in_stock"]) for r in out["variants"].collect()) == [(90, 40, "OLD", True, True), (91, 41, "", True, True), (92, 42, "k3", False, True)]
+    assert [(r["variant_id"], int(r["price"])) for r in out["history"].collect()] == [(92, 5)] and tuple(out["counts"].first()) == (2, 0)
+    linked = mg.save_category(cards, sites, products, variants, "2024-05-01 10:00:00", product_id=40)
+    assert linked["products"].count() == 1 and {r["product_id"] for r in linked["variants"].collect()} == {40} and tuple(linked["counts"].first()) == (0, 2)
