@@ -8,6 +8,7 @@ whole number counts as null.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import string
@@ -94,6 +95,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 _HELD: dict = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: allocators keep it otherwise, and a worker that goes on to another operator holds both."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def worker_table(key, make: Callable):
     """What make() made for this key in this Python worker.
 
@@ -101,8 +111,9 @@ def worker_table(key, make: Callable):
     kept, so a session that runs many operators doesn't add them up.
     """
     if key not in _HELD:
-        _HELD.clear()
-        gc.collect()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD[key] = make()
     return _HELD[key]
 

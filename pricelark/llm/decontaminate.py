@@ -41,6 +41,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -295,7 +296,7 @@ def _sharded(bench: Benchmark, batches: Iterator[pa.RecordBatch], column: str, k
             at += b.num_rows
 
     for b in pieces(batches, column):
-        if max((len(x) for x in b.column(column).cast(pa.binary()).to_pylist() if x is not None), default=0) > LONG_BYTES:
+        if (pc.max(pc.binary_length(b.column(column))).as_py() or 0) > LONG_BYTES:
             yield from found()
             waiting, rows, size = [], 0, 0
             done = [(0, [], set()) if x is None else scan_long(bench, x, LONG_BYTES) for x in b.column(column).cast(pa.binary()).to_pylist()]
