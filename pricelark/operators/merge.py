@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pricelark.functions.text import NO_BRAND, normalize_brand, normalize_sku
 from pricelark.functions.urls import clean_product_url, host_of, normalize_image_url
+from pricelark.operators.contains import holders
 from pricelark.operators.stateful import numbered
 from pricelark.scratch import materialise, shuffle_partitions
 from pricelark.session import checked_broadcast
@@ -154,13 +155,15 @@ def reset_attempts(variants: DataFrame) -> DataFrame:
 def resolve_sites(items: DataFrame, sites: DataFrame) -> DataFrame:
     """FLT-14: the site of lowest id whose base URL has the item's domain; null if none has.
 
-    Domains are made distinct first. Sites are broadcast if a count says that
-    they are few, as no equality ties the two.
+    Distinct domains meet distinct base URLs by their rarest anchors, so no
+    site is compared with every domain. Both are written first, as they are
+    read several times.
     """
     d = F.lower(F.trim("domain"))
-    asked = items.select(d.alias("d")).distinct().where("d <> ''")
-    found = asked.join(checked_broadcast(sites.select(F.col("site_id").alias("s"), "url_base")), F.contains("url_base", F.col("d"))).groupBy("d").agg(F.min("s").alias("site_id"))
-    return items.join(found, d == F.col("d"), "left").drop("d")
+    asked = materialise(items.select(d.alias("part")).where("part <> ''").distinct().select(F.lit(0).alias("at"), "part"), "domains")
+    bases = materialise(sites.groupBy(F.col("url_base").alias("text")).agg(F.min("site_id").alias("site_id")).select(F.lit(0).alias("at"), "text", "site_id"), "site-bases")
+    found = holders(bases, asked).join(bases.drop("at"), "text").groupBy("part").agg(F.min("site_id").alias("site_id"))
+    return items.join(found, d == F.col("part"), "left").drop("part")
 
 
 def match_hosts(items: DataFrame, sites: DataFrame) -> DataFrame:
