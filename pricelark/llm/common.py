@@ -111,13 +111,18 @@ def worker_table(key, make: Callable):
     kept, so a session that runs many operators doesn't add them up.
     """
     if key not in _HELD:
-        if _HELD:
-            _HELD.clear()
-            _give_back()
+        forget_tables()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def forget_tables() -> None:
+    """Drops what other operators left in this Python worker."""
+    if _HELD:
+        _HELD.clear()
+        _give_back()
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose (doc_id, hash of text) is in `gone(gone_id, gone_hash)`.
 

@@ -12,7 +12,7 @@ it, and so is a run of known words shorter than the shortest window. What is
 left, with a break between runs, is indexed whole:
 
 * suffix array by prefix doubling; Burrows-Wheeler transform of it;
-* wavelet matrix of the transform with cumulative counts for `rank`;
+* wavelet matrix of the transform, packed bits with a directory of popcounts for `rank`;
 * backward search of all windows at once, last word first;
 * suffix positions sampled every SAMPLE-th text position; occurrences are
   located by walking LF until a sampled row.
@@ -45,7 +45,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.common import materialise, pieces, with_batches
+from pricelark.llm.common import forget_tables, materialise, pieces, with_batches
+from pricelark.llm.fim import Bits
 
 WINDOW = 10
 SAMPLE = 8
@@ -67,14 +68,14 @@ def words_of(data: bytes | None) -> list[bytes]:
 
 
 class Wavelet:
-    """Wavelet matrix over symbols below 2**bits: rank(symbol, position) for arrays."""
+    """Wavelet matrix over symbols below 2**bits: rank(symbol, position) for arrays. A level takes 1.4 bits a symbol."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.zeros, self.ones = bits, [], []
         now = symbols
         for k in range(bits - 1, -1, -1):
             bit = (now >> k & 1).astype(bool)
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int64))
+            self.ones.append(Bits.of(len(bit), lambda lo, hi, bit=bit: bit[lo:hi]))
             self.zeros.append(int(len(bit) - bit.sum()))
             now = np.concatenate((now[~bit], now[bit]))
 
@@ -83,7 +84,7 @@ class Wavelet:
         for level, k in enumerate(range(self.bits - 1, -1, -1)):
             ones, zeros = self.ones[level], self.zeros[level]
             one = (symbol >> k & 1).astype(bool)
-            lo1, hi1 = ones[lo], ones[hi]
+            lo1, hi1 = ones.rank(lo), ones.rank(hi)
             lo, hi = np.where(one, zeros + lo1, lo - lo1), np.where(one, zeros + hi1, hi - hi1)
         return hi - lo
 
@@ -92,10 +93,10 @@ class Wavelet:
         symbol, now, lo = np.zeros_like(at), at.copy(), np.zeros_like(at)
         for level in range(self.bits):
             ones, zeros = self.ones[level], self.zeros[level]
-            one = ones[now + 1] > ones[now]
+            one = ones.at(now)
             symbol = symbol << 1 | one
-            now = np.where(one, zeros + ones[now], now - ones[now])
-            lo = np.where(one, zeros + ones[lo], lo - ones[lo])
+            now1, lo1 = ones.rank(now), ones.rank(lo)
+            now, lo = np.where(one, zeros + now1, now - now1), np.where(one, zeros + lo1, lo - lo1)
         return symbol, now - lo
 
 
@@ -105,14 +106,11 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     rank = symbols.astype(np.int64)
     step = 1
     while True:
-        nxt = np.zeros(n, dtype=np.int64)
-        nxt[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (max(n, int(rank.max()) + 2) + 1) + nxt
+        key = rank * (max(n, int(rank.max()) + 2) + 1)
+        key[: max(0, n - step)] += rank[step:] + 1
         order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        rank = new
+        key = key[order]
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
         if rank.max() == n - 1:
             return order
         step *= 2
@@ -128,9 +126,9 @@ class FMIndex:
         self.n = len(text)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
         self.wavelet = Wavelet(bwt, max(1, int(sigma - 1).bit_length()))
-        self.sampled = order % SAMPLE == 0
-        self.sample_rank = np.concatenate(([0], np.cumsum(self.sampled)))
-        self.samples = order[self.sampled]
+        sampled = order % SAMPLE == 0
+        self.sampled = Bits.of(self.n, lambda lo, hi: sampled[lo:hi])
+        self.samples = order[sampled]
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of patterns, given padded on the left to a common width."""
@@ -148,8 +146,8 @@ class FMIndex:
         found, now, steps = np.empty(len(rows), dtype=np.int64), rows.copy(), 0
         todo = np.arange(len(rows))
         while len(todo):
-            done = self.sampled[now]
-            found[todo[done]] = self.samples[self.sample_rank[now[done]]] + steps
+            done = self.sampled.at(now)
+            found[todo[done]] = self.samples[self.sampled.rank(now[done])] + steps
             todo, now = todo[~done], now[~done]
             if len(todo):
                 symbol, rank = self.wavelet.access(now)
@@ -347,6 +345,7 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple]]:
 
 def _mapper(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         bench = held.value
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         names = ["doc_id", "row_no", "text_hash"]
@@ -435,6 +434,7 @@ def _cut(b: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatc
 
 def _cleaner(held, cut: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for b, _, spans, _ in _sharded(held.value, batches, "text", None):
             yield _cut(b, spans) if cut else b.filter(pa.array([not x for x in spans], pa.bool_()))
 

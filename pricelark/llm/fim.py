@@ -64,6 +64,10 @@ class Bits:
             packed[lo // 8 : lo // 8 + len(bits)] = bits
         return cls(packed.view("<u8"))
 
+    def at(self, at: np.ndarray) -> np.ndarray:
+        """The bits at positions, as booleans."""
+        return (self.words[at // WORD] >> (at % WORD).astype(np.uint64) & np.uint64(1)).astype(bool)
+
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         word, bit = at // WORD, (at % WORD).astype(np.uint64)

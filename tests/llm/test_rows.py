@@ -6,6 +6,7 @@ import subprocess
 import sys
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pricelark.llm import decontaminate, language, licences, quality, simhash
@@ -109,3 +110,14 @@ def test_ids_that_are_no_numbers(spark):
     rows = [("x7", "a b c d"), ("y8", "a b c d"), ("y8", "a b c d"), ("12", "q r s t"), ("5", "q r s t"), ("n", "q r s t"), (None, "other words here now"), (None, "other words here now"), ("z", "something else again")]
     kept = sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
     assert kept == sorted([("x7", "a b c d"), ("5", "q r s t"), (None, "other words here now"), ("z", "something else again")], key=str)
+
+
+def test_wavelet_ranks():
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 511, 512, 513, 1700):
+        symbols = rng.integers(0, 11, n)
+        tree = decontaminate.Wavelet(symbols, 4)
+        got, ranks = tree.access(np.arange(n))
+        assert (got == symbols).all() and ranks.tolist() == [int((symbols[:i] == symbols[i]).sum()) for i in range(n)]
+        for s in range(11):
+            assert tree.rank(np.full(n + 1, s), np.arange(n + 1)).tolist() == [int((symbols[:i] == s).sum()) for i in range(n + 1)]
