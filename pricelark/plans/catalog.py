@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pricelark.functions import price, text, urls
 from pricelark.operators import analytics as an
 from pricelark.operators import merge as mg
+from pricelark.operators import postings as po
 from pricelark.operators import stateful as st
 from pricelark.plans.domain import EVENT_AS_OF, HISTORY_AS_OF, Domain, sql
+from pricelark.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -226,6 +228,18 @@ def catalog_search(d: Domain) -> DataFrame:
     return _search(d)
 
 
+def _found(d: Domain, texts: DataFrame, text: str) -> DataFrame | None:
+    path = scratch_path(d.spark, "postings")
+    po.write_postings(texts, path)
+    return po.candidates(d.spark, path, text)
+
+
+@query(_SEARCH)
+def catalog_search_indexed(d: Domain) -> DataFrame:
+    ids = _found(d, po.catalog_texts(d.products, d.variants), "Bolt")
+    return an.catalog_search(po.narrowed(d.products, ids), po.narrowed(d.variants, ids), "Bolt", 1, True, True, HISTORY_AS_OF)
+
+
 @query(f""", found AS ({_SEARCH})
 SELECT 'site' AS facet, site_name AS value, count(*) AS n FROM variant JOIN site USING (site_id) WHERE product_id IN (SELECT product_id FROM found) GROUP BY 2
 UNION ALL SELECT 'category', category, count(*) FROM found GROUP BY 2""")
@@ -252,11 +266,20 @@ def categories(d: Domain) -> DataFrame:
     return an.categories(d.products)
 
 
-@query("SELECT * FROM product WHERE contains(product_name, 'ring') OR contains(brand, 'ring') OR contains(category, 'ring') ORDER BY product_name, product_id LIMIT 20")
+_COMPLETE = "SELECT * FROM product WHERE contains(product_name, '{0}') OR contains(brand, '{0}') OR contains(category, '{0}') ORDER BY product_name, product_id LIMIT 20"
+
+
+@query(_COMPLETE.format("ring"))
 def autocomplete(d: Domain) -> DataFrame:
     return an.autocomplete(d.products, "ring")
 
 
+@query(_COMPLETE.format("#12"))
+def autocomplete_indexed(d: Domain) -> DataFrame:
+    ids = _found(d, po.product_texts(d.products), "#12")
+    return an.autocomplete(po.narrowed(d.products, ids), "#12")
+
+
 # --- history ---------------------------------------------------------------------
 
 _BACK = "row_number() OVER (PARTITION BY variant_id ORDER BY captured_at DESC, k1 DESC, k2 DESC, k3 DESC, price DESC)"

@@ -52,12 +52,18 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             _delete(spark, path)
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A path for a new table in the shared folder; what is there when the process ends is deleted."""
+    path = f"{scratch_dir(spark)}/pricelark/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back; it is deleted when the process ends."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/pricelark/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.options(**options).parquet(path)
-    atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
