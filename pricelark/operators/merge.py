@@ -18,12 +18,14 @@ from pricelark.functions.urls import clean_product_url, host_of, normalize_image
 from pricelark.operators.contains import holders
 from pricelark.operators.stateful import numbered
 from pricelark.scratch import materialise, shuffle_partitions
-from pricelark.session import checked_broadcast
 
 # Widths of columns, and what an empty batch says.
 WIDTHS = {"name": 300, "sku": 100, "brand": 100, "url": 1000, "image_url": 1000}
 EMPTY_BATCH = "El lote de datos está vacío."
 
+#: Texts, or beginnings of texts, that are broadcast to be looked up in others.
+PART_ROWS = 100_000
+
 
 @dataclass
 class Merged:
@@ -235,28 +237,58 @@ def save_category(cards: DataFrame, sites: DataFrame, products: DataFrame, varia
 
 
 def _pieces(text: Column, lengths: Column) -> Column:
-    """The substrings of a text that have one of the lengths; none for null."""
+    """The distinct substrings of a text that have one of the lengths; none for null."""
     of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substr(text, at, n))
     made = F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), of_length))
-    return F.coalesce(made, F.array().cast("array<string>"))
+    return F.array_distinct(F.coalesce(made, F.array().cast("array<string>")))
 
 
 def _texts(rows: DataFrame, site: str, text: str) -> DataFrame:
     return rows.select(F.col(site).alias("at"), F.col(text).alias("text")).where("text <> ''").distinct()
 
 
-def _held(texts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(at, text, part): a site's texts and those of its parts, from 4 characters up, that they hold.
+#: The shortest text that counts as a part of another one.
+PART = 4
+
+
+@dataclass
+class _Parts:
+    rows: DataFrame  # p_at, part
+    heads: DataFrame | None  # first characters of the parts, if these are too many to be broadcast
+
+
+def _parts(texts: DataFrame) -> _Parts:
+    """A site's texts that others may hold, broadcast if they are few; else their beginnings are, if those are few."""
+    rows = texts.where(F.length("text") >= PART).toDF("p_at", "part")
+    few = lambda df: df.limit(PART_ROWS + 1).count() <= PART_ROWS
+    if few(rows):
+        return _Parts(F.broadcast(rows), None)
+    heads = rows.select(F.col("p_at").alias("h_at"), F.substring("part", 1, PART).alias("head")).distinct()
+    return _Parts(rows.hint("merge"), F.broadcast(heads) if few(heads) else None)
+
+
+def _held(texts: DataFrame, parts: _Parts) -> DataFrame:
+    """(at, text, part): a site's texts and those of its parts, from 4 characters up, that they hold; each pair once.
 
     Only substrings of lengths that parts have are made. They meet the parts in
-    a broadcast table if a count allows it, so that they aren't shuffled. A
-    short text makes many substrings, so texts are spread over all tasks first.
+    a broadcast table if these are few, so that they aren't shuffled; if not,
+    substrings that begin as no part does go before the shuffle. A short text
+    makes many substrings, so texts are spread over all tasks first.
     """
     texts = texts.repartition(shuffle_partitions(texts.sparkSession))
-    lengths = parts.groupBy("p_at").agg(F.collect_set(F.length("part")).alias("lengths")).withColumnRenamed("p_at", "l_at")
+    lengths = parts.rows.groupBy("p_at").agg(F.collect_set(F.length("part")).alias("lengths")).withColumnRenamed("p_at", "l_at")
     cut = texts.join(F.broadcast(lengths), F.col("at") == F.col("l_at"))  # a row per site
     cut = cut.select("at", "text", F.explode(_pieces(F.col("text"), F.col("lengths"))).alias("piece"))
-    return cut.join(parts, (F.col("at") == F.col("p_at")) & (F.col("piece") == F.col("part"))).select("at", "text", "part").distinct()
+    if parts.heads is not None:
+        cut = cut.join(parts.heads, (F.col("at") == F.col("h_at")) & (F.substring("piece", 1, PART) == F.col("head")), "left_semi")
+    return cut.join(parts.rows, (F.col("at") == F.col("p_at")) & (F.col("piece") == F.col("part"))).select("at", "text", "part")
+
+
+def _sku_links(keys: DataFrame, targets: DataFrame, key_parts: _Parts, target_parts: _Parts) -> DataFrame:
+    """(at, text, other): SKUs of keys and of targets that are equal or hold each other, each pair once."""
+    short = keys.where(F.length("text") < PART).join(targets.toDF("p_at", "other"), (F.col("at") == F.col("p_at")) & (F.col("text") == F.col("other"))).select("at", "text", "other")
+    within = _held(targets, key_parts).where("text <> part").select("at", F.col("part").alias("text"), F.col("text").alias("other"))
+    return short.union(_held(keys, target_parts)).union(within)
 
 
 def text_links(keys: DataFrame, targets: DataFrame) -> DataFrame:
@@ -265,53 +297,62 @@ def text_links(keys: DataFrame, targets: DataFrame) -> DataFrame:
     keys: site_id, k_sku, k_url (clean); targets: site_id, t_sku, t_url, t_clean;
     all in lower case. `how` names the text of the key and the other: `sku-sku`
     (equal, or one holds the other), `url-sku` (the URL holds the SKU),
-    `sku-url` (the other way round), `url-url` (equal when clean).
+    `sku-url` (the other way round), `url-url` (equal when clean). Both frames
+    are read several times: hand over written tables.
     """
     i_skus, i_urls = _texts(keys, "site_id", "k_sku"), _texts(keys, "site_id", "k_url")
     v_skus, v_urls = _texts(targets, "site_id", "t_sku"), _texts(targets, "site_id", "t_url")
-    long = lambda texts: checked_broadcast(texts.where(F.length("text") >= 4).toDF("p_at", "part"))
-    i_parts, v_parts = long(i_skus), long(v_skus)
-    equal = i_skus.join(v_skus.toDF("p_at", "part"), (F.col("at") == F.col("p_at")) & (F.col("text") == F.col("part"))).select("at", "text", "part")
-    skus = equal.union(_held(i_skus, v_parts)).union(_held(v_skus, i_parts).select("at", "part", "text")).distinct()
+    i_parts, v_parts = _parts(i_skus), _parts(v_skus)
     clean = targets.where("t_url <> ''").select(F.col("site_id").alias("c_at"), "t_url", "t_clean").distinct()
     urls = i_urls.join(clean, (F.col("at") == F.col("c_at")) & (F.col("text") == F.col("t_clean"))).select("at", "text", "t_url")
-    named = {"sku-sku": skus, "url-sku": _held(i_urls, v_parts), "sku-url": _held(v_urls, i_parts).select("at", "part", "text"), "url-url": urls}
+    named = {"sku-sku": _sku_links(i_skus, v_skus, i_parts, v_parts), "url-sku": _held(i_urls, v_parts), "sku-url": _held(v_urls, i_parts).select("at", "part", "text"), "url-url": urls}
     return reduce(DataFrame.union, (df.toDF("at", "text", "other").select("at", F.lit(how).alias("how"), "text", "other") for how, df in named.items()))
 
 
 _ITEM_KEY, _VARIANT_KEY = ["site_id", "i_sku", "i_url"], ["v_site", "v_sku", "v_url", "v_clean"]
 
 
-def _keyed(items: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items and variants with the texts that they are matched by, and the pairs of distinct texts that match.
-
-    Each branch is met by equi-joins of a site's distinct SKUs and URLs, so
-    that work grows with the texts and the matches, not with items times
-    variants, and neither with rows that repeat a text. The distinct texts are
-    written once, as each branch reads them.
+@dataclass
+class _Keyed:
+    left: DataFrame  # items with the texts of _ITEM_KEY
+    right: DataFrame  # variants with those of _VARIANT_KEY
+    its: DataFrame  # distinct item keys: `last` item
+    vs: DataFrame  # distinct variant keys: v_key (a number), `top` rank, n variants
+    by_sku: DataFrame  # at, text, v_key: what a site's item SKU matches
+    by_url: DataFrame  # the same for a URL
+
+
+def _keyed(items: DataFrame, variants: DataFrame) -> _Keyed:
+    """Items and variants with the texts that they are matched by, and what each distinct text matches.
+
+    What an item matches is what its SKU matches and what its URL matches. The
+    two lists are held by SKU and by URL, so that work grows with the distinct
+    texts and their matches: neither with items times variants, nor with pairs
+    of a SKU and a URL that come together. The lists are found by equi-joins of
+    a site's texts; all tables are written once, as each is read several times,
+    and joined by a shuffle, as the files of repeating texts say nothing about
+    how large they are in memory.
     """
     left = items.withColumns({"i_sku": F.lower(normalize_sku(F.col("item_sku"))), "i_url": F.lower(clean_product_url(F.col("item_url")))})
     v_sku, v_url = F.lower(F.coalesce("sku", F.lit(""))), F.lower(F.coalesce("url", F.lit("")))
     right = variants.withColumns({"v_sku": v_sku, "v_url": v_url, "v_clean": F.lower(clean_product_url(F.col("url")))}).withColumnRenamed("site_id", "v_site")
-    its, vs = materialise(left.select(*_ITEM_KEY).distinct(), "item-keys"), materialise(right.select(*_VARIANT_KEY).distinct(), "variant-keys")
+    rank = F.struct(F.col("updated_at").isNotNull(), F.col("updated_at"), (-F.col("variant_id")).alias("i"))
+    its = materialise(left.groupBy(*_ITEM_KEY).agg(F.max("item_id").alias("last")), "item-keys").hint("merge")
+    distinct = right.groupBy(*_VARIANT_KEY).agg(F.max(rank).alias("top"), F.count("*").alias("n"))
+    vs = materialise(distinct.withColumn("v_key", F.monotonically_increasing_id()), "variant-keys").hint("merge")
     linked = vs.where("v_url <> ''")
     i_skus, i_urls = _texts(its, "site_id", "i_sku"), _texts(its, "site_id", "i_url")
     v_skus, v_urls = _texts(vs, "v_site", "v_sku"), _texts(vs, "v_site", "v_url")
-    long = lambda texts: checked_broadcast(texts.where(F.length("text") >= 4).toDF("p_at", "part"))
-    i_parts, v_parts = long(i_skus), long(v_skus)
+    i_parts, v_parts = _parts(i_skus), _parts(v_skus)
 
-    def through(links: DataFrame, item: str, found: DataFrame, variant: str) -> DataFrame:
-        """Pairs by links (at, a text of the item, a text of the variant)."""
-        k = links.toDF("k_at", "k_item", "k_variant")
-        met = its.join(k, (F.col("site_id") == F.col("k_at")) & (F.col(item) == F.col("k_item")))
-        met = met.join(found, (F.col("k_at") == F.col("v_site")) & (F.col(variant) == F.col("k_variant")))
-        return met.select(*_ITEM_KEY, *_VARIANT_KEY)
+    def through(links: DataFrame, found: DataFrame, variant: str) -> DataFrame:
+        """What a text matches by links (at, a text of the item, a text of the variant)."""
+        k = links.toDF("at", "text", "k_variant")
+        return k.join(found, (F.col("at") == F.col("v_site")) & (F.col("k_variant") == F.col(variant))).select("at", "text", "v_key")
 
-    equal = i_skus.join(v_skus.toDF("p_at", "part"), (F.col("at") == F.col("p_at")) & (F.col("text") == F.col("part"))).select("at", "text", "part")
-    skus = equal.union(_held(i_skus, v_parts)).union(_held(v_skus, i_parts).select("at", "part", "text")).distinct()
-    pairs = its.join(linked, (F.col("site_id") == F.col("v_site")) & (F.col("i_url") == F.col("v_clean"))).select(*_ITEM_KEY, *_VARIANT_KEY)
-    pairs = pairs.union(through(skus, "i_sku", vs, "v_sku")).union(through(_held(v_urls, i_parts).select("at", "part", "text"), "i_sku", vs, "v_url"))
-    return left, right, pairs.union(through(_held(i_urls, v_parts), "i_url", linked, "v_sku")).distinct()
+    by_sku = through(_sku_links(i_skus, v_skus, i_parts, v_parts), vs, "v_sku").union(through(_held(v_urls, i_parts).select("at", "part", "text"), vs, "v_url"))
+    by_url = through(_held(i_urls, v_parts), linked, "v_sku").union(i_urls.join(linked, (F.col("at") == F.col("v_site")) & (F.col("text") == F.col("v_clean"))).select("at", "text", "v_key"))
+    return _Keyed(left, right, its, vs, *(materialise(df.distinct(), tag).hint("merge") for df, tag in ((by_sku, "sku-matches"), (by_url, "url-matches"))))
 
 
 def _by_key(rows: DataFrame, keyed: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
@@ -321,36 +362,75 @@ def _by_key(rows: DataFrame, keyed: DataFrame, key: list[str], how: str = "inner
     return met.drop(*(f"k_{c}" for c in key))
 
 
+def _asked(rows: DataFrame, text: str, pairs: DataFrame, how: str = "inner") -> DataFrame:
+    """rows of items joined with what their text (i_sku or i_url) matches, by the columns at and text; these are dropped."""
+    return rows.join(pairs, (F.col("site_id") == F.col("at")) & (F.col(text) == F.col("text")), how).drop("at", "text")
+
+
+def _without_other(rows: DataFrame, text: str, pairs: DataFrame, how: str) -> DataFrame:
+    """rows (with v_key) whose variants their other text matches too (left_semi), or doesn't (left_anti)."""
+    other = pairs.withColumnRenamed("v_key", "o_key")
+    return rows.join(other, (F.col("site_id") == F.col("at")) & (F.col(text) == F.col("text")) & (F.col("v_key") == F.col("o_key")), how)
+
+
 def fuzzy_match(items: DataFrame, variants: DataFrame) -> DataFrame:
-    """JN-10: pairs of items and variants of one site that share a clean URL, or whose SKUs and URLs hold each other."""
-    left, right, pairs = _keyed(items, variants)
-    found = _by_key(left.select("item_id", *_ITEM_KEY), pairs, _ITEM_KEY)
-    return _by_key(found.drop(*_ITEM_KEY), right, _VARIANT_KEY).select("item_id", "variant_id", "updated_at")
+    """JN-10: pairs of items and variants of one site that share a clean URL, or whose SKUs and URLs hold each other.
+
+    Variants are put to the distinct texts first, and items meet these lists
+    last: the pairs themselves are never shuffled. A pair by URL that the SKU
+    makes too is left out.
+    """
+    k = _keyed(items, materialise(variants.select("variant_id", "site_id", "sku", "url", "updated_at"), "match-variants"))
+    met = k.vs.join(k.by_sku.select("v_key").union(k.by_url.select("v_key")), "v_key", "left_semi").select("v_key", *_VARIANT_KEY)
+    members = materialise(_by_key(k.right, met, _VARIANT_KEY).select("v_key", "variant_id", "updated_at"), "match-members").hint("merge")
+    item = k.left.select("item_id", *_ITEM_KEY)
+    by_sku = _asked(item, "i_sku", materialise(k.by_sku.join(members, "v_key").drop("v_key"), "sku-members").hint("merge"))
+    by_url = _without_other(_asked(item, "i_url", k.by_url), "i_sku", k.by_sku, "left_anti").join(members, "v_key")
+    return by_sku.select("item_id", "variant_id", "updated_at").union(by_url.select("item_id", "variant_id", "updated_at"))
 
 
 def best_matches(items: DataFrame, variants: DataFrame) -> DataFrame:
     """WIN-2: an item's winner among its matches, and their number.
 
     Variants are ranked per key before they meet the pairs, and pairs per
-    item's key before they meet the items: no single match is listed.
+    item's text before they meet the items: no single match is listed.
     """
-    return _best(*_keyed(items, variants))
+    return _best(_keyed(items, variants))
 
 
-def _best(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    rank = F.struct(F.col("updated_at").isNotNull(), F.col("updated_at"), (-F.col("variant_id")).alias("i"))
-    per_variant = right.groupBy(*_VARIANT_KEY).agg(F.max(rank).alias("top"), F.count("*").alias("matches"))
-    both = [F.max("top").alias("top"), F.sum("matches").alias("matches")]
-    per_item = _by_key(pairs, per_variant, _VARIANT_KEY).groupBy(*_ITEM_KEY).agg(*both)
-    found = _by_key(left.select("item_id", *_ITEM_KEY), per_item, _ITEM_KEY).groupBy("item_id").agg(*both)
+def _best(k: _Keyed) -> DataFrame:
+    """Of an item's two lists the greater winner counts; what both hold is counted once.
+
+    What both hold is looked for along the shorter list of a pair of texts.
+    """
+    ranked = k.vs.select("v_key", "top", "n")
+
+    def reach(pairs: DataFrame, name: str) -> DataFrame:
+        found = pairs.join(ranked, "v_key").groupBy("at", "text").agg(F.max("top"), F.sum("n"), F.count("*"))
+        return found.toDF("at", "text", f"{name}_top", f"{name}_n", f"{name}_held").hint("merge")
+
+    key = k.its.select(*_ITEM_KEY)
+    met = _asked(_asked(key, "i_sku", reach(k.by_sku, "sku"), "left"), "i_url", reach(k.by_url, "url"), "left").where("sku_n IS NOT NULL OR url_n IS NOT NULL")
+    both = lambda cond: met.where(f"sku_held {cond} url_held").select(*_ITEM_KEY)
+    common = _without_other(_asked(both(">="), "i_url", k.by_url), "i_sku", k.by_sku, "left_semi")
+    common = common.union(_without_other(_asked(both("<"), "i_sku", k.by_sku), "i_url", k.by_url, "left_semi"))
+    common = common.join(ranked.select("v_key", "n"), "v_key").groupBy(*_ITEM_KEY).agg(F.sum("n").alias("common"))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    per_item = _by_key(met, common, _ITEM_KEY, "left").select(*_ITEM_KEY, F.greatest("sku_top", "url_top").alias("top"), (count("sku_n") + count("url_n") - count("common")).alias("matches"))
+    found = _by_key(k.left.select("item_id", *_ITEM_KEY), per_item, _ITEM_KEY).groupBy("item_id").agg(F.max("top").alias("top"), F.sum("matches").alias("matches"))
     return found.select("item_id", (-F.col("top.i")).alias("variant_id"), "matches")
 
 
-def _last(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The last (by item_id) of the items that match a variant; ranked per key first, as the best match is."""
+def _last(k: _Keyed) -> DataFrame:
+    """The last (by item_id) of the items that match a variant; the last of each text first, as the best match is."""
+
+    def told(text: str, pairs: DataFrame) -> DataFrame:
+        return _asked(k.its.groupBy("site_id", text).agg(F.max("last").alias("item_id")), text, pairs).select("v_key", "item_id")
+
     last = F.max("item_id").alias("item_id")
-    per_variant = _by_key(pairs, left.groupBy(*_ITEM_KEY).agg(last), _ITEM_KEY).groupBy(*_VARIANT_KEY).agg(last)
-    return _by_key(right.select("variant_id", *_VARIANT_KEY), per_variant, _VARIANT_KEY).groupBy("variant_id").agg(last)
+    per_key = told("i_sku", k.by_sku).union(told("i_url", k.by_url)).groupBy("v_key").agg(last)
+    per_variant = k.vs.join(per_key, "v_key").select(*_VARIANT_KEY, "item_id")
+    return _by_key(k.right.select("variant_id", *_VARIANT_KEY), per_variant, _VARIANT_KEY).groupBy("variant_id").agg(last)
 
 
 def register_variants(items: DataFrame, variants: DataFrame, as_of: str) -> dict[str, DataFrame]:
@@ -406,8 +486,9 @@ def extension_upsert(items: DataFrame, variants: DataFrame, as_of: str) -> dict[
     """
     rest = [c for c in items.columns if c != "item_id"]
     items = items.groupBy("item_id").agg(F.max(F.struct(*rest)).alias("x")).select("item_id", *(F.col(f"x.{c}").alias(c) for c in rest))
+    items, variants = materialise(items, "upsert-items").hint("merge"), materialise(variants, "upsert-variants").hint("merge")
     keyed = _keyed(items, variants)
-    last, winners = _last(*keyed), _best(*keyed)
+    last, winners = _last(keyed), _best(keyed)
     item = items.select("item_id", F.col("price").alias("i_price"), clean_product_url(F.col("item_url")).alias("i_url"), normalize_image_url(F.col("image_url")).alias("i_image"))
     met = variants.join(last, "variant_id", "left").join(item, "item_id", "left")
     hit = F.col("item_id").isNotNull()
