@@ -1,9 +1,10 @@
 """A saved index of 3-grams for searches by contained text (FLT-8, TOP-9).
 
-The index is two plain Parquet tables: postings(gram, id), each pair once, in
-the order of gram and id, and counts(gram, n). A search reads the counts of its
-text's grams, then only the postings of the rarest ones: a file and row group
-that can't hold them are skipped by their statistics. What is found are the ids
+The index is two plain Parquet tables: postings(gram, id), each pair once, and
+counts(gram, n). A file of postings holds a share of the ids, in the order of
+gram and id. A search reads the counts of its text's grams, then only the
+postings of the rarest ones: row groups and pages that can't hold them are
+skipped by their statistics. What is found are the ids
 of all rows that may hold the text; the caller's own rule decides among them,
 so an index changes what is read and never the result.
 
@@ -12,8 +13,9 @@ one), so that searches with and without regard to case share an index. Every
 place of a text begins a gram, the last two shorter ones, so a search of one or
 two characters is a search by the beginning of grams.
 
-Writing shuffles the grams once, by ranges of gram and id: a gram that all
-texts hold (of `https://`, say) is divided by its ids.
+Writing shuffles the texts once, by id, and never the grams, which are many
+times larger: a gram that all texts hold (of `https://`, say) is divided by its
+ids. The texts of one id are read by one task.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ WIDTH = 3
 READ = 3
 #: A search is a scan if even its rarest gram is held by more than this share of the ids.
 SHARE = 0.25
+#: Bytes of a row group of postings: small, as a search reads a few grams.
+ROW_GROUP = 8 << 20
 
 
 def folded(text: str) -> str:
@@ -45,13 +49,14 @@ def write_postings(texts: DataFrame, path: str) -> None:
     The row '' of counts holds the number of ids.
     """
     spark = texts.sparkSession
-    held = texts.where("id IS NOT NULL AND text <> ''").select("id", F.explode(_grams(F.col("text"))).alias("gram"))
-    ranged = held.repartitionByRange(shuffle_partitions(spark), "gram", "id").distinct()  # equal pairs are in one range
-    ranged.select("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{path}/postings")
+    spread = shuffle_partitions(spark)
+    dealt = texts.where("id IS NOT NULL AND text <> ''").select("id", "text").repartition(spread, "id")
+    held = dealt.select("id", F.explode(_grams(F.col("text"))).alias("gram")).distinct()  # an id is in one task: no shuffle
+    held.select("gram", "id").sortWithinPartitions("gram", "id").write.option("parquet.block.size", str(ROW_GROUP)).parquet(f"{path}/postings")
     written = spark.read.parquet(f"{path}/postings")
     counts = written.groupBy("gram").agg(F.count("*").alias("n"))
     ids = written.agg(F.lit("").alias("gram"), F.count_distinct("id").alias("n"))
-    counts.unionByName(ids).repartitionByRange(shuffle_partitions(spark), "gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
+    counts.unionByName(ids).repartitionByRange(spread, "gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
 
 
 def candidates(spark: SparkSession, path: str, text: str) -> DataFrame | None:

@@ -67,3 +67,14 @@ def test_searches(spark, tmp_path):
         p, v = po.narrowed(products, ids), po.narrowed(variants, ids)
         for search in (lambda p, v, q=q: an.catalog_search(p, v, q), lambda p, v, q=q: an.autocomplete(p, q)):
             assert sorted(map(str, search(p, v).collect())) == sorted(map(str, search(products, variants).collect()))
+
+
+def test_grams_are_not_shuffled(spark, tmp_path):
+    """All postings of an id are in one file, that of the task that got its texts, in the order of gram and id."""
+    path = str(tmp_path / "a")
+    po.write_postings(spark.range(200).selectExpr("id % 90 AS id", "concat('https://shop.example/p/', id) AS text"), path)
+    rows = spark.read.parquet(path + "/postings").selectExpr("gram", "id", "input_file_name() AS f").collect()
+    assert len({(r["id"], r["f"]) for r in rows}) == len({r["id"] for r in rows}) == 90 and len({r["f"] for r in rows}) > 1
+    for f in {r["f"] for r in rows}:
+        pairs = [(r["gram"], r["id"]) for r in rows if r["f"] == f]
+        assert pairs == sorted(pairs)
