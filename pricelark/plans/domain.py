@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from pricelark.session import checked_broadcast, workers_find_package
 
+#: Products whose names may be broadcast to their variants.
+PRODUCT_ROWS = 100_000
+
 #: Times that the queries take for now.
 HISTORY_AS_OF = "2001-11-05 06:00:00"
 EVENT_AS_OF = "2024-01-31 00:00:00"
@@ -71,6 +74,8 @@ class Domain:
 
         The first filter leaves two captures a variant, so that they are cut
         before the shuffle (WindowGroupLimit); lead() beside it would keep all.
+        Names of products repeat, so their file's size doesn't tell what they
+        take in the driver: they are broadcast by their count.
         """
         last = Window.partitionBy("variant_id").orderBy(*(F.desc(c) for c in ("captured_at", "k1", "k2", "k3", "price")))
         two = self.history.withColumn("rn", F.row_number().over(last)).where("rn <= 2")
@@ -78,7 +83,7 @@ class Domain:
         v = F.col("variant_id")
         tail = F.when(v % 4 == 0, "?utm_source=feed").when(v % 4 == 1, "/").when(v % 4 == 2, "#top").otherwise("")
         return (
-            now.join(self.products.select("product_id", "product_name"), "product_id")
+            now.join(checked_broadcast(self.products.select("product_id", "product_name"), PRODUCT_ROWS), "product_id")
             .join(self.sites.select("site_id", "url_base"), "site_id")
             .select(
                 "variant_id",

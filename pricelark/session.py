@@ -22,9 +22,10 @@ def workers_find_package(spark: SparkSession) -> None:
 
 
 def checked_broadcast(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A dimension with a broadcast hint if it has no more than `rows` rows, and as it is otherwise.
+    """A dimension with a broadcast hint if it has no more than `rows` rows, and one that keeps Spark from it otherwise.
 
     Estimates of a joined dimension multiply, so without the hint Spark may
-    take the fact table for the smaller side.
+    take the fact table for the smaller side. Those of a file go by its size on
+    disk, so that repeating texts would be broadcast whatever their number.
     """
-    return F.broadcast(dimension) if dimension.count() <= rows else dimension
+    return F.broadcast(dimension) if dimension.count() <= rows else dimension.hint("merge")
