@@ -404,6 +404,8 @@ def _best(k: _Keyed) -> DataFrame:
     """Of an item's two lists the greater winner counts; what both hold is counted once.
 
     What both hold is looked for along the shorter list of a pair of texts.
+    What each pair of texts reaches is read three times, so it is written: a
+    plan that holds it three times takes more of the driver, and of shuffles.
     """
     ranked = k.vs.select("v_key", "top", "n")
 
@@ -413,6 +415,7 @@ def _best(k: _Keyed) -> DataFrame:
 
     key = k.its.select(*_ITEM_KEY)
     met = _asked(_asked(key, "i_sku", reach(k.by_sku, "sku"), "left"), "i_url", reach(k.by_url, "url"), "left").where("sku_n IS NOT NULL OR url_n IS NOT NULL")
+    met = materialise(met, "reached-keys").hint("merge")
     both = lambda cond: met.where(f"sku_held {cond} url_held").select(*_ITEM_KEY)
     common = _without_other(_asked(both(">="), "i_url", k.by_url), "i_sku", k.by_sku, "left_semi")
     common = common.union(_without_other(_asked(both("<"), "i_sku", k.by_sku), "i_url", k.by_url, "left_semi"))

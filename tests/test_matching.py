@@ -50,3 +50,10 @@ def test_upsert_takes_the_last_item(spark):
     assert {r["variant_id"]: r["price"] for r in out["variants"].collect()} == {r["variant_id"]: last[r["variant_id"]][4] if r["variant_id"] in last else Decimal(3) for r in variants.select("variant_id").collect()}
     tables = out["variants"]._jdf.queryExecution().optimizedPlan().toString()
     assert "hash(" not in tables and "strategy=merge" in tables and out["history"].where(F.col("price") == 3).count() == 0
+
+
+def test_what_texts_reach_is_read_not_repeated(spark):
+    """It was in the plan three times, each with the tables of matches and of variants that it is made of."""
+    items, variants, _ = crossed(spark)
+    plan = mg.best_matches(items, variants)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 7
