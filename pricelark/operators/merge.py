@@ -391,6 +391,30 @@ def fuzzy_match(items: DataFrame, variants: DataFrame) -> DataFrame:
     return by_sku.select("item_id", "variant_id", "updated_at").union(by_url.select("item_id", "variant_id", "updated_at"))
 
 
+def match_classes(items: DataFrame, variants: DataFrame) -> DataFrame:
+    """JN-10 without its pairs, as classes that match and their members: (part, how, site_id, text, id, class_id).
+
+    `item` rows hold an item's texts (`how`: sku or url, in lower case, the SKU
+    normalised, the URL clean), `link` rows the classes of variants that such a
+    text matches, `variant` rows each variant's class: those of one site, SKU
+    and URL whatever their case, named after the one that would win. An item
+    matches the members of the classes that either of its texts matches, so the
+    parts joined by how, site, text and class make fuzzy_match's pairs. Rows
+    grow with items, variants and the matches of different texts.
+    """
+    k = _keyed(items, materialise(variants.select("variant_id", "site_id", "sku", "url", "updated_at"), "match-variants"))
+    none = F.lit(None)
+
+    def part(rows: DataFrame, name: str, how: str | None, site: str, text: Column, id: Column, of: Column) -> DataFrame:
+        return rows.select(F.lit(name).alias("part"), F.lit(how).cast("string").alias("how"), F.col(site).cast("int").alias("site_id"), text.cast("string").alias("text"), id.cast("long").alias("id"), of.cast("long").alias("class_id"))
+
+    winner = k.vs.select(*_VARIANT_KEY, "v_key", (-F.col("top.i")).alias("class_id"))
+    own = [part(k.left.where(F.col(c) != ""), "item", how, "site_id", F.col(c), F.col("item_id"), none) for how, c in (("sku", "i_sku"), ("url", "i_url"))]
+    met = [part(pairs.join(winner, "v_key"), "link", how, "at", F.col("text"), none, F.col("class_id")) for how, pairs in (("sku", k.by_sku), ("url", k.by_url))]
+    members = _by_key(k.right, winner, _VARIANT_KEY)
+    return reduce(DataFrame.union, [*own, *met, part(members, "variant", None, "v_site", none, F.col("variant_id"), F.col("class_id"))])
+
+
 def best_matches(items: DataFrame, variants: DataFrame) -> DataFrame:
     """WIN-2: an item's winner among its matches, and their number.
 

@@ -57,3 +57,22 @@ def test_what_texts_reach_is_read_not_repeated(spark):
     items, variants, _ = crossed(spark)
     plan = mg.best_matches(items, variants)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 7
+
+
+def test_classes_make_all_pairs(spark):
+    """The pairs were listed: rows grew with the copies of items times those of variants."""
+    items, variants, _ = crossed(spark)
+    shift = lambda df, c: df.unionByName(df.withColumn(c, F.col(c) + 1000)).unionByName(df.withColumn(c, F.col(c) + 2000))
+    items, variants = shift(items, "item_id"), shift(variants, "variant_id")
+    rows = [tuple(r) for r in mg.match_classes(items, variants).collect()]
+    by, members = {}, {}
+    for part, how, site, text, _, of in rows:
+        if part == "link":
+            by.setdefault((how, site, text), []).append(of)
+    for part, _, _, _, one, of in rows:
+        if part == "variant":
+            members.setdefault(of, []).append(one)
+    made = {(one, v) for part, how, site, text, one, _ in rows if part == "item" for of in by.get((how, site, text), []) for v in members[of]}
+    assert made == {tuple(r) for r in mg.fuzzy_match(items, variants).select("item_id", "variant_id").collect()}
+    assert len(rows) == len(set(rows)) < len(made) / 3 and sorted(sum(members.values(), [])) == sorted(r[0] for r in variants.select("variant_id").collect())
+    assert all(of in members[of] for of in members)
