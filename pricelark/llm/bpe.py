@@ -50,10 +50,13 @@ from pyspark.sql import functions as F
 
 from pricelark.llm.common import pieces, with_batches, worker_table
 
-#: Entries of the tables of chunks (about 70 MB when full) and of words; a full
-#: table starts anew.
-TABLE = 300_000
+#: Entries of the tables of chunks (about 35 MB when full) and of words; a full
+#: table starts anew. They take what comes again: most chunks of a corpus are
+#: names, numbers and codes that come once.
+TABLE = 150_000
 SMALL_TABLE = 60_000
+#: Marks (a byte each) for what came once, and how many are set before they start anew.
+MARKS, MARKED = 1 << 22, 1 << 19
 #: Words longer than this aren't kept in the tables.
 LONG = 64
 
@@ -235,10 +238,11 @@ class ByteBPE:
         self.words: dict[str, tuple[int, ...]] = {}
         self.first: dict[str, tuple[int, ...]] = {}
         self.later: dict[str, tuple[int, ...]] = {}
+        self.marks, self.marked = bytearray(MARKS), 0
 
     def __getstate__(self) -> dict:
         """What is broadcast: everything but the tables of what was seen."""
-        return {k: v for k, v in vars(self).items() if k not in ("find", "words", "first", "later")}
+        return {k: v for k, v in vars(self).items() if k not in ("find", "words", "first", "later", "marks", "marked")}
 
     def __setstate__(self, state: dict) -> None:
         vars(self).update(state)
@@ -249,11 +253,22 @@ class ByteBPE:
             return self.find(text)
         return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
 
+    def _again(self, chunk: str) -> bool:
+        """Whether a chunk, or one with its mark, came before; it is marked."""
+        at = hash(chunk) % MARKS
+        if self.marks[at]:
+            return True
+        if self.marked == MARKED:
+            self.marks, self.marked = bytearray(MARKS), 0
+        self.marks[at] = 1
+        self.marked += 1
+        return False
+
     def _word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
         if ids is None:
             ids = self.automaton.encode(word.encode())
-            if len(word) <= LONG:
+            if len(word) <= LONG and self._again(word):
                 if len(self.words) >= SMALL_TABLE:
                     self.words.clear()
                 self.words[word] = ids
@@ -270,7 +285,7 @@ class ByteBPE:
                 ids = self.automaton.encode((" " + chunk if blank else chunk).encode())
         else:
             ids = tuple(chain.from_iterable(map(self._word, self._split(" " + chunk if blank else chunk))))
-        if len(chunk) <= LONG:
+        if len(chunk) <= LONG and self._again(chunk):
             if len(table) >= TABLE:
                 table.clear()
             table[chunk] = ids
@@ -331,7 +346,7 @@ def _encoder(held, path: str, outputs: tuple[str, ...], keep: tuple[str, ...]) -
                 ids = bpe.encode(x.as_py() or "")
                 made["n_tokens"].append(len(ids))
                 if "ids" in outputs:
-                    made["ids"].append(ids)
+                    made["ids"].append(np.array(ids, dtype=np.int32))
                 if "ids_sha256" in outputs:
                     made["ids_sha256"].append(hashlib.sha256(b",".join(map(bpe.decimal.__getitem__, ids))).hexdigest())
                 if decode:

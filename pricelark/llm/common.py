@@ -108,19 +108,20 @@ def worker_table(key, make: Callable):
     """What make() made for this key in this Python worker.
 
     Workers serve one task after another; only the last operator's tables are
-    kept, so a session that runs many operators doesn't add them up.
+    kept, so a session that runs many operators doesn't add them up. Memory
+    that the one before has freed is returned as well, whether it kept a table
+    or not.
     """
     if key not in _HELD:
-        forget_tables()
+        _HELD.clear()
+        _give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
-def forget_tables() -> None:
-    """Drops what other operators left in this Python worker."""
-    if _HELD:
-        _HELD.clear()
-        _give_back()
+def forget_tables(operator: str) -> None:
+    """Drops what other operators left in this Python worker, for one that keeps no table."""
+    worker_table(operator, lambda: None)
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:

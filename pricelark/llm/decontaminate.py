@@ -345,7 +345,7 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple]]:
 
 def _mapper(held) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_tables()
+        forget_tables("decontaminate")
         bench = held.value
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         names = ["doc_id", "row_no", "text_hash"]
@@ -434,7 +434,7 @@ def _cut(b: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatc
 
 def _cleaner(held, cut: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_tables()
+        forget_tables("decontaminate")
         for b, _, spans, _ in _sharded(held.value, batches, "text", None):
             yield _cut(b, spans) if cut else b.filter(pa.array([not x for x in spans], pa.bool_()))
 

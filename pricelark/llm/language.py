@@ -15,7 +15,9 @@ folded into CODES codes: a to z have their own, others share the rest by code
 point.
 
 A bundle is linear, so a batch counts its n-grams once (documents by distinct
-n-grams) and multiplies the counts with the n-gram vectors.
+n-grams) and multiplies the counts with the n-gram vectors, a block of n-grams
+at a time. Vectors are kept as bytes; only a block of them is floats, so a
+worker's memory doesn't follow the number of n-grams that it meets.
 
 Training: at most SAMPLE documents of each language, chosen by the hash of
 their ids, of those that the caller marks; their vectors are summed by language
@@ -48,8 +50,10 @@ SAMPLE = 500
 SEED = 20
 #: The prediction for texts without a letter.
 UND = "und"
-#: Documents whose counts are held at once, and characters of a text that are coded at once.
-GROUP = 128
+#: Documents whose counts are held at once, the characters they have together (unless one has more), n-grams that are
+#: multiplied at once, and characters of a text that are coded at once.
+GROUP, GROUP_CHARS = 128, 1 << 20
+BLOCK = 2048
 PIECE = 1 << 20
 #: A text of so many n-grams whose cosine with every language is less is rejected. Random letters have up to 0.15 with the test
 #: tables' profiles, one word of a language over and over 0.22 or more.
@@ -100,12 +104,12 @@ def ngrams(text: str) -> np.ndarray:
 
 
 def vectors_of(grams: np.ndarray) -> np.ndarray:
-    """Bound vectors of n-grams, as float32."""
+    """Bound vectors of n-grams, as int8."""
     out = np.ones((len(grams), D), dtype=np.int8)
     for j in range(N):
         letter = grams // CODES ** (N - 1 - j) % CODES
         out *= np.roll(_letters(), N - 1 - j, axis=1)[letter]
-    return out.astype(np.float32)
+    return out
 
 
 class Bundler:
@@ -114,30 +118,58 @@ class Bundler:
     HELD = 12_000
 
     def __init__(self) -> None:
-        self._start()
-
-    def _start(self) -> None:
         self.slot = np.full(CODES**N, -1, dtype=np.int32)
-        self.table = np.zeros((0, D), dtype=np.float32)
+        self.table = np.empty((self.HELD, D), dtype=np.int8)
+        self.held = 0
+
+    def _keep(self, grams: np.ndarray) -> bool:
+        """Gives each n-gram a slot; False if they are more than may be kept."""
+        new = np.unique(grams[self.slot[grams] < 0])
+        if self.held + len(new) > self.HELD:
+            self.slot[:], self.held = -1, 0
+            new = np.unique(grams)
+            if len(new) > self.HELD:
+                return False
+        for k in range(0, len(new), BLOCK):
+            some = new[k : k + BLOCK]
+            self.slot[some] = self.held + np.arange(len(some))
+            self.table[self.held : self.held + len(some)] = vectors_of(some)
+            self.held += len(some)
+        return True
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Vectors (documents by D), and the number of n-grams of each."""
         each = [ngrams(t) if t else np.zeros(0, dtype=np.int32) for t in texts]
         sizes = np.array([len(x) for x in each])
+        out = np.zeros((len(texts), D), dtype=np.float32)
         if not sizes.sum():
-            return np.zeros((len(texts), D), dtype=np.float32), sizes
+            return out, sizes
         grams = np.concatenate(each)
-        new = np.unique(grams[self.slot[grams] < 0])
-        if len(new):
-            if len(self.table) + len(new) > self.HELD:
-                self._start()
-                new = np.unique(grams)
-            self.slot[new] = len(self.table) + np.arange(len(new))
-            self.table = np.concatenate((self.table, vectors_of(new)))
-        width = len(self.table)
-        cells = np.repeat(np.arange(len(texts)), sizes) * width + self.slot[grams]
-        counts = np.bincount(cells, minlength=len(texts) * width).reshape(len(texts), width)
-        return counts.astype(np.float32) @ self.table, sizes
+        if self._keep(grams):
+            at, vectors, width = self.slot[grams], self.table, self.held
+        else:
+            kinds, at = np.unique(grams, return_inverse=True)
+            vectors, width = None, len(kinds)
+        docs = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        for k in range(0, width, BLOCK):
+            end = min(k + BLOCK, width)
+            here = (at >= k) & (at < end)
+            cells = docs[here] * (end - k) + (at[here] - k)
+            counts = np.bincount(cells, minlength=len(texts) * (end - k)).reshape(len(texts), end - k)
+            out += counts.astype(np.float32) @ (vectors_of(kinds[k:end]) if vectors is None else vectors[k:end]).astype(np.float32)
+        return out, sizes
+
+
+def groups(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of at most GROUP texts, of GROUP_CHARS characters together unless one has more."""
+    at = chars = 0
+    for k, t in enumerate(texts):
+        chars += len(t or "")
+        if k > at and (k - at == GROUP or chars > GROUP_CHARS):
+            yield slice(at, k)
+            at, chars = k, len(t or "")
+    if at < len(texts):
+        yield slice(at, len(texts))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -152,11 +184,12 @@ def _map_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text"):
         texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
         sums: dict[str, np.ndarray] = {}
-        for k in range(0, len(texts), GROUP):
-            vectors, sizes = _bundler().bundle(texts[k : k + GROUP])
+        for some in groups(texts):
+            vectors, sizes = _bundler().bundle(texts[some])
             unit = _unit(vectors)
             for i in np.flatnonzero(sizes > 0).tolist():
-                sums[langs[k + i]] = sums.get(langs[k + i], 0) + unit[i].astype(np.float64)
+                of = langs[some.start + i]
+                sums[of] = sums.get(of, 0) + unit[i].astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.astype("<f8").tobytes() for x in sums.values()], pa.binary())], names=["lang", "vector"])
 
 
@@ -211,8 +244,8 @@ def _predict(model: Profiles | None, texts: list[str | None]) -> tuple[list[str]
     names: list[str] = []
     scores: list[float] = []
     rejected: list[bool] = []
-    for k in range(0, len(texts), GROUP):
-        vectors, sizes = _bundler().bundle(texts[k : k + GROUP])
+    for some in groups(texts):
+        vectors, sizes = _bundler().bundle(texts[some])
         if model is None:
             names += [UND] * len(sizes)
             scores += [0.0] * len(sizes)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from pricelark.llm.common import drop_rows, join_groups, materialise, pieces, small, with_batches
+from pricelark.llm.common import drop_rows, forget_tables, join_groups, materialise, pieces, small, with_batches
 from pricelark.llm.components import components
 from pricelark.llm.hashing import cut
 
@@ -71,6 +71,7 @@ def fingerprint(data: bytes | None) -> int:
 
 
 def _map_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_tables("simhash")
     for b in pieces(batches, "data"):
         found = np.array([fingerprint(x.as_py()) for x in b.column("data")], dtype=np.uint64).view(np.int64)
         kept = [n for n in b.schema.names if n != "data"]
