@@ -6,6 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from pricelark.operators import merge as mg
+from pricelark.plans import catalog
 
 ITEM = "item_id int, site_id int, item_sku string, item_url string, price decimal(18,2), image_url string"
 VARIANT = "variant_id int, site_id int, sku string, url string, updated_at timestamp_ntz, price decimal(18,2), prev_price decimal(18,2), in_stock boolean, image_url string, active boolean"
@@ -76,3 +77,15 @@ def test_classes_make_all_pairs(spark):
     assert made == {tuple(r) for r in mg.fuzzy_match(items, variants).select("item_id", "variant_id").collect()}
     assert len(rows) == len(set(rows)) < len(made) / 3 and sorted(sum(members.values(), [])) == sorted(r[0] for r in variants.select("variant_id").collect())
     assert all(of in members[of] for of in members)
+
+
+def test_all_matches_are_listed(spark, sf):
+    """The query gave texts, classes and members, from which the pairs were still to be made."""
+    pairs = catalog.queries()["fuzzy_match_all"](spark, sf)
+    assert pairs.columns == ["item_id", "variant_id"]
+    best = {r["item_id"]: r for r in catalog.queries()["fuzzy_match"](spark, sf).collect()}
+    found = {}
+    for item, variant in pairs.collect():
+        found.setdefault(item, []).append(variant)
+    assert {k: len(v) for k, v in found.items()} == {k: r["matches"] for k, r in best.items()}
+    assert all(len(set(v)) == len(v) and best[k]["variant_id"] in v for k, v in found.items())
